@@ -46,3 +46,28 @@ def trend() -> Column:
 def r6(c: Column | str) -> Column:
     """Round to 6 decimals (float sums differ in the last bits between engines)."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return str(v)
+
+
+def sql_case(expr: str, mapping, default=None) -> str:
+    """CASE expression for the DuckDB twin, built from the same fixed map."""
+    whens = " ".join(f"WHEN {sql_lit(k)} THEN {sql_lit(v)}" for k, v in mapping.items())
+    return f"(CASE {expr} {whens} ELSE {sql_lit(default)} END)"
+
+
+def half_even_sql(num: str, den: str, digits: int) -> str:
+    """Exact half-even rounding of an integer ratio, as in numeric.round_ratio_half_even."""
+    s = 10 ** digits
+    n = f"(CAST({num} AS BIGINT) * {s})"
+    d = f"CAST({den} AS BIGINT)"
+    q = f"CAST(floor({n}::DOUBLE / {d}) AS BIGINT)"
+    r = f"({n} - {q} * {d})"
+    return (f"(CASE WHEN {d} > 0 THEN ({q} + CASE WHEN 2 * {r} > {d} OR (2 * {r} = {d} AND {q} % 2 <> 0) "
+            f"THEN 1 ELSE 0 END) / {float(s)} END)")
