@@ -88,8 +88,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
             vx = F.sqrt(F.expr(f"var_pop(CAST(`{a}` AS DOUBLE)) FILTER (WHERE `{b}` IS NOT NULL)"))
             vy = F.sqrt(F.expr(f"var_pop(CAST(`{b}` AS DOUBLE)) FILTER (WHERE `{a}` IS NOT NULL)"))
-            r = F.try_divide(F.covar_pop(x, y), vx * vy)
-            aggs.append(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias(f"{a}__{b}"))
+            den = vx * vy
+            r = F.when(den > 0, F.covar_pop(x, y) / den)
+            # greatest/least skip NULLs, so clamp only a defined value
+            aggs.append(F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias(f"{a}__{b}"))
             pairs.append((a, b))
     wide = df.agg(*aggs)
     structs = []
