@@ -4,6 +4,7 @@ from . import q_ingest  # noqa: F401
 from . import q_insight  # noqa: F401
 from . import q_warehouse  # noqa: F401
 from . import q_profile  # noqa: F401
+from . import q_text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
