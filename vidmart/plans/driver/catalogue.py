@@ -6,6 +6,7 @@ from . import q_warehouse  # noqa: F401
 from . import q_profile  # noqa: F401
 from . import q_text  # noqa: F401
 from . import q_ml  # noqa: F401
+from . import q_stream  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
