@@ -80,26 +80,33 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered column pair over pairwise-complete
-    rows, long form (col_a, col_b, corr). One aggregate for all pairs.
-    Zero variance gives NULL (``corr`` would raise under ANSI)."""
-    aggs, pairs = [], []
+    rows, long form (col_a, col_b, corr). One scan: each row is exploded into
+    its n(n+1)/2 (pair, x, y) triples, masked to the rows where both values
+    exist, and a grouped covar_pop/var_pop aggregate (partial aggregation,
+    one tiny shuffle) serves all pairs; this keeps the generated aggregate
+    small instead of 3 aggregates per pair in one wide row. Zero variance
+    gives NULL (``corr`` would raise under ANSI)."""
+    triples, pairs = [], []
     for i, a in enumerate(cols):
         for b in cols[i:]:
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            vx = F.sqrt(F.expr(f"var_pop(CAST(`{a}` AS DOUBLE)) FILTER (WHERE `{b}` IS NOT NULL)"))
-            vy = F.sqrt(F.expr(f"var_pop(CAST(`{b}` AS DOUBLE)) FILTER (WHERE `{a}` IS NOT NULL)"))
-            den = vx * vy
-            r = F.when(den > 0, F.covar_pop(x, y) / den)
-            # greatest/least skip NULLs, so clamp only a defined value
-            aggs.append(F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias(f"{a}__{b}"))
+            both = x.isNotNull() & y.isNotNull()
+            triples.append(F.struct(F.lit(len(pairs)).alias("p"), F.when(both, x).alias("x"),
+                                    F.when(both, y).alias("y")))
             pairs.append((a, b))
-    wide = df.agg(*aggs)
-    structs = []
-    for a, b in pairs:
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{a}__{b}").alias("corr")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"{a}__{b}").alias("corr")))
-    return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    t = df.select(F.explode(F.array(*triples)).alias("t")).select("t.*")
+    g = t.groupBy("p").agg(F.covar_pop("x", "y").alias("cv"), F.var_pop("x").alias("vx"),
+                           F.var_pop("y").alias("vy"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    g = g.withColumn("a", names[F.col("p")]["a"]).withColumn("b", names[F.col("p")]["b"])
+    den = F.sqrt("vx") * F.sqrt("vy")
+    r = F.when(den > 0, F.col("cv") / den)
+    # greatest/least skip NULLs, so clamp only a defined value
+    g = g.withColumn("corr", F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))
+    both_ways = F.array(F.struct(F.col("a").alias("col_a"), F.col("b").alias("col_b")),
+                        F.struct(F.col("b").alias("col_a"), F.col("a").alias("col_b")))
+    out = g.select(F.explode(F.array_distinct(both_ways)).alias("k"), "corr")
+    return out.select("k.col_a", "k.col_b", "corr")
 
 
 def histogram(df: DataFrame, col: str | Column, bins: int = 50, log10: bool = False,
