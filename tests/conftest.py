@@ -14,7 +14,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from vidmart.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=8,
-                  extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vidmart-test-ckpt-")})
+                  extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vidmart-test-ckpt-"),
+                         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="vidmart-test-wh-")})
     yield s
     s.stop()
 

@@ -239,3 +239,33 @@ def test_io_guards(spark, tmp_path):
     IO.append_table(df, p)
     got = IO.load_tables(spark, {"t": p, "missing": str(tmp_path / "none")})
     assert list(got) == ["t"] and got["t"].count() == 2
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    df = spark.range(0, 10001).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    ex = {r.g: r.p50 for r in R.quantile_columns(df, "v", {"p50": 0.5}, ["g"]).collect()}
+    ap = {r.g: r.p50 for r in R.quantile_columns(df, "v", {"p50": 0.5}, ["g"], method="approx").collect()}
+    for g in ex:
+        assert abs(ex[g] - ap[g]) <= 10
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    import contextlib
+    import io as _io
+    spark.sql("DROP TABLE IF EXISTS vm_fact")
+    spark.sql("DROP TABLE IF EXISTS vm_dim")
+    fact = spark.range(0, 2000).select((F.col("id") % 300).alias("video_id"), F.col("id").alias("views"))
+    dim = spark.range(0, 300).select(F.col("id").alias("video_id"), (F.col("id") * 2).alias("topic"))
+    IO.write_bucketed(fact, "vm_fact", "video_id", 4)
+    IO.write_bucketed(dim, "vm_dim", "video_id", 4)
+    with_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("vm_fact").join(spark.table("vm_dim"), "video_id", "left")
+        buf = _io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            j.explain()
+        assert "SortMergeJoin" in buf.getvalue() and "Exchange" not in buf.getvalue()
+        assert j.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)

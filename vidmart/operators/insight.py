@@ -67,8 +67,9 @@ def complete_domain(spark: SparkSession, counts: DataFrame, key: str, domain: Se
                     value_cols: Sequence[str] = ("count",), ordinal: str = "ordinal") -> DataFrame:
     """Every value of a fixed domain in fixed order (``reindex(...).fillna(0)``);
     the domain is a literal frame, the counts join onto it."""
-    dom = spark.createDataFrame([(i, v) for i, v in enumerate(domain)], f"{ordinal} int, {key} "
-                                + ("string" if isinstance(domain[0], str) else "int"))
+    values = F.array(*[F.lit(v) for v in domain])
+    dom = spark.range(len(domain)).select(F.col("id").cast("int").alias(ordinal),
+                                          values[F.col("id").cast("int")].alias(key))
     j = dom.join(counts, key, "left")
     return j.select(ordinal, key, *[F.coalesce(F.col(c), F.lit(fill)).alias(c) for c in value_cols])
 

@@ -64,7 +64,7 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "exact") -> DataFrame:
     """pandas ``describe()`` per column (and per group): count, mean, sample
     std, min, quartiles (linear), max, plus missing and zero counts."""
     long = _long(df, cols, by)
@@ -73,7 +73,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.count_if(F.col("value").isNull()).alias("n_missing"), F.count_if(F.col("value") == 0).alias("n_zero"))
-    qs = quantile_columns(long, "value", QUARTILES, keys)
+    qs = quantile_columns(long, "value", QUARTILES, keys, method=method)
     return moments.join(qs, [moments[k].eqNullSafe(qs[k]) for k in keys], "left") \
         .select(*[moments[k] for k in keys], "count", "mean", "std", "min", *QUARTILES, "max", "n_missing", "n_zero")
 
@@ -133,14 +133,15 @@ def histogram(df: DataFrame, col: str | Column, bins: int = 50, log10: bool = Fa
                     (F.col("_vm_mn") + F.col("bin") * w).alias("hi"), "count")
 
 
-def box_stats(df: DataFrame, col: str | Column, by: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, col: str | Column, by: Sequence[str] = (), whisker: float = 1.5,
+              method: str = "exact") -> DataFrame:
     """Box-plot numbers per group: n, q1, median, q3, whiskers at
     ``whisker``*IQR clipped to the data, and the outlier count.
     Pass 1: exact quartiles (distributed sort). Pass 2: join the per-group
     bounds back (one small row per group) and take conditional min/max."""
     v = F.col(col) if isinstance(col, str) else col
     d = df.select(*by, v.cast("double").alias("_vm_v")).where(F.col("_vm_v").isNotNull())
-    q = quantile_columns(d, "_vm_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    q = quantile_columns(d, "_vm_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, method=method)
     q = q.withColumn("_vm_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
          .withColumn("_vm_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     if by:

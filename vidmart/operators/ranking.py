@@ -113,9 +113,17 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
 
 
 def quantile_columns(df: DataFrame, value: str | Column, probs: Mapping[str, float],
-                     by: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = (), method: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """Wide form of ``exact_quantiles``: one column per named probability.
-    Groups whose values are all NULL do not appear."""
+    Groups whose values are all NULL do not appear.
+
+    ``method="approx"`` trades exactness for one pass: ``percentile_approx``
+    keeps a bounded sketch per group (relative rank error 1/accuracy)."""
+    if method == "approx":
+        v = (F.col(value) if isinstance(value, str) else value).cast("double")
+        arr = F.percentile_approx(v, list(map(float, probs.values())), accuracy)
+        g = df.groupBy(*by).agg(arr.alias("_vm_q")) if by else df.agg(arr.alias("_vm_q"))
+        return g.select(*by, *[F.col("_vm_q")[i].alias(k) for i, k in enumerate(probs)])
     long = exact_quantiles(df, value, list(probs.values()), by)
     aggs = [F.max(F.when(F.col("q") == F.lit(float(p)), F.col("value"))).alias(k) for k, p in probs.items()]
     return long.groupBy(*by).agg(*aggs) if by else long.agg(*aggs)

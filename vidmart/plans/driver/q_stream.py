@@ -25,9 +25,10 @@ def time_slices(df, ts: str, n: int):
 def stream_snapshot_dedup(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_extendedprice")
     src, tgt = scratch_path(spark, "land-snapshots"), scratch_path(spark, "sink-snapshots")
-    ST.land_in_slices(li, src, time_slices(li, "l_shipdate", 4), 4)
+    per = ST.land_in_slices(li, src, time_slices(li, "l_shipdate", 4), 4)
     out = ST.stream_insert_ignore(spark, src, li.schema, tgt, ["l_orderkey", "l_shipdate"],
-                                  order=["l_linenumber", "l_extendedprice"])
+                                  order=["l_linenumber", "l_extendedprice"], files_per_trigger=per,
+                                  partition=("snapshot_year", F.year("l_shipdate")))
     return out.select("l_orderkey", "l_shipdate")
 
 
@@ -39,8 +40,9 @@ def stream_insert_ignore(spark, sf):
     b = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate") \
         .where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
     b = b.withColumn("src", F.lit("batch"))
-    ST.land_in_slices(b, src, time_slices(b, "o_orderdate", 3), 3, drop=["o_orderdate"])
-    out = ST.stream_insert_ignore(spark, src, b.drop("o_orderdate").schema, tgt, ["o_orderkey"])
+    per = ST.land_in_slices(b, src, time_slices(b, "o_orderdate", 3), 3, drop=["o_orderdate"])
+    out = ST.stream_insert_ignore(spark, src, b.drop("o_orderdate").schema, tgt, ["o_orderkey"],
+                                  files_per_trigger=per)
     return out.select("o_orderkey", "o_custkey", "o_totalprice", "src")
 
 
@@ -49,8 +51,8 @@ def stream_latest(spark, sf):
     old, new = merge_parts(spark, sf)
     root, src = scratch_path(spark, "sink-channels"), scratch_path(spark, "land-channels")
     old.withColumn("o_orderpriority", F.lit(None).cast("string")).write.parquet(f"{root}/v=0")
-    ST.land_in_slices(new, src, time_slices(new, "o_orderdate", 3), 3)
-    out = ST.stream_upsert(spark, src, new.schema, root, ["o_custkey"], ["o_orderdate"])
+    per = ST.land_in_slices(new, src, time_slices(new, "o_orderdate", 3), 3)
+    out = ST.stream_upsert(spark, src, new.schema, root, ["o_custkey"], ["o_orderdate"], files_per_trigger=per)
     return out.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
 
 
@@ -70,8 +72,8 @@ def hourly_activity(spark, sf):
 def stream_hourly(spark, sf):
     ev = table(spark, sf, "events").where(F.col("ts").isNotNull()).select("event_id", "ts", "value")
     src, root = scratch_path(spark, "land-events"), scratch_path(spark, "sink-hourly")
-    ST.land_in_slices(ev, src, time_slices(ev, "ts", 4), 4)
-    out = ST.stream_hourly(spark, src, ev.schema, root, "ts", "value", watermark="1 day")
+    per = ST.land_in_slices(ev, src, time_slices(ev, "ts", 4), 4)
+    out = ST.stream_hourly(spark, src, ev.schema, root, "ts", "value", watermark="1 day", files_per_trigger=per)
     return out.withColumn("total_value", r6("total_value"))
 
 

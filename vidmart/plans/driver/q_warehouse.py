@@ -438,3 +438,50 @@ def time_to_event(spark, sf):
     j = o.join(snaps, o.o_orderkey == snaps.l_orderkey)
     h = F.when(F.col("l_returnflag") == "R", hours_between("l_shipdate", "o_orderdate"))
     return j.select(F.col("o_orderkey").alias("video_id"), h.alias("hours_to_trending"))
+
+
+# --------------------------------------------------------------------------- typed fact and keep-last dimension
+
+
+@query("fact_comment", """
+SELECT comment_id, video_id, CAST(coalesce(CAST(trunc(TRY_CAST(like_count AS DOUBLE)) AS BIGINT), 0) AS INTEGER)
+         AS like_count, published_at
+FROM (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY published_at ASC NULLS LAST, video_id ASC NULLS LAST,
+             like_count ASC NULLS LAST) AS rn
+      FROM (SELECT CAST(event_id AS VARCHAR) AS comment_id, CAST(user_id AS VARCHAR) AS video_id,
+                   CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS like_count,
+                   ts AS published_at FROM events)
+      WHERE comment_id IS NOT NULL AND video_id IS NOT NULL)
+WHERE rn = 1
+""")
+def fact_comment(spark, sf):
+    from ..warehouse import build_fact_comment
+    ev = table(spark, sf, "events")
+    raw = ev.select(F.col("event_id").cast("string").alias("comment_id"), F.col("user_id").cast("string").alias("video_id"),
+                    F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.col("value").cast("string"))
+                    .alias("like_count"), F.col("ts").alias("published_at"))
+    return build_fact_comment(raw, ["published_at"]).drop("loaded_at")
+
+
+@query("dim_channel", """
+WITH v AS (SELECT o.o_custkey AS channel_id, c.c_name AS channel_title, n.n_name AS country,
+                  CAST(o.o_totalprice AS VARCHAR) AS subscriber_count, o.o_orderdate, o.o_orderkey
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY o_orderdate DESC NULLS LAST,
+           o_orderkey DESC NULLS LAST, channel_title DESC NULLS LAST, country DESC NULLS LAST,
+           subscriber_count DESC NULLS LAST) AS rn FROM v) WHERE rn = 1)
+SELECT channel_id, channel_title, country,
+       coalesce(CAST(trunc(TRY_CAST(subscriber_count AS DOUBLE)) AS BIGINT), 0) AS subscriber_count
+FROM last
+""")
+def dim_channel(spark, sf):
+    """Every order is a channel snapshot (title, country, subscriber text);
+    the latest snapshot per channel wins."""
+    from ..warehouse import build_dim_channel
+    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice", "o_orderdate", "o_orderkey")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    c = lookup_join(c, "c_nationkey", table(spark, sf, "nation"), "n_nationkey", {"n_name": "country"})
+    v = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_custkey").alias("channel_id"), F.col("c_name").alias("channel_title"), "country",
+        F.col("o_totalprice").cast("string").alias("subscriber_count"), "o_orderdate", "o_orderkey")
+    return build_dim_channel(v, ["o_orderdate", "o_orderkey"])

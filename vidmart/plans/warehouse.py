@@ -39,6 +39,18 @@ def build_dim_channel(channels: DataFrame, order: Sequence[str] = ()) -> DataFra
                               "published_at", "country", "subscriber_count", "view_count", "video_count"])
 
 
+def build_fact_comment(comments: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Typed comment fact (K5): one row per comment_id (first wins), rows
+    without a video dropped (NOT NULL), like_count coerced to a whole number
+    (bad -> 0), ``loaded_at`` stamped at load time."""
+    d = comments.where(F.col("comment_id").isNotNull() & F.col("video_id").isNotNull())
+    d = dedup(d, ["comment_id"], order, keep="first")
+    d = d.withColumn("like_count", to_count("like_count").cast("int"))
+    d = select_present(d, ["comment_id", "video_id", "author_name", "comment_text", "like_count",
+                           "published_at", "updated_at"])
+    return d.withColumn("loaded_at", F.current_timestamp())
+
+
 def build_dim_time(df: DataFrame, ts_col: str = "snapshot_time") -> DataFrame:
     """One row per hour key of the timestamps present; every part is a
     function of the hour key, so a distinct is exact."""

@@ -125,6 +125,17 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: I
     w.save(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, partition_by: Iterable[str] = (),
+                   fmt: str = "parquet") -> None:
+    """Save as a catalog table bucketed and sorted by ``key``. Facts and
+    dimensions written with the same key and bucket count join without a
+    shuffle (each bucket pair is joined locally)."""
+    w = df.write.mode("overwrite").format(fmt).bucketBy(buckets, key).sortBy(key)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.saveAsTable(table)
+
+
 def publish_table(df: DataFrame, url: str, table: str, props: Mapping[str, str] | None = None,
                   batchsize: int = 10_000) -> None:
     """Replace a database table with batched multi-row inserts (K3)."""

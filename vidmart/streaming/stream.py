@@ -35,12 +35,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def land_in_slices(df: DataFrame, path: str, slice_col: Column, n_slices: int, drop: Sequence[str] = ()) -> None:
+def _data_files(spark: SparkSession, path: str) -> int:
+    if not _exists(spark, path):
+        return 0
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(1 for st in fs.listStatus(p) if st.getPath().getName().endswith(".parquet"))
+
+
+def land_in_slices(df: DataFrame, path: str, slice_col: Column, n_slices: int, drop: Sequence[str] = ()) -> int:
     """Write ``df`` as ``n_slices`` successive appends ordered by ``slice_col``
-    (e.g. time), so a file stream sees them in arrival order."""
+    (e.g. time), so a file stream sees them in arrival order. Returns the
+    largest number of files one slice produced: used as ``maxFilesPerTrigger``
+    it makes one micro-batch per slice without funnelling a slice through one
+    writer task."""
     b = df.withColumn("_vm_slice", slice_col).drop(*drop)
+    spark, most, seen = df.sparkSession, 1, 0
     for i in range(n_slices):
         b.where(F.col("_vm_slice") == i).drop("_vm_slice").write.mode("append").parquet(path)
+        now = _data_files(spark, path)
+        most, seen = max(most, now - seen), now
+    return most
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -59,16 +75,33 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
     return os.path.join(root, f"v={vs[-1]}") if vs else None
 
 
-def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[str] = ()):
-    """foreachBatch function: append the batch rows whose key is new."""
+def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[str] = (),
+                       partition_col: str | None = None):
+    """foreachBatch function: append the batch rows whose key is new.
+
+    With ``partition_col`` (a column of the batch that is a function of the
+    key, e.g. the snapshot month) the target is partitioned by it and each
+    batch only reads the target partitions it touches: the target is
+    semi-joined with the batch's distinct partition values, which dynamic
+    partition pruning turns into a partition filter on the scan."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():
+            return
         if _exists(spark, target_path):
-            target = spark.read.parquet(target_path)
+            # the batch schema is the table schema: no inference, and a target
+            # folder that holds no file yet reads as empty instead of failing
+            target = spark.read.schema(batch.schema).parquet(target_path)
+            if partition_col:
+                touched = batch.select(partition_col).distinct()
+                target = target.join(touched, partition_col, "left_semi")
             new = insert_ignore(target, batch, keys, order)
         else:
             new = dedup(batch, keys, order, keep="first")
-        new.write.mode("append").parquet(target_path)
+        w = new.write.mode("append")
+        if partition_col:
+            w = w.partitionBy(partition_col)
+        w.parquet(target_path)
     return run
 
 
@@ -76,6 +109,8 @@ def upsert_sink(root: str, keys: Sequence[str], order: Sequence[str] = ()):
     """foreachBatch function: keep-last upsert into a versioned table."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():
+            return
         cur = latest_version(spark, root)
         out = os.path.join(root, f"v={batch_id + 1}")
         if cur == out:  # replay of a committed batch: rebuild from the version before it
@@ -96,19 +131,24 @@ def run_available(stream: DataFrame, sink, checkpoint: str) -> None:
 
 
 def stream_insert_ignore(spark: SparkSession, source: str, schema: StructType, target: str,
-                         keys: Sequence[str], order: Sequence[str] = (), checkpoint: str | None = None) -> DataFrame:
+                         keys: Sequence[str], order: Sequence[str] = (), checkpoint: str | None = None,
+                         partition: tuple[str, Column] | None = None, files_per_trigger: int = 1) -> DataFrame:
     """Exact de-duplicated append of landed files (no unbounded
-    stream state: the sink table is the memory)."""
+    stream state: the sink table is the memory). ``partition`` = (name,
+    expression of the key) partitions the sink so each batch prunes it."""
     ck = checkpoint or scratch_path(spark, "ckpt-insert")
-    run_available(file_stream(spark, source, schema), insert_ignore_sink(target, keys, order), ck)
+    src = file_stream(spark, source, schema, files_per_trigger)
+    if partition:
+        src = src.withColumn(partition[0], partition[1])
+    run_available(src, insert_ignore_sink(target, keys, order, partition[0] if partition else None), ck)
     return spark.read.parquet(target)
 
 
 def stream_upsert(spark: SparkSession, source: str, schema: StructType, root: str, keys: Sequence[str],
-                  order: Sequence[str] = (), checkpoint: str | None = None) -> DataFrame:
+                  order: Sequence[str] = (), checkpoint: str | None = None, files_per_trigger: int = 1) -> DataFrame:
     """Last-wins upsert of landed files."""
     ck = checkpoint or scratch_path(spark, "ckpt-upsert")
-    run_available(file_stream(spark, source, schema), upsert_sink(root, keys, order), ck)
+    run_available(file_stream(spark, source, schema, files_per_trigger), upsert_sink(root, keys, order), ck)
     return spark.read.parquet(latest_version(spark, root))
 
 
@@ -124,10 +164,10 @@ def hourly_window_counts(events: DataFrame, ts: str, value: str, watermark: str
 
 
 def stream_hourly(spark: SparkSession, source: str, schema: StructType, root: str, ts: str, value: str,
-                  watermark: str = "1 day", checkpoint: str | None = None) -> DataFrame:
+                  watermark: str = "1 day", checkpoint: str | None = None, files_per_trigger: int = 1) -> DataFrame:
     """R4 on a stream: update-mode windows merged into a versioned table."""
     ck = checkpoint or scratch_path(spark, "ckpt-hourly")
-    agg = hourly_window_counts(file_stream(spark, source, schema), ts, value, watermark)
+    agg = hourly_window_counts(file_stream(spark, source, schema, files_per_trigger), ts, value, watermark)
     q = (agg.writeStream.outputMode("update").foreachBatch(upsert_sink(root, ["hour_start"]))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
