@@ -269,3 +269,15 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == 2000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
+
+
+def test_pipeline_save_load_roundtrip(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), "a" if i % 2 else "b", i % 3 == 0) for i in range(60)],
+                               "x double, cat string, y boolean").withColumn("y", F.col("y").cast("int"))
+    model = ML.build_pipeline(["cat"], ["x"], "y", max_iter=3, max_depth=2).fit(df)
+    path = str(tmp_path / "model")
+    ML.save_model(model, path)
+    again = ML.load_model(path)
+    a = [r.score for r in ML.score(model, df).orderBy("x").collect()]
+    b = [r.score for r in ML.score(again, df).orderBy("x").collect()]
+    assert a == b

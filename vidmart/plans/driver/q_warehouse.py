@@ -98,10 +98,11 @@ SELECT event_id, CAST(hour(ts) AS INTEGER) AS publish_hour, dayname(ts) AS publi
 FROM events
 """)
 def time_features_q(spark, sf):
-    ev = table(spark, sf, "events")
-    return ev.select("event_id", F.hour("ts").cast("int").alias("publish_hour"),
-                     weekday_name("ts").alias("publish_weekday"), weekday0("ts").alias("publish_weekday_num"),
-                     weekday0("ts").isin(4, 5, 6).cast("int").alias("is_weekend"))
+    from ..features import time_features
+    ev = time_features(table(spark, sf, "events"), "ts")
+    flags = feature_flags(F.col("publish_hour"), F.col("publish_weekday_num"), F.col("event_type"))
+    return ev.select("event_id", "publish_hour", "publish_weekday", "publish_weekday_num",
+                     flags["is_weekend"].alias("is_weekend"))
 
 
 DIM_VIDEO_SQL = """
