@@ -24,10 +24,12 @@ def test_upsert_stream_last_wins(spark):
     a = spark.createDataFrame([("c1", 1, "a"), ("c2", 1, "b")], "channel_id string, v long, t string")
     b = spark.createDataFrame([("c1", 2, "a2"), ("c3", 1, "c")], "channel_id string, v long, t string")
     src, root = scratch_path(spark, "u-src"), scratch_path(spark, "u-root")
-    a.write.parquet(f"{root}/v=0")
+    ST.upsert_into(root, a, ["channel_id"], ["v"], buckets=4)
     b.write.parquet(src)
-    out = ST.stream_upsert(spark, src, b.schema, root, ["channel_id"], ["v"])
+    out = ST.stream_upsert(spark, src, b.schema, root, ["channel_id"], ["v"], buckets=4)
     assert rows(out) == [("c1", 2, "a2"), ("c2", 1, "b"), ("c3", 1, "c")]
+    ST.upsert_into(root, b, ["channel_id"], ["v"], buckets=4)      # replay: same table
+    assert rows(ST.read_upserted(spark, root)) == [("c1", 2, "a2"), ("c2", 1, "b"), ("c3", 1, "c")]
 
 
 def test_hourly_stream_equals_batch(spark):

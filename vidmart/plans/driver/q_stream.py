@@ -49,10 +49,11 @@ def stream_insert_ignore(spark, sf):
 @query("stream_latest", MERGE_SQL)
 def stream_latest(spark, sf):
     old, new = merge_parts(spark, sf)
-    root, src = scratch_path(spark, "sink-channels"), scratch_path(spark, "land-channels")
-    old.withColumn("o_orderpriority", F.lit(None).cast("string")).write.parquet(f"{root}/v=0")
+    tbl, src = scratch_path(spark, "sink-channels"), scratch_path(spark, "land-channels")
+    ST.upsert_into(tbl, old.withColumn("o_orderpriority", F.lit(None).cast("string")), ["o_custkey"], ["o_orderdate"],
+                   buckets=8)
     per = ST.land_in_slices(new, src, time_slices(new, "o_orderdate", 3), 3)
-    out = ST.stream_upsert(spark, src, new.schema, root, ["o_custkey"], ["o_orderdate"], files_per_trigger=per)
+    out = ST.stream_upsert(spark, src, new.schema, tbl, ["o_custkey"], ["o_orderdate"], files_per_trigger=per, buckets=8)
     return out.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
 
 
@@ -73,7 +74,8 @@ def stream_hourly(spark, sf):
     ev = table(spark, sf, "events").where(F.col("ts").isNotNull()).select("event_id", "ts", "value")
     src, root = scratch_path(spark, "land-events"), scratch_path(spark, "sink-hourly")
     per = ST.land_in_slices(ev, src, time_slices(ev, "ts", 4), 4)
-    out = ST.stream_hourly(spark, src, ev.schema, root, "ts", "value", watermark="1 day", files_per_trigger=per)
+    out = ST.stream_hourly(spark, src, ev.schema, root, "ts", "value", watermark="1 day", files_per_trigger=per,
+                           buckets=4)
     return out.withColumn("total_value", r6("total_value"))
 
 

@@ -8,11 +8,11 @@ resumes where it stopped and re-delivered batches change nothing:
 
 * insert-or-ignore sink: each micro-batch is deduplicated and anti-joined
   against the sink table as committed so far, so replaying a batch adds 0 rows;
-* upsert sink: each micro-batch writes a new table version
-  (``v=<batch_id>``) from the previous version + the batch; a replayed batch
-  rewrites the same version from the same inputs;
+* upsert sink: the table is partitioned by a hash bucket of the key; each
+  micro-batch rewrites only the buckets it touches (dynamic partition
+  overwrite of the merged rows); a replayed batch gives the same table;
 * windowed counts: event-time windows with a watermark in update mode, the
-  updated windows merged into a versioned table (no window is lost when the
+  updated windows upserted into a bucketed table (no window is lost when the
   stream ends, which append mode would hold back until the watermark passes).
 """
 
@@ -63,18 +63,6 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Highest ``v=<n>`` folder under ``root`` (one small listing)."""
-    if not _exists(spark, root):
-        return None
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    vs = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    vs = sorted((int(v.split("=", 1)[1]) for v in vs if v.startswith("v=")))
-    return os.path.join(root, f"v={vs[-1]}") if vs else None
-
-
 def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[str] = (),
                        partition_col: str | None = None):
     """foreachBatch function: append the batch rows whose key is new.
@@ -86,39 +74,67 @@ def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[st
     partition pruning turns into a partition filter on the scan."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        if _exists(spark, target_path):
-            # the batch schema is the table schema: no inference, and a target
-            # folder that holds no file yet reads as empty instead of failing
-            target = spark.read.schema(batch.schema).parquet(target_path)
+        batch = batch.persist()      # the batch is read several times below
+        try:
+            if batch.isEmpty():
+                return
+            if _exists(spark, target_path):
+                # the batch schema is the table schema: no inference, and a target
+                # folder that holds no file yet reads as empty instead of failing
+                target = spark.read.schema(batch.schema).parquet(target_path)
+                if partition_col:
+                    touched = batch.select(partition_col).distinct()
+                    target = target.join(touched, partition_col, "left_semi")
+                new = insert_ignore(target, batch, keys, order)
+            else:
+                new = dedup(batch, keys, order, keep="first")
+            w = new.write.mode("append")
             if partition_col:
-                touched = batch.select(partition_col).distinct()
-                target = target.join(touched, partition_col, "left_semi")
-            new = insert_ignore(target, batch, keys, order)
-        else:
-            new = dedup(batch, keys, order, keep="first")
-        w = new.write.mode("append")
-        if partition_col:
-            w = w.partitionBy(partition_col)
-        w.parquet(target_path)
+                w = w.partitionBy(partition_col)
+            w.parquet(target_path)
+        finally:
+            batch.unpersist()
     return run
 
 
-def upsert_sink(root: str, keys: Sequence[str], order: Sequence[str] = ()):
-    """foreachBatch function: keep-last upsert into a versioned table."""
+BUCKET = "_bucket"
+
+
+def upsert_into(table_path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = (),
+                buckets: int = 64) -> None:
+    """Keep-last upsert of ``batch`` into a table partitioned by a hash bucket
+    of the key. Only the buckets the batch touches are read (semi-join on the
+    bucket column, pruned by dynamic partition pruning), merged (batch rows
+    win, then the latest in ``order``) and written back with dynamic partition
+    overwrite — the rest of the table is never rewritten. Replaying a batch
+    gives the same table."""
+    spark = batch.sparkSession
+    b = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    if _exists(spark, table_path):
+        cur = spark.read.schema(b.schema).parquet(table_path)
+        cur = cur.join(b.select(BUCKET).distinct(), BUCKET, "left_semi")
+        merged = merge_keep_last(cur, b, keys, order)
+    else:
+        merged = dedup(b, keys, order, keep="last")
+    # dynamic overwrite stages the new bucket files and swaps them in at job
+    # commit, after every read of the old buckets has finished
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BUCKET).parquet(table_path))
+
+
+def read_upserted(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.parquet(table_path).drop(BUCKET)
+
+
+def upsert_sink(table_path: str, keys: Sequence[str], order: Sequence[str] = (), buckets: int = 64):
+    """foreachBatch function: keep-last upsert (see ``upsert_into``)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        cur = latest_version(spark, root)
-        out = os.path.join(root, f"v={batch_id + 1}")
-        if cur == out:  # replay of a committed batch: rebuild from the version before it
-            prev = os.path.join(root, f"v={batch_id}")
-            cur = prev if _exists(spark, prev) else None
-        merged = merge_keep_last(spark.read.parquet(cur), batch, keys, order) if cur else \
-            dedup(batch, keys, order, keep="last")
-        merged.write.mode("overwrite").parquet(out)
+        batch = batch.persist()      # read several times: keep one computation
+        try:
+            if not batch.isEmpty():
+                upsert_into(table_path, batch, keys, order, buckets)
+        finally:
+            batch.unpersist()
     return run
 
 
@@ -144,12 +160,14 @@ def stream_insert_ignore(spark: SparkSession, source: str, schema: StructType, t
     return spark.read.parquet(target)
 
 
-def stream_upsert(spark: SparkSession, source: str, schema: StructType, root: str, keys: Sequence[str],
-                  order: Sequence[str] = (), checkpoint: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """Last-wins upsert of landed files."""
+def stream_upsert(spark: SparkSession, source: str, schema: StructType, table_path: str, keys: Sequence[str],
+                  order: Sequence[str] = (), checkpoint: str | None = None, files_per_trigger: int = 1,
+                  buckets: int = 64) -> DataFrame:
+    """Last-wins upsert of landed files into a bucketed table."""
     ck = checkpoint or scratch_path(spark, "ckpt-upsert")
-    run_available(file_stream(spark, source, schema, files_per_trigger), upsert_sink(root, keys, order), ck)
-    return spark.read.parquet(latest_version(spark, root))
+    run_available(file_stream(spark, source, schema, files_per_trigger),
+                  upsert_sink(table_path, keys, order, buckets), ck)
+    return read_upserted(spark, table_path)
 
 
 def hourly_window_counts(events: DataFrame, ts: str, value: str, watermark: str | None = None) -> DataFrame:
@@ -163,15 +181,17 @@ def hourly_window_counts(events: DataFrame, ts: str, value: str, watermark: str
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "n_events", "total_value")
 
 
-def stream_hourly(spark: SparkSession, source: str, schema: StructType, root: str, ts: str, value: str,
-                  watermark: str = "1 day", checkpoint: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """R4 on a stream: update-mode windows merged into a versioned table."""
+def stream_hourly(spark: SparkSession, source: str, schema: StructType, table_path: str, ts: str, value: str,
+                  watermark: str = "1 day", checkpoint: str | None = None, files_per_trigger: int = 1,
+                  buckets: int = 8) -> DataFrame:
+    """R4 on a stream: update-mode windows upserted into a bucketed table
+    (an updated window replaces its earlier partial count)."""
     ck = checkpoint or scratch_path(spark, "ckpt-hourly")
     agg = hourly_window_counts(file_stream(spark, source, schema, files_per_trigger), ts, value, watermark)
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert_sink(root, ["hour_start"]))
+    q = (agg.writeStream.outputMode("update").foreachBatch(upsert_sink(table_path, ["hour_start"], buckets=buckets))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(latest_version(spark, root))
+    return read_upserted(spark, table_path)
 
 
 def growth_vs_previous(hourly: DataFrame, time_col: str = "hour_start", value: str = "n_events") -> DataFrame:
