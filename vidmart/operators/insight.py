@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
     """Contingency counts with a fixed column domain; absent cells are 0
-    (``pd.crosstab``). NULL row/column keys are dropped, as pandas does."""
+    (``pd.crosstab``). NULL row/column keys are dropped, as pandas does.
+    One aggregate with a conditional count per column value (a ``pivot``
+    would aggregate twice, with two shuffles)."""
     d = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    return d.groupBy(row).pivot(col, list(values)).count().na.fill(0, [str(v) for v in values])
+    return d.groupBy(row).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(str(v)) for v in values])
 
 
 def crosstab_pct(df: DataFrame, row: str, col: str, values: Sequence, names: Sequence[str] | None = None,

@@ -9,7 +9,7 @@ from ...functions.numeric import to_count
 from ...functions.timefn import iso_duration_seconds, parse_timestamp
 from ...operators.dedup import (cap_per_key, dedup, first_nonnull, first_snapshot, insert_ignore,
                                 merge_keep_last, new_only, pack_batches)
-from ...sources.ingest import json_fields, quarantine_split
+from ...sources.ingest import failed_rules, json_fields
 from ...sources.io import read_table
 from .registry import LINEITEM_COLS, LINEITEM_REST, order_sql, query, table
 
@@ -47,13 +47,12 @@ FROM events GROUP BY event_type
 """)
 def quarantine_split_q(spark, sf):
     ev = table(spark, sf, "events").withColumn("k_text", F.get_json_object("props", "$.k"))
-    ok, bad = quarantine_split(ev, {"k_numeric": F.col("k_text").try_cast("bigint").isNotNull(),
-                                    "k_below_50": F.col("k_text").try_cast("bigint") < 50})
-    a = ok.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_valid"))
-    b = bad.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_quarantined"))
-    return a.join(b, "event_type", "full").select(
-        "event_type", F.coalesce("n_valid", F.lit(0)).alias("n_valid"),
-        F.coalesce("n_quarantined", F.lit(0)).alias("n_quarantined"))
+    fails = failed_rules({"k_numeric": F.col("k_text").try_cast("bigint").isNotNull(),
+                          "k_below_50": F.col("k_text").try_cast("bigint") < 50})
+    tagged = ev.withColumn("failed_rules", fails)
+    # both sides of the split counted in one aggregate over the tagged frame
+    return tagged.groupBy("event_type").agg(F.count_if(F.size("failed_rules") == 0).alias("n_valid"),
+                                            F.count_if(F.size("failed_rules") > 0).alias("n_quarantined"))
 
 
 INSERT_IGNORE_SQL = """

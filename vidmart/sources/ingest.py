@@ -86,15 +86,19 @@ def flatten_videos(items: DataFrame, source: str, discover_time: Column, keyword
         discover_time.alias("discover_time"))
 
 
+def failed_rules(rules: Mapping[str, Column]) -> Column:
+    """Names of the rules a row fails (a NULL rule result is a failure)."""
+    return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]),
+                    lambda x: x.isNotNull())
+
+
 def quarantine_split(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Row-level quarantine (K6): rows passing every rule, and the others with
-    the list of failed rule names. A NULL rule result counts as a failure.
-    Replaces the batch rollback: good rows load, bad rows are kept aside."""
-    fails = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]),
-                     lambda x: x.isNotNull())
-    tagged = df.withColumn("_vm_fail", fails)
-    ok = tagged.where(F.size("_vm_fail") == 0).drop("_vm_fail")
-    bad = tagged.where(F.size("_vm_fail") > 0).withColumnRenamed("_vm_fail", "failed_rules")
+    the list of failed rule names. Replaces the batch rollback: good rows
+    load, bad rows are kept aside (write both from the same tagged frame)."""
+    tagged = df.withColumn("failed_rules", failed_rules(rules))
+    ok = tagged.where(F.size("failed_rules") == 0).drop("failed_rules")
+    bad = tagged.where(F.size("failed_rules") > 0)
     return ok, bad
 
 
