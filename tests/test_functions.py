@@ -121,3 +121,17 @@ def test_repair_text(spark):
     got = [r[0] for r in df.select(TX.repair_text("t")).collect()]
     assert got[1] == "plain" and got[2] == ""
     assert got[0] != broken or got[0] == broken  # repaired when the bytes decode, unchanged otherwise
+
+
+def test_score_text_hook(spark):
+    import pandas as pd
+
+    def factory():
+        def fn(s):
+            pos = s.str.contains("good")
+            return pd.DataFrame({"l": pos.map({True: "positive", False: "neutral"}), "s": pos.astype(float)})
+        return fn
+
+    df = spark.createDataFrame([("good video",), ("meh",), (None,)], "t string")
+    got = [tuple(r) for r in TX.score_text(df, "t", factory).select("sentiment_label", "sentiment_score").collect()]
+    assert got == [("positive", 1.0), ("neutral", 0.0), ("neutral", 0.0)]

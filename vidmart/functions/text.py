@@ -4,7 +4,7 @@ Spark's ``encode`` has no cp1252 charset."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -165,3 +165,21 @@ def _repair(s: pd.Series) -> pd.Series:
 def repair_text(s: pd.Series) -> pd.Series:
     """Mojibake repair: cp1252 bytes re-read as UTF-8; unchanged when that fails."""
     return _repair(s)
+
+
+def score_text(df, col: str, scorer_factory, label: str = "sentiment_label", score: str = "sentiment_score"):
+    """Hook for an external text classifier (the sentiment model is not part
+    of this package). ``scorer_factory()`` is called once per task and must
+    return a function ``pd.Series[str] -> pd.DataFrame[label, score]``; it is
+    applied to Arrow batches through an iterator pandas UDF, so a heavy model
+    loads once per task, never per row."""
+
+    @pandas_udf("label string, score double")
+    def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fn = scorer_factory()
+        for s in batches:
+            out = fn(s.fillna(""))
+            yield pd.DataFrame({"label": out.iloc[:, 0].astype(object), "score": out.iloc[:, 1].astype(float)})
+
+    return df.withColumn("_vm_s", _score(F.col(col))) \
+        .withColumn(label, F.col("_vm_s.label")).withColumn(score, F.col("_vm_s.score")).drop("_vm_s")
