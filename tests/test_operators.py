@@ -281,3 +281,22 @@ def test_pipeline_save_load_roundtrip(spark, tmp_path):
     a = [r.score for r in ML.score(model, df).orderBy("x").collect()]
     b = [r.score for r in ML.score(again, df).orderBy("x").collect()]
     assert a == b
+
+
+def test_flatten_channels_comments_and_flags(spark):
+    from vidmart import schemas as S
+    from vidmart.plans.features import feature_flags
+    ch = ('{"items": [{"id": "c1", "snippet": {"title": "T", "country": "VN"}, '
+          '"statistics": {"subscriberCount": "12", "viewCount": "x"}}]}')
+    got = ING.flatten_channels(ING.explode_items(spark.createDataFrame([(ch,)], "payload string"),
+                                                 schema=S.API_CHANNEL_PAGE)).first()
+    assert (got.subscriber_count, got.view_count, got.video_count, got.hidden_subscriber_count) == (12, 0, 0, False)
+    cm = ('{"items": [{"snippet": {"videoId": "v1", "topLevelComment": {"id": "k1", "snippet": '
+          '{"textDisplay": "hi", "publishedAt": "2024-01-02T03:04:05Z"}}}}]}')
+    c = ING.flatten_comments(ING.explode_items(spark.createDataFrame([(cm,)], "payload string"),
+                                               schema=S.API_COMMENT_PAGE)).first()
+    assert (c.comment_id, c.video_id, c.like_count, c.published_at.hour) == ("k1", "v1", 0, 3)
+    df = spark.createDataFrame([(9, 5, 10, "HD"), (8, 1, 24, None)], "h int, w int, c int, d string")
+    f = df.select(*[v.alias(k) for k, v in feature_flags(F.col("h"), F.col("w"), F.col("c"),
+                                                          definition=F.col("d")).items()]).collect()
+    assert [tuple(r) for r in f] == [(1, 1, 1, 1), (0, 0, 0, 0)]

@@ -51,11 +51,16 @@ def time_features(df: DataFrame, publish_col: str, snapshot_col: str | None = No
 
 
 def feature_flags(hour: Column, weekday: Column, category: Column, music: Sequence = MUSIC_CATEGORIES,
-                  peak: Sequence[int] = PEAK_HOURS, weekend: Sequence[int] = WEEKEND_DAYS) -> dict[str, Column]:
-    """0/1 flags; weekend compares the weekday ORDINAL (Q2)."""
-    return {"is_music": category.isin(list(music)).cast("int"),
-            "is_peak_hour": hour.isin(list(peak)).cast("int"),
-            "is_weekend": weekday.isin(list(weekend)).cast("int")}
+                  peak: Sequence[int] = PEAK_HOURS, weekend: Sequence[int] = WEEKEND_DAYS,
+                  definition: Column | None = None) -> dict[str, Column]:
+    """0/1 flags; weekend compares the weekday ORDINAL (Q2); ``is_hd`` when a
+    definition column is given."""
+    flags = {"is_music": category.isin(list(music)).cast("int"),
+             "is_peak_hour": hour.isin(list(peak)).cast("int"),
+             "is_weekend": weekday.isin(list(weekend)).cast("int")}
+    if definition is not None:
+        flags["is_hd"] = F.coalesce(F.lower(definition) == "hd", F.lit(False)).cast("int")
+    return flags
 
 
 def region_column(df: DataFrame, country: str = "country", language: str = "default_language",

@@ -80,3 +80,25 @@ TABLES = {
     "dim_channel": DIM_CHANNEL, "dim_time": DIM_TIME, "fact_video_metrics": FACT_VIDEO_METRICS,
     "fact_comment": FACT_COMMENT, "fact_comment_metrics": FACT_COMMENT_METRICS,
 }
+
+API_CHANNEL_PAGE = StructType([StructField("items", ArrayType(StructType([
+    StructField("id", S),
+    StructField("snippet", StructType([
+        StructField("title", S), StructField("customUrl", S), StructField("description", S),
+        StructField("publishedAt", S), StructField("country", S)])),
+    StructField("statistics", StructType([
+        StructField("subscriberCount", S), StructField("viewCount", S), StructField("videoCount", S),
+        StructField("hiddenSubscriberCount", B)])),
+])))])
+
+API_COMMENT_PAGE = StructType([StructField("items", ArrayType(StructType([
+    StructField("snippet", StructType([
+        StructField("videoId", S),
+        StructField("topLevelComment", StructType([
+            StructField("id", S),
+            StructField("snippet", StructType([
+                StructField("authorDisplayName", S), StructField("textDisplay", S),
+                StructField("likeCount", L), StructField("publishedAt", S), StructField("updatedAt", S)])),
+        ])),
+    ])),
+])))])

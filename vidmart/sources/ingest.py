@@ -86,6 +86,38 @@ def flatten_videos(items: DataFrame, source: str, discover_time: Column, keyword
         discover_time.alias("discover_time"))
 
 
+def flatten_channels(items: DataFrame) -> DataFrame:
+    """API channel items -> raw_channel rows; counts default 0, hidden flag False."""
+    i = F.col("item")
+    sn, st = i.getField("snippet"), i.getField("statistics")
+    return items.select(
+        i.getField("id").alias("channel_id"), sn.getField("title").alias("channel_title"),
+        sn.getField("customUrl").alias("custom_url"), sn.getField("description").alias("channel_description"),
+        sn.getField("publishedAt").alias("published_at"), sn.getField("country").alias("country"),
+        to_count(st.getField("subscriberCount")).alias("subscriber_count"),
+        to_count(st.getField("viewCount")).alias("view_count"),
+        to_count(st.getField("videoCount")).alias("video_count"),
+        F.coalesce(st.getField("hiddenSubscriberCount"), F.lit(False)).alias("hidden_subscriber_count"))
+
+
+def flatten_comments(items: DataFrame, video_id: Column | None = None) -> DataFrame:
+    """API comment-thread items -> raw_comment rows (top-level comment;
+    like_count default 0; times parsed, bad -> NULL)."""
+    i = F.col("item").getField("snippet")
+    c = i.getField("topLevelComment")
+    cs = c.getField("snippet")
+
+    def ts(x):
+        return F.try_to_timestamp(F.substring(x, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp")
+
+    return items.select(
+        c.getField("id").alias("comment_id"),
+        (video_id if video_id is not None else i.getField("videoId")).alias("video_id"),
+        cs.getField("authorDisplayName").alias("author_name"), cs.getField("textDisplay").alias("comment_text"),
+        F.coalesce(cs.getField("likeCount"), F.lit(0)).alias("like_count"),
+        ts(cs.getField("publishedAt")).alias("published_at"), ts(cs.getField("updatedAt")).alias("updated_at"))
+
+
 def failed_rules(rules: Mapping[str, Column]) -> Column:
     """Names of the rules a row fails (a NULL rule result is a failure)."""
     return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]),
