@@ -49,6 +49,21 @@ def time_parts(ts: Column | str) -> dict[str, Column]:
     }
 
 
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(ts: Column | str) -> Column:
+    """Zone-less wall clock -> the instant with that wall clock in UTC, for
+    event-time operators (watermarks need an instant). Independent of the
+    session time zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), _c(ts)))
+
+
+def instant_to_ntz(ts: Column | str) -> Column:
+    """Inverse of ``ntz_to_instant``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(ts)), F.expr(EPOCH_NTZ))
+
+
 def hours_between(later: Column | str, earlier: Column | str) -> Column:
     """Signed hours from ``earlier`` to ``later`` at microsecond precision."""
     micros = F.timestamp_diff("MICROSECOND", _c(earlier), _c(later))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.timefn import instant_to_ntz, ntz_to_instant
 from ..operators.dedup import dedup, insert_ignore, merge_keep_last
 from ..session import scratch_path
 
@@ -172,13 +173,16 @@ def stream_upsert(spark: SparkSession, source: str, schema: StructType, table_pa
 
 def hourly_window_counts(events: DataFrame, ts: str, value: str, watermark: str | None = None) -> DataFrame:
     """Tumbling one-hour windows: event count and value total. Works on
-    a batch or a streaming frame; the watermark bounds stream state."""
-    e = events.withColumn("_vm_ts", F.col(ts).cast("timestamp"))
+    a batch or a streaming frame; the watermark bounds stream state.
+    Zone-less event times are mapped to instants as UTC wall clocks and back,
+    so windows align with wall-clock hours whatever the session time zone."""
+    e = events.withColumn("_vm_ts", ntz_to_instant(ts) if dict(events.dtypes)[ts] == "timestamp_ntz"
+                          else F.col(ts).cast("timestamp"))
     if watermark and events.isStreaming:
         e = e.withWatermark("_vm_ts", watermark)
     g = e.groupBy(F.window("_vm_ts", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("n_events"), F.sum(value).alias("total_value"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "n_events", "total_value")
+    return g.select(instant_to_ntz("w.start").alias("hour_start"), "n_events", "total_value")
 
 
 def stream_hourly(spark: SparkSession, source: str, schema: StructType, table_path: str, ts: str, value: str,
