@@ -300,3 +300,16 @@ def test_flatten_channels_comments_and_flags(spark):
     f = df.select(*[v.alias(k) for k, v in feature_flags(F.col("h"), F.col("w"), F.col("c"),
                                                           definition=F.col("d")).items()]).collect()
     assert [tuple(r) for r in f] == [(1, 1, 1, 1), (0, 0, 0, 0)]
+
+
+def test_box_stats_without_aqe(spark):
+    # the checkpointed rank frame is joined back to its own lineage: must
+    # resolve without AQE's re-planning too
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame([("a", float(v)) for v in range(10)] + [("b", 1.0)], "g string, v double")
+        got = {r.g: (r.median, r.n) for r in P.box_stats(df, "v", by=["g"]).collect()}
+        assert got == {"a": (4.5, 10), "b": (1.0, 1)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)

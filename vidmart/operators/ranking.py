@@ -40,6 +40,9 @@ def _ranged(df: DataFrame, order: Sequence[Column | str], num_partitions: int |
     keys = [*order, F.col(_SALT)]
     ranged = salted.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     fixed = ranged.checkpoint(eager=True)
+    # the checkpoint keeps the source's attribute ids; fresh aliases let the
+    # result be joined back to frames of the same lineage (e.g. box_stats)
+    fixed = fixed.select(*[F.col(c).alias(c) for c in fixed.columns])
     return (fixed.withColumn(_PID, F.spark_partition_id().cast("bigint"))
             .withColumn(_MID, F.monotonically_increasing_id()))
 
