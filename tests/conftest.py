@@ -23,4 +23,4 @@ def spark():
 def rows(df, *cols):
     """Collected rows as tuples, sorted (order-insensitive compare)."""
     sel = df.select(*cols) if cols else df
-    return sorted(tuple(r) for r in sel.collect())
+    return sorted((tuple(r) for r in sel.collect()), key=repr)

@@ -313,3 +313,13 @@ def test_box_stats_without_aqe(spark):
         assert got == {"a": (4.5, 10), "b": (1.0, 1)}
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_select_method_matches_sort_on_driver_data(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn(
+        "t", (F.col("l_returnflag") == "R").cast("int"))
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    a = rows(P.describe_numeric(li, cols, by=["t"], method="select"))
+    b = rows(P.describe_numeric(li, cols, by=["t"], method="sort"))
+    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a] == \
+        [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b]

@@ -91,3 +91,14 @@ def test_split_keeps_class_share_within_one_row(spark):
     for y in (0, 1):
         n = c[(y, "train")] + c[(y, "test")]
         assert abs(c[(y, "test")] - 0.2 * n) <= 1
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 6)), min_size=1, max_size=120),
+       st.lists(st.floats(0, 1), min_size=1, max_size=4))
+def test_select_quantiles_equal_sort_quantiles(spark, data, probs):
+    from vidmart.operators.ranking import exact_quantiles
+    df = spark.createDataFrame(data, "g string, v long")
+    a = rows(exact_quantiles(df, "v", probs, ["g"], method="select"))
+    b = rows(exact_quantiles(df, "v", probs, ["g"], method="sort"))
+    assert [(g, q, round(x, 9)) for g, q, x in a] == [(g, q, round(x, 9)) for g, q, x in b]

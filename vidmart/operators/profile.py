@@ -64,7 +64,7 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "exact") -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "sort") -> DataFrame:
     """pandas ``describe()`` per column (and per group): count, mean, sample
     std, min, quartiles (linear), max, plus missing and zero counts."""
     long = _long(df, cols, by)
@@ -134,7 +134,7 @@ def histogram(df: DataFrame, col: str | Column, bins: int = 50, log10: bool = Fa
 
 
 def box_stats(df: DataFrame, col: str | Column, by: Sequence[str] = (), whisker: float = 1.5,
-              method: str = "exact") -> DataFrame:
+              method: str = "sort") -> DataFrame:
     """Box-plot numbers per group: n, q1, median, q3, whiskers at
     ``whisker``*IQR clipped to the data, and the outlier count.
     Pass 1: exact quartiles (distributed sort). Pass 2: join the per-group

@@ -85,13 +85,98 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Mapping[s
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], by: Sequence[str] = (),
-                    name: str = "q") -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas ``quantile``, SQL
-    ``percentile_cont``) of ``value`` per ``by`` group, long form
-    (by..., ``name``, value). NULL values are ignored.
+                    name: str = "q", method: str = "sort", accuracy: int = 10_000) -> DataFrame:
+    """Exact linear-interpolation quantiles per ``by`` group, long form
+    (by..., ``name``, value); NULL values ignored.
+
+    ``method="sort"`` (default) ranks all values with one distributed sort;
+    cheapest while a sort of the input is cheap. ``method="select"`` avoids
+    sorting the data, for inputs where that shuffle dominates: a bounded
+    sketch brackets each target rank, one pass counts the rows below each
+    bracket and keeps the rows inside it (a few per mille), and only that
+    band is ranked. The brackets are verified; if one does not hold, the sort
+    method answers instead, so both methods are exact."""
+    if method == "select":
+        out = _select_quantiles(df, value, probs, by, name, accuracy)
+        if out is not None:
+            return out
+    return _sort_quantiles(df, value, probs, by, name)
+
+
+def _select_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], by: Sequence[str],
+                      name: str, accuracy: int) -> DataFrame | None:
+    v = F.col(value) if isinstance(value, str) else value
+    d = df.select(*by, v.cast("double").alias("_vm_v")).where(F.col("_vm_v").isNotNull())
+    k = len(probs)
+    margin = 3.0 / accuracy                       # sketch rank error is at most n / accuracy
+    lo_p = [max(0.0, float(q) - margin) for q in probs]
+    hi_p = [min(1.0, float(q) + margin) for q in probs]
+    aggs = [F.count(F.lit(1)).alias("_vm_n"), F.min("_vm_v").alias("_vm_mn"), F.max("_vm_v").alias("_vm_mx"),
+            F.percentile_approx("_vm_v", lo_p + hi_p, accuracy).alias("_vm_pa")]
+    g = d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
+    lo = F.array(*[F.col("_vm_mn") if lo_p[i] == 0.0 else F.col("_vm_pa")[i] for i in range(k)])
+    hi = F.array(*[F.col("_vm_mx") if hi_p[i] == 1.0 else F.col("_vm_pa")[k + i] for i in range(k)])
+    g = g.select(*by, "_vm_n", lo.alias("_vm_lo"), hi.alias("_vm_hi"))
+    # one pass over the data: rows below each bracket, and the rows inside it
+    j = _join_on(d, g, list(by))
+    idx = F.sequence(F.lit(0), F.lit(k - 1))
+    below = j.groupBy(*by).agg(*[F.count_if(F.col("_vm_v") < F.col("_vm_lo")[i]).alias(f"_vm_b{i}")
+                                 for i in range(k)])
+    band = j.select(*by, "_vm_v", F.explode(F.filter(idx, lambda i: (F.col("_vm_v") >= F.col("_vm_lo")[i]) &
+                                                     (F.col("_vm_v") <= F.col("_vm_hi")[i]))).alias("_vm_i"))
+    ranked = global_rank(band, [*by, "_vm_i", "_vm_v"], name="_vm_r")
+    bstats = ranked.groupBy(*by, "_vm_i").agg(F.min("_vm_r").alias("_vm_start"), F.count(F.lit(1)).alias("_vm_bn"))
+    qs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
+    t = _join_on(g, below, list(by))
+    t = t.select(*by, "_vm_n", *[f"_vm_b{i}" for i in range(k)], F.explode(qs).alias("_vm_x"))
+    t = t.select(*by, "_vm_n", F.col("_vm_x.i").alias("_vm_i"), F.col("_vm_x.q").alias(name),
+                 F.element_at(F.array(*[F.col(f"_vm_b{i}") for i in range(k)]), F.col("_vm_x.i") + 1)
+                 .alias("_vm_below"))
+    pos = (F.col("_vm_n") - 1).cast("double") * F.col(name)
+    t = (t.withColumn("_vm_lo_r", F.floor(pos).cast("bigint")).withColumn("_vm_hi_r", F.ceil(pos).cast("bigint"))
+         .withColumn("_vm_frac", pos - F.floor(pos)))
+    t = _join_on(t, bstats, [*by, "_vm_i"], "left")
+    t = t.withColumn("_vm_ok", F.coalesce((F.col("_vm_lo_r") >= F.col("_vm_below")) &
+                                          (F.col("_vm_hi_r") < F.col("_vm_below") + F.col("_vm_bn")), F.lit(False)))
+    t = t.checkpoint(eager=True)
+    if t.where(~F.col("_vm_ok")).limit(1).count() > 0:   # a bracket missed: answer by sorting
+        return None
+    need = t.select(*by, name, "_vm_frac", F.explode(F.array(
+        F.struct(F.lit("lo").alias("side"),
+                 (F.col("_vm_start") + F.col("_vm_lo_r") - F.col("_vm_below")).alias("r")),
+        F.struct(F.lit("hi").alias("side"),
+                 (F.col("_vm_start") + F.col("_vm_hi_r") - F.col("_vm_below")).alias("r")))).alias("_vm_x"))
+    need = need.select(*by, name, "_vm_frac", F.col("_vm_x.side").alias("_vm_side"), F.col("_vm_x.r").alias("_vm_r"))
+    vals = need.join(ranked.select("_vm_r", "_vm_v"), "_vm_r")
+    picked = vals.groupBy(*by, name, "_vm_frac").agg(
+        F.max(F.when(F.col("_vm_side") == "lo", F.col("_vm_v"))).alias("_vm_vlo"),
+        F.max(F.when(F.col("_vm_side") == "hi", F.col("_vm_v"))).alias("_vm_vhi"))
+    return picked.select(*by, name, (F.col("_vm_vlo") + (F.col("_vm_vhi") - F.col("_vm_vlo")) * F.col("_vm_frac"))
+                         .alias("value"))
+
+
+def _join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` that also matches NULL group keys (groupBy keeps them)."""
+    if not keys:
+        return _with_group_scalars(a, b)
+    r = b.select(*[F.col(c).alias(f"_vm_k_{c}") if c in keys else F.col(c) for c in b.columns])
+    cond = [a[c].eqNullSafe(r[f"_vm_k_{c}"]) for c in keys]
+    return a.join(r, cond, how).drop(*[f"_vm_k_{c}" for c in keys])
+
+
+def _with_group_scalars(d: DataFrame, g: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row (ungrouped) frame as scalar subqueries."""
+    out = d
+    for c in g.columns:
+        out = out.withColumn(c, g.select(c).scalar())
+    return out
+
 
-    One distributed sort instead of a per-group value->count map, so a hot
-    group (a third of all rows) is spread over many tasks."""
+def _sort_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], by: Sequence[str],
+                    name: str) -> DataFrame:
+    """Sort method: one distributed sort of all values instead of a per-group
+    value->count map, so a hot group (a third of all rows) is spread over
+    many tasks."""
     v = F.col(value) if isinstance(value, str) else value
     d = df.select(*by, v.cast("double").alias("_vm_v")).where(F.col("_vm_v").isNotNull())
     ranked = global_rank(d, [*by, "_vm_v"], name="_vm_r")
@@ -116,17 +201,18 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
 
 
 def quantile_columns(df: DataFrame, value: str | Column, probs: Mapping[str, float],
-                     by: Sequence[str] = (), method: str = "exact", accuracy: int = 10_000) -> DataFrame:
+                     by: Sequence[str] = (), method: str = "sort", accuracy: int = 10_000) -> DataFrame:
     """Wide form of ``exact_quantiles``: one column per named probability.
     Groups whose values are all NULL do not appear.
 
-    ``method="approx"`` trades exactness for one pass: ``percentile_approx``
+    ``method`` is "sort" or "select" (both exact, see ``exact_quantiles``) or
+    "approx", which trades exactness for one pass: ``percentile_approx``
     keeps a bounded sketch per group (relative rank error 1/accuracy)."""
     if method == "approx":
         v = (F.col(value) if isinstance(value, str) else value).cast("double")
         arr = F.percentile_approx(v, list(map(float, probs.values())), accuracy)
         g = df.groupBy(*by).agg(arr.alias("_vm_q")) if by else df.agg(arr.alias("_vm_q"))
         return g.select(*by, *[F.col("_vm_q")[i].alias(k) for i, k in enumerate(probs)])
-    long = exact_quantiles(df, value, list(probs.values()), by)
+    long = exact_quantiles(df, value, list(probs.values()), by, method=method, accuracy=accuracy)
     aggs = [F.max(F.when(F.col("q") == F.lit(float(p)), F.col("value"))).alias(k) for k, p in probs.items()]
     return long.groupBy(*by).agg(*aggs) if by else long.agg(*aggs)
