@@ -34,11 +34,13 @@ def _cols(cols):
 def _ranged(df: DataFrame, order: Sequence[Column | str], num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _cols(order)
     salted = df.withColumn(_SALT, F.monotonically_increasing_id())
     keys = [*order, F.col(_SALT)]
-    ranged = salted.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may merge neighbouring ranges (it only
+    # coalesces contiguous partitions, so range order is kept)
+    ranged = (salted.repartitionByRange(num_partitions, *keys) if num_partitions
+              else salted.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     fixed = ranged.checkpoint(eager=True)
     # the checkpoint keeps the source's attribute ids; fresh aliases let the
     # result be joined back to frames of the same lineage (e.g. box_stats)
