@@ -323,3 +323,10 @@ def test_select_method_matches_sort_on_driver_data(spark):
     b = rows(P.describe_numeric(li, cols, by=["t"], method="sort"))
     assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a] == \
         [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b]
+
+
+def test_scale_conf_sizes_partitions():
+    from vidmart.session import scale_conf
+    c = scale_conf(100 * (1 << 40), cores=8000)            # 100 TB on 8000 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16

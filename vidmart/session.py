@@ -61,3 +61,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path below the checkpoint root."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def scale_conf(input_bytes: int, cores: int, target_partition_mb: int = 256,
+               dimension_broadcast_mb: int = 64) -> dict[str, str]:
+    """Settings for a cluster run, sized from the input volume.
+
+    Shuffle partitions are chosen so one partition holds about
+    ``target_partition_mb`` of input (at least 2 waves of the cores; AQE then
+    coalesces small ones and splits skewed ones); dimension tables up to
+    ``dimension_broadcast_mb`` are broadcast by measured size."""
+    parts = max(2 * cores, -(-input_bytes // (target_partition_mb << 20)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_mb << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.autoBroadcastJoinThreshold": str(dimension_broadcast_mb << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
