@@ -330,3 +330,32 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * (1 << 40), cores=8000)            # 100 TB on 8000 cores
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_land_csv_multiline_and_quotes(spark, tmp_path):
+    from vidmart import schemas as S
+    src = tmp_path / "raw_video.csv"
+    src.write_text(
+        "video_id,title,description,channel_id,channel_title,publish_time,thumbnail,keyword,topic,source,discover_time\n"
+        'v1,Song,"line one\nline ""two""",c1,Chan,2024-01-01T00:00:00Z,u,k,music,search,2024-01-02 00:00:00\n'
+        "v2,Game,,c2,Chan2,bad,u,k,,trending,2024-01-02 00:00:00\n", encoding="utf-8")
+    dst = str(tmp_path / "landed")
+    IO.land_csv(spark, str(src), dst, S.RAW_VIDEO)
+    got = {r.video_id: r for r in IO.read_table(spark, dst).collect()}
+    assert got["v1"].description == 'line one\nline "two"' and got["v2"].topic is None
+    assert IO.read_table(spark, dst, cols=["video_id"], where=F.col("source") == "search").count() == 1
+
+
+def test_join_helpers_and_small_scalars(spark):
+    from vidmart.functions import numeric as NU
+    from vidmart.functions import text as TX
+    from vidmart.operators import joins as J
+    df = spark.createDataFrame([(1, 10), (2, 99), (3, None)], "id int, code int")
+    dim = spark.createDataFrame([(10, "ten")], "k int, name string")
+    got = rows(J.lookup_join(df, "code", dim, "k", {"name": "label"}, default="Unknown").select("id", "label"))
+    assert got == [(1, "ten"), (2, "Unknown"), (3, "Unknown")]
+    other = spark.createDataFrame([(1, 5.0), (2, None)], "id int, score double")
+    assert rows(J.inner_complete(df, other, "id", ["score"]).select("id")) == [(1,)]
+    x = spark.createDataFrame([(1234567.0, -5.0)], "a double, b double")
+    r = x.select(TX.thousands("a"), NU.clamp("b", 1, 99), *NU.log1p_cols(["a"]).values()).first()
+    assert r[0] == "1,234,567" and r[1] == 1.0 and r[2] > 14
