@@ -57,3 +57,26 @@ def test_refresh_end_to_end(spark):
     assert c[("v3", 12)].country_region == "South Asia"   # no country, no language -> audio language 'pa'
     ml = {r.video_id: r for r in ml_table(cleaned).collect()}
     assert ml["v1"].is_trending is True and ml["v1"].publish_hour == 10
+
+
+def test_publish_warehouse_bucketed(spark):
+    import contextlib
+    import io
+
+    from vidmart.plans.refresh import publish_warehouse
+    video, stats, chan = landing(spark)
+    w = refresh_warehouse(video, stats, chan, channel_order=["ingest_seq"])
+    saved = publish_warehouse(w, prefix="t_pub", buckets=4)
+    assert "t_pub_fact_video_metrics" in saved and "t_pub_dim_topic" in saved
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact, dim = spark.table("t_pub_fact_video_metrics"), spark.table("t_pub_dim_video").drop(
+            "channel_id", "time_id", "source")
+        j = fact.join(dim, "video_id", "left")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            j.explain()
+        assert "Exchange" not in buf.getvalue() and j.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -72,3 +72,20 @@ def ml_table(cleaned: DataFrame) -> DataFrame:
     feats = [c for c in ML_FEATURES if c in cleaned.columns]
     d = cleaned.withColumn("is_trending", F.col("is_trending").cast("boolean"))
     return ml_dataset(d.select("video_id", "snapshot_time", *feats), "video_id", ["snapshot_time"], feats)
+
+
+def publish_warehouse(tables: dict[str, DataFrame], prefix: str = "vm", buckets: int = 64) -> list[str]:
+    """Save the refreshed tables as catalog tables. Tables keyed by video
+    (dim_video, fact_video_metrics, final_dataset) are bucketed and sorted by
+    ``video_id`` with one bucket count, so later joins between them need no
+    shuffle; the other dimensions are small and written plainly."""
+    from ..sources.io import write_bucketed
+    saved = []
+    for name, df in tables.items():
+        table = f"{prefix}_{name}"
+        if "video_id" in df.columns:
+            write_bucketed(df, table, "video_id", buckets)
+        else:
+            df.write.mode("overwrite").format("parquet").saveAsTable(table)
+        saved.append(table)
+    return saved
