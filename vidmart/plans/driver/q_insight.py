@@ -31,7 +31,7 @@ def label_impact_weekday(spark, sf):
 
 
 from ...functions import text as TX  # noqa: E402
-from ...functions.timefn import age_label as age_label_fn, date_label, publish_parts as publish_parts_fn, weekday_name  # noqa: E402,E501
+from ...functions.timefn import weekday_name  # noqa: E402
 from ...operators.dedup import dedup  # noqa: E402
 from ...operators.insight import (complete_domain, crosstab, crosstab_pct, group_mean, rank_rows,  # noqa: E402
                                   rate_vs_mean, top_k, topn_totals)

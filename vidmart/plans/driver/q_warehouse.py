@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import lookups as LK
-from ...functions.timefn import hours_between, weekday0, weekday_name
+from ...functions.timefn import hours_between, weekday0
 from ...operators.dedup import first_snapshot, membership_flag
 from ...operators.joins import inner_complete, lookup_join
 from ...operators.ranking import quantile_columns
