@@ -28,12 +28,21 @@ def keyed(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), *cols)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back (cuts the lineage)."""
+def saved(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back (cuts the lineage).
+
+    bucket: also keep it in as many buckets of that column as there are shuffle partitions,
+    so that a later join on it leaves these rows where they are."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if bucket is None:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer.format("parquet").option("path", path).bucketBy(parts, bucket).saveAsTable(table)
+    return spark.table(table)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from vidmart.llm.arrays import TOP, U, byte_prefix, prefix, runs, sliding_min, span
 from vidmart.llm.common import documents, text_arrays
-from vidmart.llm.repeats import repeated, segments, union
+from vidmart.llm.repeats import cutter, repeated, segments, sharded, union, windows
 
 WINDOW = 100
 GRAM = 32
@@ -36,7 +36,7 @@ BLOCK = 1 << 21
 PLACE_BITS = U(22)
 #: Bytes of segments in one suffix array.
 SHARD_BYTES = 1 << 21
-#: A key with more distinct segments than this is dealt out window by window.
+#: A key with more segments than this is dealt out window by window.
 HOT_SEGMENTS = 4096
 
 
@@ -69,16 +69,14 @@ def window_anchors(width: int = WINDOW, gram: int = GRAM):
             chosen = (least & ((U(1) << PLACE_BITS) - U(1))).astype(np.int64) + base
             chosen[least == TOP] = -1
             choice[base:base + len(chosen)] = chosen
-        room = np.maximum(size - width + 1, 0)  # windows of each text
-        text = np.repeat(np.arange(len(size)), room)
-        starts = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(offsets[:-1], room)
+        text, starts = windows(offsets[:-1], size, width)
 
         def keys(place, lo):
             own = place < 0
             at = np.where(own, lo, place)
             return span(hashes, at, at + np.where(own, width, gram))
 
-        text, key, seg, lo, hi = segments(choice[starts], text, starts, hashes, width, keys)
+        text, key, seg, lo, hi = segments(choice[starts], lambda at: at, text, starts, hashes, width, keys)
         return text, key, seg, lo - offsets[text], hi - offsets[text]
 
     return find
@@ -232,96 +230,34 @@ def earlier_windows(parts: list[bytes], places: np.ndarray, n_windows: np.ndarra
     inner = np.arange(len(raw)) - begin[part]
     is_window = np.append(inner < n_windows[part], False)
     at, group = sa[is_window[sa]], group[is_window[sa]]
-    # order by (group, place): all but the first of a group are repeats
     of, off = part[at], inner[at]
     order = np.lexsort((places[of, 2] + off, places[of, 1], places[of, 0], group))
-    again = np.concatenate([[False], group[order][1:] == group[order][:-1]])
-    hit = order[again]
+    group, ord_, rid = group[order], places[of[order], 0], places[of[order], 1]
+    first = runs(group)
+    least = np.repeat(ord_[first], np.diff(np.append(first, len(group)))) if len(group) else ord_
+    again = np.concatenate([[False], (group[1:] == group[:-1]) & (rid[1:] == rid[:-1])])[:len(group)]
+    hit = order[again | (ord_ > least)]
     return of[hit], off[hit]
 
 
 # ---- the operator
 
-CUT = "key long, sub long, ord long, rid long, lo int, n int, bytes binary"
-
-
-def cutter(width: int, hot: int = HOT_SEGMENTS):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["key", "sub", "ord", "rid", "lo", "n", "bytes"]
-
-    def cut(batches):
-        for batch in batches:
-            raw, offsets = text_arrays(batch.column("text"))
-            data = raw.tobytes()
-            rows = []
-            for begin, ord_, rid, reps in zip(offsets[:-1].tolist(), *(batch.column(c).to_pylist() for c in ("ord", "rid", "reps")), strict=True):
-                for r in reps:
-                    lo, hi = r["lo"], r["hi"]
-                    if r["nseg"] <= hot:
-                        rows.append((r["key"], 0, ord_, rid, lo, hi - lo + 1, data[begin + lo:begin + hi + width]))
-                        continue
-                    for at in range(lo, hi + 1):  # a hot key: each window by its own content
-                        window = data[begin + at:begin + at + width]
-                        sub = int.from_bytes(hashlib.blake2b(window, digest_size=7).digest(), "little") + 1
-                        rows.append((r["key"], sub, ord_, rid, at, 1, window))
-                if len(rows) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    cut.schema = CUT
-    return cut
-
-
-def shard_solver(width: int, shard_bytes: int = SHARD_BYTES):
-    """Spans of the segments' windows that start earlier, shard by shard.
-
-    Rows meet by (key, sub); a shard takes whole keys until it is full."""
-    def solve(rows: DataFrame) -> DataFrame:
-        # windows of a hot key that are equal: only the earliest and the rest's places matter
-        met = rows.repartition(F.col("key"), F.col("sub")).sortWithinPartitions("key", "sub", "ord", "rid", "lo")
-
-        def shards(batches):
-            held, size, last, first = [], 0, None, None
-            for batch in batches:
-                cols = [batch.column(c).to_pylist() for c in ("key", "sub", "ord", "rid", "lo", "n", "bytes")]
-                for key, sub, *row in zip(*cols, strict=True):
-                    if (key, sub) != last:
-                        if size >= shard_bytes:
-                            yield from spans(held)
-                            held, size = [], 0
-                        last, first = (key, sub), row
-                    elif sub and size >= shard_bytes:  # equal windows, in order: the first one is enough
-                        yield from spans(held)
-                        held, size = [first], len(first[4])
-                    held.append(row)
-                    size += len(row[4]) + 1
-            if held:
-                yield from spans(held)
-
-        def spans(held):
-            places = np.array([r[:3] for r in held], np.int64)
-            n = np.array([r[3] for r in held], np.int64)
-            part, at = earlier_windows([r[4] for r in held], places, n, width)
-            if len(part):
-                lo = places[part, 2] + at
-                yield pa.RecordBatch.from_arrays([pa.array(places[part, 1]), pa.array(lo.astype(np.int32)),
-                                                  pa.array((lo + width).astype(np.int32))], ["rid", "lo", "hi"])
-
-        return met.mapInArrow(shards, "rid long, lo int, hi int")
-
-    return solve
+def pieces(width: int):
+    def of(raw: np.ndarray, offsets: np.ndarray):
+        data = raw.tobytes()
+        return lambda i, lo, hi: data[offsets[i] + lo:offsets[i] + hi + width]
+    return of
 
 
 def removed_bytes(docs: DataFrame, finish, out: T.StructType, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Apply ``finish(batch, spans)`` to every document with the byte spans it loses.
 
     A byte goes when a ``width``-byte string that covers it also starts earlier: at a smaller
-    doc_id (null first), or earlier in the same document; rows that repeat a doc_id are ordered
-    by their place in the table. docs: rid, ord (the doc_id as a long), text and any columns
+    doc_id (null first), or earlier in the same document; rows that repeat a doc_id take nothing
+    from one another. docs: rid, ord (the doc_id as a long), text and any columns
     that finish reads. Null, empty and shorter texts lose nothing."""
-    return repeated(docs, window_anchors(width, gram), width, True, cutter(width), shard_solver(width), finish, out)
+    return repeated(docs, window_anchors(width, gram), width, True, cutter(pieces(width), HOT_SEGMENTS),
+                    sharded(lambda parts, places, n: earlier_windows(parts, places, n, width), width, SHARD_BYTES), finish, out)
 
 
 def order_of(doc_id) -> F.Column:
