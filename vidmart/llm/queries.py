@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vidmart.llm import bpe, packing, recompress, suffix
+from vidmart.llm import bpe, neardup, packing, recompress, suffix
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op7_substring_dedup": recompress.op7_substring_dedup,
     "op9_pack": packing.op9_pack,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
