@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from vidmart.llm import bpe, neardup, packing, recompress, suffix
+from vidmart.llm import bpe, chat, knn, lines, neardup, packing, quality, recompress, suffix, toxicity
 
 QUERIES = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
+    "op2_topk": knn.op2_topk,
+    "op3_quality": quality.op3_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op6_chat": chat.op6_chat,
     "op7_substring_dedup": recompress.op7_substring_dedup,
+    "op8_line_rules": lines.op8_line_rules,
     "op9_pack": packing.op9_pack,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
 
 #: DuckDB SQL, where it can say the same over whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_topk": knn.SQL,
+    "op8_line_rules": lines.SQL,
+}

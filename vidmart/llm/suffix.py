@@ -264,6 +264,37 @@ def order_of(doc_id) -> F.Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("ord")
 
 
+def whole_characters(batch: pa.RecordBatch, spans: list[np.ndarray]) -> list[pa.Array]:
+    """(row, text): the text without its spans, shrunk to whole characters; a null text stays null."""
+    column = batch.column("text")
+    raw, offsets = text_arrays(column)
+    inner = (raw & 0xC0) == 0x80  # bytes that go on a character
+    data, texts = raw.tobytes(), []
+    for i, own in enumerate(spans):
+        begin, end = int(offsets[i]), int(offsets[i + 1])
+        out, at = [], begin
+        for a, b in zip(*(x.tolist() for x in union(own)), strict=True):
+            a, b = begin + a, begin + b
+            while a < b and inner[a]:
+                a += 1
+            while b > a and b < end and inner[b]:
+                b -= 1
+            out.append(data[at:a])
+            at = b
+        out.append(data[at:end])
+        texts.append(b"".join(out).decode() if column[i].is_valid else None)
+    return [batch.column("row"), pa.array(texts, pa.string())]
+
+
+def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """docs (doc_id, text, any others) with each text cut by removed_bytes(); all rows and columns stay."""
+    others = [c for c in docs.columns if c != "text"]
+    held = docs.select(F.monotonically_increasing_id().alias("rid"), order_of(F.col("doc_id")), "text", F.struct(*others).alias("row"))
+    out = T.StructType().add("row", held.schema["row"].dataType).add("text", "string")
+    cut = removed_bytes(held, whole_characters, out, width)
+    return cut.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 DIGEST = (T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
           .add("kept_sha256", "string"))
 
