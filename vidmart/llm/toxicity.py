@@ -1,7 +1,8 @@
 """Document toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words of letters and, marked by a star, their first 4, 5 and 6
-letters. Of the terms of the examples those are kept that tell the classes apart
+letters; "term@3" stands for texts that have the term three times or more (a cosine
+does not tell one use from five). Of the terms of the examples those are kept that tell the classes apart
 (chi-square over examples, copies of one text counted once). Document frequencies are
 counted over every document; a text is the unit vector of (1 + log tf) * idf.
 
@@ -37,6 +38,7 @@ MAX_TERMS = 1_024
 LEAST_EXAMPLES = 4
 LEAST_CHI = 25.0
 PREFIXES = (4, 5, 6)
+LEVELS = (1, 2, 3, 5)
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7
@@ -46,8 +48,14 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> set[str]:
-    words = set(WORD.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
+    uses = Counter(WORD.findall(text.lower()))
+    heads: Counter = Counter()
+    for w, n in uses.items():
+        for k in PREFIXES:
+            if len(w) > k:
+                heads[w[:k] + "*"] += n
+    uses.update(heads)
+    return {t if level == 1 else f"{t}@{level}" for t, n in uses.items() for level in LEVELS if n >= level}
 
 
 def copy_key(text: str) -> int:
@@ -70,23 +78,25 @@ class Vocabulary:
         if not self.terms:
             return Counter()
         if self.auto is None:
-            by: dict[str, list[tuple[int, bool]]] = {}
+            by: dict[str, dict[bool, list[tuple[int, int]]]] = {}
             for i, t in enumerate(self.terms):
-                by.setdefault(t.rstrip("*"), []).append((i, t.endswith("*")))
+                base, _, level = t.partition("@")
+                by.setdefault(base.rstrip("*"), {}).setdefault(base.endswith("*"), []).append((i, int(level or 1)))
             self.auto = ahocorasick.Automaton()
             for word, uses in by.items():
-                self.auto.add_word(word, (len(word), uses))
+                self.auto.add_word(word, (word, uses))
             self.auto.make_automaton()
         text = text.lower()
-        out: Counter = Counter()
-        for end, (size, uses) in self.auto.iter(text):
-            if end >= size and letter(text[end - size]):
+        seen: Counter = Counter()
+        which = {}
+        for end, (word, uses) in self.auto.iter(text):
+            if end >= len(word) and letter(text[end - len(word)]):
                 continue
-            inside = end + 1 < len(text) and letter(text[end + 1])
-            for i, is_prefix in uses:
-                if is_prefix == inside:  # a prefix goes on, a word does not
-                    out[i] += 1
-        return out
+            inside = end + 1 < len(text) and letter(text[end + 1])  # a prefix goes on, a word does not
+            if inside in uses:
+                seen[word, inside] += 1
+                which[word, inside] = uses[inside]
+        return Counter({i: n for key, n in seen.items() for i, level in which[key] if n >= level})
 
 
 def letter(c: str) -> bool:
