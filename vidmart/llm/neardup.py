@@ -8,12 +8,15 @@ table when it shares a key of both collections: (1 - (1 - s**rows)**tables)**2,
 
 1. Documents with equal sets are one class, its smallest doc_id stands for it.
 2. A table's key can only meet others if both its halves do; halves that occur once are
-   dropped before the pairs are formed.
-3. In each table the smallest document is the leader; each document is confirmed, on the
-   words, against the leaders that it shares most tables with.
-4. Components of the confirmed links; then every two documents that share a table and are
-   still in different components are confirmed too. Links inside a component can add
-   nothing, so no group is expanded into all its pairs.
+   dropped before the pairs are formed. A document's weight counts the documents that
+   share its halves: the original of many copies has the greatest.
+3. In each table the weightiest document is the leader; each document is confirmed, on
+   the words, against the leaders that it shares most tables with.
+4. Components of the confirmed links. What is still apart is compared too: within the
+   neighbourhood of a leader block against block, where only documents outside its main
+   component look for links and only links are put out; across neighbourhoods as pairs
+   that share a table. Links inside a component can add nothing, so no group is expanded
+   into all its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ TABLES = 15
 ROWS = 3
 #: Leaders that a document is confirmed against before components are first formed.
 LEADERS = 2
+#: Tables shared with its best leader from which a document is of the leader's neighbourhood.
+NEAR_TABLES = 16
+#: Documents of one side of a comparison of blocks.
+BLOCK_DOCS = 1_000
 SIMILAR = 80
 
 
@@ -90,8 +97,10 @@ def sketch(docs: DataFrame, size: int, tables: int = TABLES, rows: int = ROWS) -
             .mapInArrow(of, "doc_id long, n long, fp1 long, fp2 long, a array<long>, b array<long>"))
 
 
-def table_rows(lists: DataFrame) -> DataFrame:
-    """(key, doc, component, n) for every pair of a key of both collections."""
+def table_rows(lists: DataFrame, *carry: str) -> DataFrame:
+    """(key, doc, carry) for every pair of a key of both collections; carry are long columns."""
+    names = ["key", "doc", *carry]
+
     def of(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
@@ -104,14 +113,14 @@ def table_rows(lists: DataFrame) -> DataFrame:
                 i = (np.cumsum(na) - na)[row] + inner // nb[row]
                 j = (np.cumsum(nb) - nb)[row] + inner % nb[row]
                 key = mix(a[i] * U(3) + mix(b[j]))
-                cols = [part.column(c).to_numpy()[row] for c in ("doc", "component", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, cols)], ["key", "doc", "component", "n"])
+                cols = [part.column(c).to_numpy()[row] for c in names[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, cols)], names)
 
-    return lists.mapInArrow(of, "key long, doc long, component long, n long")
+    return lists.mapInArrow(of, ", ".join(f"{c} long" for c in names))
 
 
 def leader_pairs(rows: DataFrame) -> DataFrame:
-    """(u, v, n) : document v shares n tables with u, the smallest document there."""
+    """(u, v, n): document v shares n tables with u, the weightiest document there."""
     def of(batches):
         last = leader = None
         for batch in batches:
@@ -128,43 +137,48 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
             pairs, n = np.unique(np.stack([lead[use], doc[use]], 1), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["u", "v", "n"])
 
-    near = rows.select("key", "doc").repartition("key").sortWithinPartitions("key", "doc")
+    near = rows.select("key", "doc", "weight").repartition("key").sortWithinPartitions("key", F.desc("weight"), "doc").select("key", "doc")
     return near.mapInArrow(of, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
 def open_pairs(rows: DataFrame, similar: int) -> DataFrame:
-    """Distinct pairs of documents of different components that share a table and whose set
-    sizes allow the similarity."""
-    def pairs_of(doc, component, n):
+    """Distinct pairs of documents of different components and neighbourhoods that share a
+    table and whose set sizes allow the similarity."""
+    names = ("key", "doc", "component", "g", "n")
+
+    def pairs_of(doc, component, g, n):
         order = np.argsort(component, kind="stable")
-        doc, component, n = doc[order], component[order], n[order]
+        doc, component, g, n = doc[order], component[order], g[order], n[order]
         after = np.searchsorted(component, component, "right")
         for i in np.flatnonzero(after < len(doc)):
             j = np.arange(after[i], len(doc))
-            j = j[100 * np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j])]
+            j = j[(g[j] != g[i]) & (100 * np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]))]
             if len(j):
                 yield np.full(len(j), doc[i]), doc[j]
 
+    def flush(out):
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
     def of(batches):
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * len(names)
         out, size = [], 0
         for batch in [*batches, None]:
             if batch is None:
                 cols, end = held, len(held[0])
             else:
-                cols = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "doc", "component", "n"), strict=True)]
+                cols = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
                 if not len(cols[0]):
                     continue
                 end = int(runs(cols[0])[-1])  # the last key may go on in the next batch
             held = [c[end:] for c in cols]
-            key, doc, component, n = (c[:end] for c in cols)
+            key, doc, component, g, n = (c[:end] for c in cols)
             at = np.append(runs(key), len(key))
             if len(key):
-                low = np.minimum.reduceat(component, at[:-1])
-                high = np.maximum.reduceat(component, at[:-1])
-                for g in np.flatnonzero(low != high):
-                    s = slice(at[g], at[g + 1])
-                    for u, v in pairs_of(doc[s], component[s], n[s]):
+                apart = np.minimum.reduceat(g, at[:-1]) != np.maximum.reduceat(g, at[:-1])
+                for t in np.flatnonzero(apart):
+                    s = slice(at[t], at[t + 1])
+                    for u, v in pairs_of(doc[s], component[s], g[s], n[s]):
                         out.append(np.stack([u, v], 1))
                         size += len(u)
                         if size > 50_000:
@@ -173,28 +187,65 @@ def open_pairs(rows: DataFrame, similar: int) -> DataFrame:
         if out:
             yield flush(out)
 
-    def flush(out):
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
     near = rows.repartition("key").sortWithinPartitions("key")
     return near.mapInArrow(of, "u long, v long").distinct()
 
 
+def shingle_set(text: str, size: int) -> set:
+    words = text.encode().lower().split()
+    return set(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
+
+
+def links_within(placed: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
+    """Links (u, v) between components of one neighbourhood; placed: (doc, component, g).
+
+    Documents outside the neighbourhood's main component (the largest) look for links among
+    all its documents. Both sides are dealt into blocks; a task holds one block of either."""
+    sizes = placed.groupBy("g", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"))
+    main = main.where(F.col("total") > F.col("m.c")).select("g", F.col("m.component").alias("main"), "total", (F.col("total") - F.col("m.c")).alias("minor"))
+    both = placed.join(main, "g").withColumn("is_minor", F.col("component") != F.col("main"))
+    blocks, chunks = F.ceil(F.col("total") / BLOCK_DOCS), F.ceil(F.col("minor") / BLOCK_DOCS)
+    spread = lambda count: F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
+    place = lambda count: F.pmod(F.xxhash64("doc"), count).cast("int")
+    all_rows = both.select("g", place(blocks).alias("block"), spread(chunks).alias("chunk"), "doc", "component", F.lit(False).alias("looks"))
+    minors = both.where("is_minor").select("g", spread(blocks).alias("block"), place(chunks).alias("chunk"), "doc", "component", F.lit(True).alias("looks"))
+    rows = all_rows.unionByName(minors).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, component, looks = (table.column(c).to_numpy() for c in ("doc", "component", "looks"))
+        sets = [shingle_set(x, size) for x in table.column("text").to_pylist()]
+        number: dict = {}
+        ids = [np.array([number.setdefault(x, len(number)) for x in s], np.int64) for s in sets]
+        n = np.array([len(s) for s in ids])
+        among = np.flatnonzero(~looks)
+        shingle = np.concatenate([ids[i] for i in among]) if len(among) else np.zeros(0, np.int64)
+        owner = np.repeat(among, n[among])
+        order = np.argsort(shingle, kind="stable")
+        owner, start = owner[order], np.searchsorted(shingle[order], np.arange(len(number) + 1))
+        u, v = [], []
+        for i in np.flatnonzero(looks):
+            hits = np.concatenate([owner[start[s]:start[s + 1]] for s in ids[i]]) if n[i] else owner[:0]
+            common = np.bincount(hits, minlength=len(doc))
+            found = np.flatnonzero((common > 0) & (100 * common >= similar * (n + n[i] - common)) & (component != component[i]))
+            u.append(doc[found])
+            v.append(np.full(len(found), doc[i]))
+        pairs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v)]
+        return pa.table({"u": pa.array(pairs[0], pa.int64()), "v": pa.array(pairs[1], pa.int64())})
+
+    return rows.groupBy("g", "block", "chunk").applyInArrow(compare, "u long, v long").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
     """The pairs (u, v) whose sets of shingles, made of the words themselves, are similar enough."""
-    def shingle_set(text: str) -> set:
-        words = text.encode().lower().split()
-        return set(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
-
     def of(batches):
         last, mine = None, None
         for batch in batches:
             u, v = [], []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text_u", "text_v")), strict=True):
                 if a != last:
-                    last, mine = a, shingle_set(x)
-                other = shingle_set(y)
+                    last, mine = a, shingle_set(x, size)
+                other = shingle_set(y, size)
                 both = len(mine & other)
                 if both and 100 * both >= similar * (len(mine) + len(other) - both):
                     u.append(a)
@@ -222,24 +273,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
 
     def shared(c: str) -> DataFrame:
         keys = reps.select(F.col("doc_id").alias("doc"), F.explode(c).alias("key"))
-        often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        return keys.join(often, "key", "left_semi").groupBy("doc").agg(F.collect_list("key").alias(c))
+        often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        return keys.join(often, "key").groupBy("doc").agg(F.collect_list("key").alias(c), F.sum("c").alias("w" + c))
 
     sizes = reps.groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "doc")
-    lists = saved(shared("a").join(shared("b"), "doc").join(sizes, "doc"), "lists")
-    alone = lists.withColumn("component", F.col("doc"))
-    pairs = saved(leader_pairs(table_rows(alone)), "pairs")
+    lists = saved(shared("a").join(shared("b"), "doc").join(sizes, "doc").withColumn("weight", F.col("wa") + F.col("wb")).drop("wa", "wb"), "lists")
+    pairs = saved(leader_pairs(table_rows(lists, "weight")), "pairs")
     involved = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
                   .join(involved, "doc_id", "left_semi"), "texts")
     best = Window.partitionBy("v").orderBy(F.desc("n"), "u")
-    chosen = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= LEADERS)
+    chosen = saved(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS), "chosen")
     links = saved(confirmed(chosen, texts, size, similar), "confirmed")
-    found = components(links)
-    labelled = (lists.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-                .withColumn("component", F.coalesce("component", "doc")))
-    more = saved(confirmed(open_pairs(table_rows(labelled), similar), texts, size, similar), "confirmed")
-    found = saved(components(links.unionByName(more)), "components")
+    around = components(chosen.where((F.col("r") == 1) & (F.col("n") >= NEAR_TABLES)).select("u", "v"))
+    labelled = (lists.join(components(links).withColumnRenamed("node", "doc"), "doc", "left")
+                .join(around.select(F.col("node").alias("doc"), F.col("component").alias("g")), "doc", "left")
+                .withColumn("component", F.coalesce("component", "doc")).withColumn("g", F.coalesce("g", "doc")))
+    labelled = saved(labelled, "labelled")
+    within = links_within(labelled.select("doc", "component", "g"), texts, size, similar)
+    across = confirmed(open_pairs(table_rows(labelled, "component", "g", "n"), similar), texts, size, similar)
+    found = saved(components(links.unionByName(saved(within, "within")).unionByName(saved(across, "across"))), "components")
 
     placed = (known.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
               .join(found.withColumnRenamed("node", "rep"), "rep", "left"))
