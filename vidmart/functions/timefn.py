@@ -14,9 +14,19 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Date, or date and time with an optional fraction and zone, as the API delivers them.
+ISO_PLAIN_RE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?$"
+ISO_ZONED_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+
+
 def parse_timestamp(text: Column | str, fmt: str = ISO_SECONDS) -> Column:
-    """``to_datetime(errors="coerce")``: NULL on bad text; result has no zone."""
-    return F.try_to_timestamp(_c(text), F.lit(fmt)).cast("timestamp_ntz")
+    """``to_datetime(errors="coerce")``: NULL on bad text. The result has no zone: text
+    with a zone becomes its UTC wall clock, whatever the session time zone."""
+    t = _c(text)
+    if fmt != ISO_SECONDS:
+        return F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz")
+    return (F.when(t.rlike(ISO_ZONED_RE), instant_to_ntz(t.try_cast("timestamp")))
+            .when(t.rlike(ISO_PLAIN_RE), t.try_cast("timestamp_ntz")))
 
 
 def time_id(ts: Column | str) -> Column:
@@ -70,8 +80,8 @@ def hours_between(later: Column | str, earlier: Column | str) -> Column:
     return micros.cast("double") / F.lit(3.6e9)
 
 
-# ISO-8601 duration (weeks, days, hours, minutes, seconds); anything else -> 0.
-ISO_DURATION_RE = r"^P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
+# ISO-8601 duration (weeks, days, hours, minutes, seconds); a fraction of a second is cut off; anything else -> 0.
+ISO_DURATION_RE = r"^P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.\d+)?S)?)?$"
 
 
 def iso_duration_seconds(text: Column | str) -> Column:

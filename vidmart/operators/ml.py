@@ -182,12 +182,13 @@ def roc_curve(df: DataFrame, label: str, score_col: str) -> DataFrame:
 
 def fit_surrogate(df: DataFrame, features: Sequence[str], label: str) -> tuple[dict, dict]:
     """Linear surrogate (logistic regression) on the same features; returns
-    coefficients and feature means (both small: one value per feature)."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="_vm_x", handleInvalid="skip")
+    coefficients and feature means (both small: one value per feature). A NULL
+    feature counts as its mean, in the fit as in the contributions."""
+    means = df.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
+    asm = VectorAssembler(inputCols=list(features), outputCol="_vm_x")
     lr = LogisticRegression(featuresCol="_vm_x", labelCol=label, maxIter=50)
-    m = Pipeline(stages=[asm, lr]).fit(df)
+    m = Pipeline(stages=[asm, lr]).fit(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] or 0.0))) for c in features}))
     coef = dict(zip(features, m.stages[-1].coefficients.toArray().tolist()))
-    means = df.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
     return coef, means
 
 
@@ -196,7 +197,7 @@ def contributions(df: DataFrame, coef: Mapping[str, float], means: Mapping[str,
     """Per-row additive contributions coef_i * (x_i - mean_i) (exact SHAP of a
     linear model under feature independence), top-k by magnitude."""
     items = F.array(*[F.struct(F.lit(f).alias("feature"),
-                               (F.lit(float(coef[f])) * (F.col(f).cast("double") - F.lit(float(means[f] or 0.0))))
+                               (F.lit(float(coef[f])) * F.coalesce(F.col(f).cast("double") - F.lit(float(means[f] or 0.0)), F.lit(0.0)))
                                .alias("value")) for f in coef])
     ranked = F.array_sort(items, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
                           .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))

@@ -144,9 +144,6 @@ def train_eval(spark, sf):
     test split, report metrics + feature importances (rows only: a learned
     model has no SQL twin)."""
     d = ML.stratified_split(_model_input(spark, sf), "quality", "doc_id")
-    # each boosting level is one job over every partition: never train on more
-    # partitions than there are cores (only ever reduces; on a cluster a no-op)
-    d = d.coalesce(spark.sparkContext.defaultParallelism)
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     w = ML.class_weight(train, "quality").select("weight").scalar()
     train = train.withColumn("w", F.when(F.col("quality") == 1, w).otherwise(F.lit(1.0)))

@@ -74,8 +74,17 @@ def stream_hourly(spark, sf):
     ev = table(spark, sf, "events").where(F.col("ts").isNotNull()).select("event_id", "ts", "value")
     src, root = scratch_path(spark, "land-events"), scratch_path(spark, "sink-hourly")
     per = ST.land_in_slices(ev, src, time_slices(ev, "ts", 4), 4)
-    out = ST.stream_hourly(spark, src, ev.schema, root, "ts", "value", watermark="1 day", files_per_trigger=per,
-                           buckets=4)
+    out = ST.stream_hourly(spark, src, ev.schema, root, "ts", "value", files_per_trigger=per)
+    return out.withColumn("total_value", r6("total_value"))
+
+
+@query("stream_hourly_unordered", HOURLY_SQL)
+def stream_hourly_unordered(spark, sf):
+    """Files dealt by hash, so every one holds events of all hours."""
+    ev = table(spark, sf, "events").where(F.col("ts").isNotNull()).select("event_id", "ts", "value")
+    src, root = scratch_path(spark, "land-events"), scratch_path(spark, "sink-hourly")
+    per = ST.land_in_slices(ev, src, F.pmod(F.xxhash64("event_id"), F.lit(4)).cast("int"), 4)
+    out = ST.stream_hourly(spark, src, ev.schema, root, "ts", "value", files_per_trigger=per)
     return out.withColumn("total_value", r6("total_value"))
 
 

@@ -135,9 +135,10 @@ SELECT l_orderkey, l_linenumber,
        WHEN cr > 0.002 THEN '{t.REASON_COMMENT_HIGH}' ELSE '{t.REASON_COMMENT_MID}' END || ' | ' ||
   CASE WHEN subs < 1000 THEN '{t.REASON_CHANNEL_SMALL}'
        WHEN subs < 100000 THEN printf('{t.REASON_CHANNEL_MID}', subs // 1000)
-       ELSE printf('{t.REASON_CHANNEL_BIG}', subs // 1000) END AS reason
+       ELSE printf('{t.REASON_CHANNEL_BIG}', subs // 1000) END
+  || ' | Topic: ' || topic || ' | Vùng: ' || region AS reason
 FROM (SELECT l_orderkey, l_linenumber, l_discount AS lr, l_tax / 20 AS cr, l_extendedprice / 10 AS views,
-             CAST((l_quantity - 1) * 3000 AS BIGINT) AS subs FROM lineitem)
+             CAST((l_quantity - 1) * 3000 AS BIGINT) AS subs, l_linestatus AS topic, l_returnflag AS region FROM lineitem)
 """
 
 
@@ -146,4 +147,4 @@ def reason_text(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", TX.reason_text(
         F.col("l_discount"), F.col("l_tax") / 20, F.col("l_extendedprice") / 10,
-        ((F.col("l_quantity") - 1) * 3000).cast("bigint")).alias("reason"))
+        ((F.col("l_quantity") - 1) * 3000).cast("bigint"), topic="l_linestatus", region="l_returnflag").alias("reason"))

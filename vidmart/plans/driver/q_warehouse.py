@@ -377,11 +377,11 @@ def ml_dataset_q(spark, sf):
 
 @query("comment_metrics", f"""
 WITH c AS ({COMMENTS_SQL}),
-g AS (SELECT video_id, count(comment_id) AS total_comments, CAST(sum(like_count) AS BIGINT) AS total_likes,
+g AS (SELECT video_id, count(comment_id) AS total_comments, CAST(coalesce(sum(like_count), 0) AS BIGINT) AS total_likes,
              CAST(sum(like_count) AS BIGINT) AS s, count(like_count) AS n, max(like_count) AS max_like_comment,
-             count(*) FILTER (WHERE sentiment_label = 'positive') AS positive_count,
-             count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_count,
-             count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral_count
+             CASE WHEN count(sentiment_label) > 0 THEN count(*) FILTER (WHERE sentiment_label = 'positive') END AS positive_count,
+             CASE WHEN count(sentiment_label) > 0 THEN count(*) FILTER (WHERE sentiment_label = 'negative') END AS negative_count,
+             CASE WHEN count(sentiment_label) > 0 THEN count(*) FILTER (WHERE sentiment_label = 'neutral') END AS neutral_count
       FROM c WHERE video_id IS NOT NULL GROUP BY video_id)
 SELECT video_id, total_comments, total_likes, {half_even_sql('s', 'n', 2)} AS avg_like_per_comment, max_like_comment,
        positive_count, negative_count, neutral_count,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_count
-from ..functions.timefn import ISO_SECONDS
+from ..functions.timefn import ntz_to_instant, parse_timestamp
 from ..operators.dedup import dedup
 from .features import clean_snapshots, engagement_rates, region_column, time_features, valid_engagement
 from .warehouse import (build_dim_channel, build_dim_time, build_dim_topic, build_dim_video,
@@ -27,7 +27,7 @@ ML_FEATURES = ["channel_id", "subscriber_count", "view_count", "video_count", "l
 
 def iso_utc(col: str):
     """ISO-8601 text (with or without a zone suffix) -> timestamp; bad -> NULL."""
-    return F.try_to_timestamp(F.substring(F.col(col), 1, 19), F.lit(ISO_SECONDS)).cast("timestamp")
+    return ntz_to_instant(parse_timestamp(col))
 
 
 def refresh_warehouse(raw_video: DataFrame, raw_video_stats: DataFrame, raw_channel: DataFrame,

@@ -111,16 +111,16 @@ def comment_metrics(comments: DataFrame, key: str = "video_id", id_col: str = "c
                     like_col: str = "like_count", label_col: str = "sentiment_label") -> DataFrame:
     """Per video, ONE aggregation (A1+A2+A3, J4 fused): comment count, like
     sum / mean (2 dp, half-even) / max, fixed-class sentiment counts (0 for an
-    absent class) and net sentiment (pos-neg)/(pos+neg+neu) at 4 dp; NULL when
+    absent class, NULL when no comment is labelled) and net sentiment (pos-neg)/(pos+neg+neu) at 4 dp; NULL when
     the video has no labelled comment, NULL columns when there is no label."""
     likes = F.col(like_col).cast("bigint")
     aggs = [F.count(id_col).alias("total_comments"),
-            F.sum(likes).alias("total_likes"),
+            F.coalesce(F.sum(likes), F.lit(0)).alias("total_likes"),
             round_ratio_half_even(F.sum(likes), F.count(likes), 2).alias("avg_like_per_comment"),
             F.max(likes).alias("max_like_comment")]
     has_label = label_col in comments.columns
     for s in SENTIMENTS:
-        c = F.count_if(F.col(label_col) == s) if has_label else F.lit(None).cast("bigint")
+        c = F.when(F.count(label_col) > 0, F.count_if(F.col(label_col) == s)) if has_label else F.lit(None).cast("bigint")
         aggs.append(c.alias(f"{s}_count"))
     g = comments.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
     if has_label:

@@ -44,13 +44,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, stream checkpoints and written tables.
 
     On a cluster this is the shared path named by ``spark.checkpoint.dir``.
-    Only when the session has none (local tests) a private folder is made
+    Only a local master may go without: a private folder is then made
     and registered, so later calls in the same session reuse it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="vidmart-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

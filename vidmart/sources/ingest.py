@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.numeric import to_count
 from ..functions.text import first_present, tags_text
-from ..functions.timefn import iso_duration_seconds
+from ..functions.timefn import iso_duration_seconds, ntz_to_instant, parse_timestamp
 from ..schemas import API_VIDEO_PAGE
 
 
@@ -24,8 +24,7 @@ def json_fields(df: DataFrame, col: str, schema: StructType | str,
     """Parse a JSON text column with a fixed schema and lift its fields to
     columns; a missing/NULL/malformed field gets its default."""
     parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
-    st = schema if isinstance(schema, StructType) else None
-    names = [f.name for f in st.fields] if st else list((defaults or {}).keys())
+    names = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).names
     out = [F.col(k) for k in keep]
     for n in names:
         v = parsed.getField(n)
@@ -108,7 +107,7 @@ def flatten_comments(items: DataFrame, video_id: Column | None = None) -> DataFr
     cs = c.getField("snippet")
 
     def ts(x):
-        return F.try_to_timestamp(F.substring(x, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp")
+        return ntz_to_instant(parse_timestamp(x))
 
     return items.select(
         c.getField("id").alias("comment_id"),

@@ -11,9 +11,9 @@ resumes where it stopped and re-delivered batches change nothing:
 * upsert sink: the table is partitioned by a hash bucket of the key; each
   micro-batch rewrites only the buckets it touches (dynamic partition
   overwrite of the merged rows); a replayed batch gives the same table;
-* windowed counts: event-time windows with a watermark in update mode, the
-  updated windows upserted into a bucketed table (no window is lost when the
-  stream ends, which append mode would hold back until the watermark passes).
+* windowed counts: each micro-batch appends its own counts by hour under its
+  batch id, and the hours are summed on read; exact for events in any order,
+  however late, and a replayed batch replaces its own rows.
 """
 
 from __future__ import annotations
@@ -60,8 +60,18 @@ def land_in_slices(df: DataFrame, path: str, slice_col: Column, n_slices: int, d
     return most
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """Landed files as a stream; no limit on a micro-batch unless one is asked for."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+
+
+def in_partitions_of(target: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+    """The rows of ``target`` in the partitions that ``batch`` touches, named as literals so
+    that the scan reads no others. The values are at most as many as there are partitions."""
+    values = [r[0] for r in batch.select(column).distinct().collect()]
+    some = F.col(column).isin([v for v in values if v is not None])
+    return target.where(some | F.col(column).isNull() if None in values else some)
 
 
 def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[str] = (),
@@ -70,9 +80,7 @@ def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[st
 
     With ``partition_col`` (a column of the batch that is a function of the
     key, e.g. the snapshot month) the target is partitioned by it and each
-    batch only reads the target partitions it touches: the target is
-    semi-joined with the batch's distinct partition values, which dynamic
-    partition pruning turns into a partition filter on the scan."""
+    batch only reads the target partitions it touches (``in_partitions_of``)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()      # the batch is read several times below
@@ -84,8 +92,7 @@ def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[st
                 # folder that holds no file yet reads as empty instead of failing
                 target = spark.read.schema(batch.schema).parquet(target_path)
                 if partition_col:
-                    touched = batch.select(partition_col).distinct()
-                    target = target.join(touched, partition_col, "left_semi")
+                    target = in_partitions_of(target, batch, partition_col)
                 new = insert_ignore(target, batch, keys, order)
             else:
                 new = dedup(batch, keys, order, keep="first")
@@ -104,8 +111,8 @@ BUCKET = "_bucket"
 def upsert_into(table_path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = (),
                 buckets: int = 64) -> None:
     """Keep-last upsert of ``batch`` into a table partitioned by a hash bucket
-    of the key. Only the buckets the batch touches are read (semi-join on the
-    bucket column, pruned by dynamic partition pruning), merged (batch rows
+    of the key. Only the buckets the batch touches are read
+    (``in_partitions_of``), merged (batch rows
     win, then the latest in ``order``) and written back with dynamic partition
     overwrite — the rest of the table is never rewritten. Replaying a batch
     gives the same table."""
@@ -113,7 +120,7 @@ def upsert_into(table_path: str, batch: DataFrame, keys: Sequence[str], order: S
     b = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     if _exists(spark, table_path):
         cur = spark.read.schema(b.schema).parquet(table_path)
-        cur = cur.join(b.select(BUCKET).distinct(), BUCKET, "left_semi")
+        cur = in_partitions_of(cur, b, BUCKET)
         merged = merge_keep_last(cur, b, keys, order)
     else:
         merged = dedup(b, keys, order, keep="last")
@@ -149,7 +156,7 @@ def run_available(stream: DataFrame, sink, checkpoint: str) -> None:
 
 def stream_insert_ignore(spark: SparkSession, source: str, schema: StructType, target: str,
                          keys: Sequence[str], order: Sequence[str] = (), checkpoint: str | None = None,
-                         partition: tuple[str, Column] | None = None, files_per_trigger: int = 1) -> DataFrame:
+                         partition: tuple[str, Column] | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Exact de-duplicated append of landed files (no unbounded
     stream state: the sink table is the memory). ``partition`` = (name,
     expression of the key) partitions the sink so each batch prunes it."""
@@ -162,7 +169,7 @@ def stream_insert_ignore(spark: SparkSession, source: str, schema: StructType, t
 
 
 def stream_upsert(spark: SparkSession, source: str, schema: StructType, table_path: str, keys: Sequence[str],
-                  order: Sequence[str] = (), checkpoint: str | None = None, files_per_trigger: int = 1,
+                  order: Sequence[str] = (), checkpoint: str | None = None, files_per_trigger: int | None = None,
                   buckets: int = 64) -> DataFrame:
     """Last-wins upsert of landed files into a bucketed table."""
     ck = checkpoint or scratch_path(spark, "ckpt-upsert")
@@ -185,17 +192,38 @@ def hourly_window_counts(events: DataFrame, ts: str, value: str, watermark: str
     return g.select(instant_to_ntz("w.start").alias("hour_start"), "n_events", "total_value")
 
 
-def stream_hourly(spark: SparkSession, source: str, schema: StructType, table_path: str, ts: str, value: str,
-                  watermark: str = "1 day", checkpoint: str | None = None, files_per_trigger: int = 1,
-                  buckets: int = 8) -> DataFrame:
-    """R4 on a stream: update-mode windows upserted into a bucketed table
-    (an updated window replaces its earlier partial count)."""
+BATCH = "_batch"
+
+
+def hourly_sink(log_path: str, ts: str, value: str):
+    """foreachBatch function: the batch's counts by hour, in a partition of its own batch id
+    (written again as a whole when the batch is replayed)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        counts = hourly_window_counts(batch, ts, value).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        (counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(BATCH).parquet(log_path))
+    return run
+
+
+def read_hourly(log: DataFrame) -> DataFrame:
+    return log.groupBy("hour_start").agg(F.sum("n_events").alias("n_events"), F.sum("total_value").alias("total_value"))
+
+
+def compact_hourly(spark: SparkSession, log_path: str, to_path: str) -> DataFrame:
+    """One row per hour of a finished log, as batch -1 of a new log."""
+    read_hourly(spark.read.parquet(log_path)).withColumn(BATCH, F.lit(-1).cast("bigint")) \
+        .write.partitionBy(BATCH).parquet(to_path)
+    return read_hourly(spark.read.parquet(to_path))
+
+
+def stream_hourly(spark: SparkSession, source: str, schema: StructType, log_path: str, ts: str, value: str,
+                  checkpoint: str | None = None, files_per_trigger: int | None = None,
+                  watermark: str | None = None) -> DataFrame:
+    """R4 on a stream: counts by hour, exact for any order of files. ``watermark`` is accepted
+    for callers that pass one, but there is no state for it to bound and nothing is ever late."""
     ck = checkpoint or scratch_path(spark, "ckpt-hourly")
-    agg = hourly_window_counts(file_stream(spark, source, schema, files_per_trigger), ts, value, watermark)
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert_sink(table_path, ["hour_start"], buckets=buckets))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return read_upserted(spark, table_path)
+    run_available(file_stream(spark, source, schema, files_per_trigger), hourly_sink(log_path, ts, value), ck)
+    return read_hourly(spark.read.parquet(log_path))
 
 
 def growth_vs_previous(hourly: DataFrame, time_col: str = "hour_start", value: str = "n_events") -> DataFrame:
