@@ -35,7 +35,7 @@ ROWS = 3
 #: Leaders that a document is confirmed against before components are first formed.
 LEADERS = 2
 #: Tables shared with its best leader from which a document is of the leader's neighbourhood.
-NEAR_TABLES = 16
+NEAR_TABLES = 2
 #: Documents of one side of a comparison of blocks.
 BLOCK_DOCS = 1_000
 SIMILAR = 80
