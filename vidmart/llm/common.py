@@ -28,6 +28,16 @@ def keyed(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), *cols)
 
 
+def _buckets(spark: SparkSession) -> int:
+    """As many as shuffle partitions, as far as Spark allows so many."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
+def in_buckets(df: DataFrame, bucket: str) -> DataFrame:
+    """Deal the rows out as ``saved(..., bucket)`` keeps them, so that a bucket is one file."""
+    return df.repartition(_buckets(df.sparkSession), bucket)
+
+
 def saved(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back (cuts the lineage).
 
@@ -40,8 +50,7 @@ def saved(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
         writer.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     table = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer.format("parquet").option("path", path).bucketBy(parts, bucket).saveAsTable(table)
+    writer.format("parquet").option("path", path).bucketBy(_buckets(spark), bucket).saveAsTable(table)
     return spark.table(table)
 
 

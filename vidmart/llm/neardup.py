@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidmart.llm.arrays import LOWER, U, mix, prefix, runs, span, word_hashes
-from vidmart.llm.common import documents, saved, slices, text_arrays
+from vidmart.llm.common import documents, in_buckets, saved, slices, text_arrays
 from vidmart.llm.components import components
 
 TABLES = 15
@@ -236,8 +236,11 @@ def links_within(placed: DataFrame, texts: DataFrame, size: int, similar: int) -
     return rows.groupBy("g", "block", "chunk").applyInArrow(compare, "u long, v long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles, made of the words themselves, are similar enough."""
+def confirmed(pairs: DataFrame, texts_u: DataFrame, texts_v: DataFrame, size: int, similar: int) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles, made of the words themselves, are similar enough.
+
+    A side on which one document may be in very many pairs is given as plain files, whose
+    skewed joins Spark splits; one in buckets of doc_id stays where it is."""
     def of(batches):
         last, mine = None, None
         for batch in batches:
@@ -252,8 +255,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> Da
                     v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
+    left = texts_u.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
+    right = texts_v.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     return pairs.select("u", "v").join(right, "v").join(left, "u").mapInArrow(of, "u long, v long")
 
 
@@ -280,18 +283,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
     lists = saved(shared("a").join(shared("b"), "doc").join(sizes, "doc").withColumn("weight", F.col("wa") + F.col("wb")).drop("wa", "wb"), "lists")
     pairs = saved(leader_pairs(table_rows(lists, "weight")), "pairs")
     involved = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-                  .join(involved, "doc_id", "left_semi"), "texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    texts = saved(in_buckets(texts.join(involved, "doc_id", "left_semi"), "doc_id"), "texts", "doc_id")
+
+    def texts_of(pairs: DataFrame, *sides: str) -> DataFrame:
+        ids = pairs.select(F.explode(F.array(*sides)).alias("doc_id")).distinct()
+        return saved(texts.join(ids, "doc_id", "left_semi"), "texts")
+
     best = Window.partitionBy("v").orderBy(F.desc("n"), "u")
     chosen = saved(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS), "chosen")
-    links = saved(confirmed(chosen, texts, size, similar), "confirmed")
+    links = saved(confirmed(chosen, texts_of(chosen, "u"), texts, size, similar), "confirmed")
     around = components(chosen.where((F.col("r") == 1) & (F.col("n") >= NEAR_TABLES)).select("u", "v"))
     labelled = (lists.join(components(links).withColumnRenamed("node", "doc"), "doc", "left")
                 .join(around.select(F.col("node").alias("doc"), F.col("component").alias("g")), "doc", "left")
                 .withColumn("component", F.coalesce("component", "doc")).withColumn("g", F.coalesce("g", "doc")))
     labelled = saved(labelled, "labelled")
     within = links_within(labelled.select("doc", "component", "g"), texts, size, similar)
-    across = confirmed(open_pairs(table_rows(labelled, "component", "g", "n"), similar), texts, size, similar)
+    apart = saved(open_pairs(table_rows(labelled, "component", "g", "n"), similar), "apart")
+    few = texts_of(apart, "u", "v")
+    across = confirmed(apart, few, few, size, similar)
     found = saved(components(links.unionByName(saved(within, "within")).unionByName(saved(across, "across"))), "components")
 
     placed = (known.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
