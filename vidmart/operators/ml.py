@@ -21,6 +21,20 @@ from ..functions.text import RECOMMENDATION_DEFAULT, RECOMMENDATIONS
 from .ranking import global_rank, running_totals
 
 
+# Fixed values (the vocabularies a served model was trained on, and their defaults).
+KNOWN_TOPICS = [
+    "animals", "beauty", "business", "cars", "comedy", "education", "entertainment", "film", "finance", "fitness",
+    "food", "gaming", "howto", "kids", "motivation", "music", "news", "nonprofit", "people", "pets", "science",
+    "sports", "technology", "travel", "vlog",
+]
+KNOWN_REGIONS = [
+    "Africa", "Central Asia", "East Asia", "Eastern Europe", "Middle East", "North America", "Oceania",
+    "South America", "South Asia", "Southeast Asia", "Western Europe",
+]
+DEFAULT_TOPIC = "entertainment"
+DEFAULT_REGION = "North America"
+
+
 # --------------------------------------------------------------------------- encoding
 
 

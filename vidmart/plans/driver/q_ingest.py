@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions.numeric import to_count
 from ...functions.timefn import iso_duration_seconds, parse_timestamp
 from ...operators.dedup import (cap_per_key, dedup, first_nonnull, first_snapshot, insert_ignore,
-                                merge_keep_last, new_only, pack_batches)
+                                merge_keep_first, merge_keep_last, new_only, pack_batches)
 from ...sources.ingest import failed_rules, json_fields
 from ...sources.io import read_table
 from .registry import LINEITEM_COLS, LINEITEM_REST, order_sql, query, table
@@ -288,3 +288,15 @@ def parse_timestamps(spark, sf):
     text = F.concat(F.when(F.col("event_type") == "error", F.lit("x")).otherwise(F.lit("")),
                     F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     return ev.select("event_id", text.alias("ts_text")).withColumn("parsed", parse_timestamp("ts_text"))
+
+
+@query("merge_keep_first", """
+SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'
+UNION ALL
+SELECT o_orderkey, -o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'
+""")
+def merge_keep_first_q(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    old = o.where(F.col("o_orderdate") < _ts("1998-01-01")).drop("o_orderdate")
+    new = o.where(F.col("o_orderdate") >= _ts("1997-01-01")).select("o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice"))
+    return merge_keep_first(old, new, ["o_orderkey"])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.text import RECOMMENDATION_DEFAULT, RECOMMENDATIONS
 from ...operators import ml as ML
 from ...operators.ranking import quantile_columns
-from .registry import query, r6, table
+from .registry import query, r6, sql_case, sql_lit, table
 
 
 def labelled_docs(spark, sf):
@@ -130,43 +131,133 @@ def pr_curve(spark, sf):
     return p.select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
-FEATURES_NUM = ["log_chars"]
+@query("roc_curve", f"""
+{_THRESH_SQL}
+SELECT threshold, round(cum_fp / (SELECT sum(neg) FROM g), 6) AS fpr, round(cum_tp / (SELECT sum(pos) FROM g), 6) AS tpr
+FROM t
+""")
+def roc_curve(spark, sf):
+    c = ML.roc_curve(labelled_docs(spark, sf), "quality", "n_chars")
+    return c.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query("encode_served", """
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 30 < 25 THEN o_orderkey % 30 ELSE 6 END AS INTEGER) AS topic_code,
+       CAST(CASE WHEN o_orderkey % 13 < 11 THEN o_orderkey % 13 ELSE 5 END AS INTEGER) AS region_code
+FROM orders
+""")
+def encode_served(spark, sf):
+    """The fixed vocabularies of the served model; unseen and missing values take the default's code."""
+    def value(vocab, n):
+        return F.coalesce(F.get(F.array(*map(F.lit, vocab)), (F.col("o_orderkey") % n).cast("int")),
+                          F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", ML.encode_known(value(ML.KNOWN_TOPICS, 30), ML.KNOWN_TOPICS, ML.DEFAULT_TOPIC).alias("topic_code"),
+        ML.encode_known(value(ML.KNOWN_REGIONS, 13), ML.KNOWN_REGIONS, ML.DEFAULT_REGION).alias("region_code"))
+
+
+FEATURES_NUM = ["log_chars", "n_words", "n_lines", "word_chars", "digit_rate", "upper_rate", "symbol_rate"]
 FEATURES_CAT = ["lang", "source"]
+#: Trees of the registered fit; ``build_pipeline`` itself defaults to 300, one Spark job per tree level.
+TREES = 20
 
 
 def _model_input(spark, sf):
-    return labelled_docs(spark, sf).withColumn("log_chars", F.log1p("n_chars"))
+    """Nine features: seven of the whole text, and two categories."""
+    t = F.coalesce("text", F.lit(""))
+    n = F.greatest(F.length(t), F.lit(1))
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+
+    def share(drop):
+        return (F.length(t) - F.length(F.regexp_replace(t, drop, ""))) / n
 
+    d = table(spark, sf, "documents").select(
+        "doc_id", "lang", "source", F.log1p(F.length(t)).alias("log_chars"), words.cast("double").alias("n_words"),
+        F.size(F.split(t, "\n")).cast("double").alias("n_lines"), (n / F.greatest(words, F.lit(1))).alias("word_chars"),
+        share("[0-9]").alias("digit_rate"), share(r"\p{Lu}").alias("upper_rate"), share("[#*$%&|<>]").alias("symbol_rate"))
+    return d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
-@query("train_eval")
+
+@query("train_eval", f"""
+WITH d AS (SELECT doc_id, quality, md5(CAST(doc_id AS VARCHAR) || '42') AS h FROM {LABELLED_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) AS rn,
+             count(*) OVER (PARTITION BY quality) AS n FROM d),
+s AS (SELECT quality, rn <= n - ceil(n * 0.2) AS train FROM r)
+SELECT 'n_train' AS metric, CAST(count(*) FILTER (WHERE train) AS DOUBLE) AS value FROM s
+UNION ALL SELECT 'support_0', count(*) FILTER (WHERE NOT train AND quality = 0) FROM s
+UNION ALL SELECT 'support_1', count(*) FILTER (WHERE NOT train AND quality = 1) FROM s
+UNION ALL SELECT 'support_accuracy', count(*) FILTER (WHERE NOT train) FROM s
+UNION ALL SELECT 'n_features', {len(FEATURES_NUM) + len(FEATURES_CAT)}
+UNION ALL SELECT 'importance_sum', 1
+UNION ALL SELECT 'better_than_chance', 1
+""")
 def train_eval(spark, sf):
-    """Fit the GBT pipeline on the train split (class-weighted), score the
-    test split, report metrics + feature importances (rows only: a learned
-    model has no SQL twin)."""
+    """Fit the GBT pipeline on the train split (class-weighted), score the test split; what does
+    not depend on the trees has a twin."""
     d = ML.stratified_split(_model_input(spark, sf), "quality", "doc_id")
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     w = ML.class_weight(train, "quality").select("weight").scalar()
-    train = train.withColumn("w", F.when(F.col("quality") == 1, w).otherwise(F.lit(1.0)))
-    model = ML.build_pipeline(FEATURES_CAT, FEATURES_NUM, "quality", weight_col="w", max_iter=300).fit(train)
+    weighted = train.withColumn("w", F.when(F.col("quality") == 1, w).otherwise(F.lit(1.0)))
+    model = ML.build_pipeline(FEATURES_CAT, FEATURES_NUM, "quality", weight_col="w", max_iter=TREES).fit(weighted)
     scored = ML.score(model, test)
-    rep = ML.classification_report(scored, "quality", "prediction") \
-        .where(F.col("class").isin("1", "accuracy")) \
-        .select(F.concat(F.lit("class_"), F.col("class")).alias("metric"), F.col("f1").alias("value"))
-    auc = ML.roc_auc(scored, "quality", "score").select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
-    names = [*FEATURES_NUM, *[c + "_idx" for c in FEATURES_CAT]]
-    imp = ML.feature_importance(model, names, spark).select(
-        F.concat(F.lit("importance_"), F.col("feature")).alias("metric"), F.col("importance").alias("value"))
-    return rep.unionByName(auc).unionByName(imp)
+
+    def metric(df, name, value):
+        return df.select((F.lit(name) if isinstance(name, str) else name).alias("metric"), value.cast("double").alias("value"))
+
+    support = ML.classification_report(scored, "quality", "prediction").where(F.col("class").isin("0", "1", "accuracy"))
+    imp = ML.feature_importance(model, [*FEATURES_NUM, *[c + "_idx" for c in FEATURES_CAT]], spark)
+    return (metric(train.agg(F.count("*").alias("n")), "n_train", F.col("n"))
+            .unionByName(metric(support, F.concat(F.lit("support_"), F.col("class")), F.col("support")))
+            .unionByName(metric(imp.agg(F.count("*").alias("n")), "n_features", F.col("n")))
+            .unionByName(metric(imp.agg(F.sum("importance").alias("s")), "importance_sum", F.round("s", 6)))
+            .unionByName(metric(ML.roc_auc(scored, "quality", "score"), "better_than_chance", F.col("auc") > 0.5)))
+
+
+#: Snapshot columns in the roles of the served features, with coefficients and means of a linear model.
+ROLES = {"like_rate": "l_discount", "comment_rate": "l_tax", "duration_seconds": "l_extendedprice",
+         "video_count": "l_quantity", "publish_hour": "l_linenumber"}
+COEF = {"like_rate": 8.0, "comment_rate": -9.0, "duration_seconds": 0.00001, "video_count": -0.02, "publish_hour": 0.125}
+MEANS = {"like_rate": 0.05, "comment_rate": 0.04, "duration_seconds": 35000.0, "video_count": 25.0, "publish_hour": 4.0}
+
+
+def _ranked_sql():
+    value = {f: f"(CAST({COEF[f]!r} AS DOUBLE) * (CAST({c} AS DOUBLE) - CAST({MEANS[f]!r} AS DOUBLE)))" for f, c in ROLES.items()}
+    items = ", ".join(f"{{'a': -abs({v}), 'i': {i}, 'f': '{f}', 'v': {v}}}" for i, (f, v) in enumerate(value.items()))
+    return f"(SELECT l_orderkey, l_linenumber, list_sort([{items}]) AS s FROM lineitem)"
+
+
+def _contributed(spark, sf, k):
+    li = table(spark, sf, "lineitem")
+    return ML.contributions(li.select("l_orderkey", "l_linenumber", *[F.col(c).alias(f) for f, c in ROLES.items()]), COEF, MEANS, k)
+
+
+@query("contributions", f"""
+SELECT l_orderkey, l_linenumber, s[1].f || ',' || s[2].f || ',' || s[3].f AS top_features, s[1].v AS top_value
+FROM {_ranked_sql()}
+""")
+def contributions(spark, sf):
+    top = F.col("top_contributions")
+    return _contributed(spark, sf, 3).select(
+        "l_orderkey", "l_linenumber", F.array_join(top["feature"], ",").alias("top_features"), top[0]["value"].alias("top_value"))
+
+
+@query("recommend", f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN len(t) = 0 THEN {sql_lit(RECOMMENDATION_DEFAULT)} ELSE array_to_string(t[1:4], ' | ') END AS recommendations
+FROM (SELECT l_orderkey, l_linenumber, [{sql_case("x.f", RECOMMENDATIONS)} FOR x IN s IF x.v < 0] AS t FROM {_ranked_sql()})
+""")
+def recommend(spark, sf):
+    return _contributed(spark, sf, 5).select(
+        "l_orderkey", "l_linenumber", F.array_join(ML.recommend("all_contributions"), " | ").alias("recommendations"))
 
 
 @query("top_contributions")
 def top_contributions(spark, sf):
-    """Per-document top-5 additive contributions of a linear surrogate and the
-    recommendation texts for the negative ones (rows only)."""
-    d = ML.encode_categories(_model_input(spark, sf), ["lang", "source"])
-    feats = ["log_chars", "lang_code", "source_code"]
-    coef, means = ML.fit_surrogate(d, feats, "quality")
+    """Per document the contributions of a fitted linear surrogate and the recommendation texts
+    for the negative ones (rows only); text length, source and language take the roles of
+    duration, topic and region."""
+    d = ML.encode_categories(_model_input(spark, sf), ["lang", "source"]).withColumnsRenamed(
+        {"log_chars": "duration_seconds", "source_code": "topic", "lang_code": "country_region"})
+    coef, means = ML.fit_surrogate(d, ["duration_seconds", "topic", "country_region"], "quality")
     c = ML.contributions(d, coef, means, k=5)
-    return c.select("doc_id", F.array_join(F.transform("top_contributions", lambda s: s["feature"]), ",")
-                    .alias("top_features"),
+    return c.select("doc_id", F.array_join(F.col("top_contributions")["feature"], ",").alias("top_features"),
                     F.array_join(ML.recommend("all_contributions"), " | ").alias("recommendations"))

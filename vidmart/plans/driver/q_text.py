@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import text as TX
+from ...functions.lookups import COUNTRY_TO_REGION_SERVING, serving_region
 from ...functions.timefn import age_label as age_label_fn, date_label, publish_parts as publish_parts_fn
-from .registry import query, r6, table
+from .registry import query, r6, sql_case, table
 
 _PUB_TEXT_SQL = """CASE event_type WHEN 'purchase' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
                     WHEN 'error' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
@@ -148,3 +149,52 @@ def reason_text(spark, sf):
     return li.select("l_orderkey", "l_linenumber", TX.reason_text(
         F.col("l_discount"), F.col("l_tax") / 20, F.col("l_extendedprice") / 10,
         ((F.col("l_quantity") - 1) * 3000).cast("bigint"), topic="l_linestatus", region="l_returnflag").alias("reason"))
+
+
+@query("video_id_forms", """
+SELECT page_id, CASE WHEN page_id % 4 < 3 THEN lpad(CAST(page_id AS VARCHAR), 11, 'a') END AS video_id FROM pages
+""")
+def video_id_forms(spark, sf):
+    """The three url forms; an id that is too short does not match."""
+    k = F.col("page_id")
+    full = F.lpad(k.cast("string"), 11, "a")
+    url = (F.when(k % 4 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), full, F.lit("&t=5")))
+           .when(k % 4 == 1, F.concat(F.lit("https://youtu.be/"), full))
+           .when(k % 4 == 2, F.concat(F.lit("https://www.youtube.com/embed/"), full, F.lit("?rel=0")))
+           .otherwise(F.concat(F.lit("https://youtu.be/"), F.substring(full, 2, 10))))
+    return table(spark, sf, "pages").select("page_id", TX.extract_video_id(url).alias("video_id"))
+
+
+@query("repair_text", """
+SELECT doc_id, md5(coalesce(text, '')) AS repaired, md5(coalesce(text, '')) AS kept FROM documents
+""")
+def repair_text(spark, sf):
+    """Whole texts, garbled (UTF-8 read as Windows-1252) and as they are. A text with one of the
+    five bytes that this code page leaves open can't have been read so, and is not garbled."""
+    t = F.col("text")
+    wide = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    garbled = F.when(wide.rlike(r"[\x81\x8D\x8F\x90\x9D]"), t).otherwise(F.translate(wide, TX.CP1252_BYTES, TX.CP1252_CHARS))
+    return table(spark, sf, "documents").select("doc_id", F.md5(TX.repair_text(garbled)).alias("repaired"),
+                                                F.md5(TX.repair_text(t)).alias("kept"))
+
+
+@query("thousands_label", """
+SELECT o_orderkey, format('{:,}', o_custkey * 9973) AS label FROM orders
+""")
+def thousands_label(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", TX.thousands(F.col("o_custkey") * 9973).alias("label"))
+
+
+_CODES = [*COUNTRY_TO_REGION_SERVING][:20]
+
+
+@query("serving_region", f"""
+SELECT c_custkey, {sql_case("coalesce(nullif(upper(code), ''), 'US')", COUNTRY_TO_REGION_SERVING, "North America")} AS region
+FROM (SELECT c_custkey, CASE WHEN c_nationkey < {len(_CODES)} THEN lower({_CODES!r}[c_nationkey + 1])
+             WHEN c_nationkey % 3 = 0 THEN '' WHEN c_nationkey % 3 = 1 THEN 'zz' END AS code FROM customer)
+""")
+def serving_region_q(spark, sf):
+    n = F.col("c_nationkey")
+    code = (F.when(n < len(_CODES), F.lower(F.get(F.array(*map(F.lit, _CODES)), n)))
+            .when(n % 3 == 0, "").when(n % 3 == 1, "zz"))
+    return table(spark, sf, "customer").select("c_custkey", serving_region(code).alias("region"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.numeric import to_count
-from ..functions.text import first_present, tags_text
+from ..functions.text import tags_text
 from ..functions.timefn import iso_duration_seconds, ntz_to_instant, parse_timestamp
 from ..schemas import API_VIDEO_PAGE
 
@@ -42,7 +42,7 @@ def explode_items(pages: DataFrame, json_col: str = "payload", schema: StructTyp
 
 def flatten_video_stats(items: DataFrame, snapshot_time: Column, trending_ids: DataFrame | None = None) -> DataFrame:
     """API video items -> raw_video_stats rows with the landing defaults
-    (counts 0, duration "PT0S" -> 0, text "", licensed False)."""
+    (counts 0, duration "PT0S" -> 0, tags "", licensed False); other missing fields are NULL."""
     i = F.col("item")
     out = items.select(
         i.getField("id").alias("video_id"),
@@ -51,9 +51,9 @@ def flatten_video_stats(items: DataFrame, snapshot_time: Column, trending_ids: D
         to_count(i.getField("statistics").getField("commentCount")).alias("comments"),
         iso_duration_seconds(F.coalesce(i.getField("contentDetails").getField("duration"), F.lit("PT0S")))
         .alias("duration_seconds"),
-        F.coalesce(i.getField("contentDetails").getField("definition"), F.lit("")).alias("definition"),
-        F.coalesce(i.getField("contentDetails").getField("caption"), F.lit("")).alias("caption"),
-        F.coalesce(i.getField("contentDetails").getField("dimension"), F.lit("")).alias("dimension"),
+        i.getField("contentDetails").getField("definition").alias("definition"),
+        i.getField("contentDetails").getField("caption").alias("caption"),
+        i.getField("contentDetails").getField("dimension").alias("dimension"),
         F.coalesce(i.getField("contentDetails").getField("licensedContent"), F.lit(False)).alias("licensed_content"),
         i.getField("snippet").getField("categoryId").try_cast("int").alias("category_id"),
         i.getField("snippet").getField("defaultLanguage").alias("default_language"),
@@ -68,17 +68,17 @@ def flatten_video_stats(items: DataFrame, snapshot_time: Column, trending_ids: D
 
 def flatten_videos(items: DataFrame, source: str, discover_time: Column, keyword: Column | None = None,
                    topic: Column | None = None) -> DataFrame:
-    """API video items -> raw_video rows."""
+    """API video items -> raw_video rows (S6); missing fields are NULL."""
     i = F.col("item")
     sn = i.getField("snippet")
     return items.select(
         i.getField("id").alias("video_id"),
-        F.coalesce(sn.getField("title"), F.lit("")).alias("title"),
-        F.coalesce(sn.getField("description"), F.lit("")).alias("description"),
+        sn.getField("title").alias("title"),
+        sn.getField("description").alias("description"),
         sn.getField("channelId").alias("channel_id"),
-        F.coalesce(sn.getField("channelTitle"), F.lit("")).alias("channel_title"),
+        sn.getField("channelTitle").alias("channel_title"),
         sn.getField("publishedAt").alias("publish_time"),
-        first_present(sn.getField("thumbnails"), ["default"]).alias("thumbnail"),
+        F.try_element_at(sn.getField("thumbnails"), F.lit("default")).getField("url").alias("thumbnail"),
         (keyword if keyword is not None else F.lit(None).cast("string")).alias("keyword"),
         (topic if topic is not None else F.lit("trending")).alias("topic"),
         F.lit(source).alias("source"),
