@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vidmart import schemas as S
-from vidmart.plans.refresh import cleaned_video, ml_table, refresh_warehouse
+from vidmart.plans.refresh import cleaned_video, ml_table, refresh_comments, refresh_warehouse
 
 T = dt.datetime
 
@@ -59,6 +60,29 @@ def test_refresh_end_to_end(spark):
     assert ml["v1"].is_trending is True and ml["v1"].publish_hour == 10
 
 
+def test_refresh_comments(spark):
+    video, stats, chan = landing(spark)
+    comments = spark.createDataFrame([
+        ("k1", "v1", "u1", "good", "3", T(2025, 1, 1), T(2025, 1, 1)), ("k1", "v1", "u1", "again", "9", T(2025, 1, 2), None),
+        ("k2", "v1", "u2", None, "bad", None, None), ("k3", "v2", "u3", "so", "4.0", T(2025, 1, 1), None),
+        ("k4", None, "u4", "no video", "1", None, None), (None, "v1", "u5", "no id", "1", None, None),
+    ], S.RAW_COMMENT)
+    w = refresh_warehouse(video, stats, chan, ["ingest_seq"], comments, ["published_at"])
+    fact = w["fact_comment"]
+    assert [(f.name, f.dataType) for f in fact.schema] == [(f.name, f.dataType) for f in S.FACT_COMMENT]
+    # a comment without a time sorts first; k1 occurs with two times
+    assert {(r.comment_id, r.like_count, r.comment_text) for r in fact.collect()} == \
+        {("k1", 3, "good"), ("k2", 0, None), ("k3", 4, "so")}
+    m = {r.video_id: r for r in w["fact_comment_metrics"].collect()}
+    assert (m["v1"].total_comments, m["v1"].total_likes, m["v1"].max_like_comment, m["v1"].positive_count) == (2, 3, 3, None)
+    assert w["comment_dataset"].columns == ["comment_id", "video_id", "comment_text", "like_count", "published_at"]
+    label = comments.withColumn("sentiment_label", F.when(F.col("video_id") == "v1", F.lit("positive")))
+    m = {r.video_id: r for r in refresh_comments(label, ["published_at"])["fact_comment_metrics"].collect()}
+    assert (m["v1"].positive_count, m["v1"].sentiment_score, m["v2"].positive_count) == (2, 1.0, None)
+    none = refresh_comments(comments.limit(0))
+    assert none["fact_comment"].count() == none["fact_comment_metrics"].count() == 0
+
+
 def test_publish_warehouse_bucketed(spark):
     import contextlib
     import io

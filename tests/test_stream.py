@@ -1,5 +1,6 @@
 """Batch = stream, and replay idempotence of the streaming sinks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
@@ -24,14 +25,33 @@ def test_upsert_stream_last_wins(spark):
     a = spark.createDataFrame([("c1", 1, "a"), ("c2", 1, "b")], "channel_id string, v long, t string")
     b = spark.createDataFrame([("c1", 2, "a2"), ("c3", 1, "c")], "channel_id string, v long, t string")
     src, root = scratch_path(spark, "u-src"), scratch_path(spark, "u-root")
-    ST.upsert_into(root, a, ["channel_id"], ["v"], buckets=4)
+    ST.upsert_into(root, a, ["channel_id"], ["v"])
     b.write.parquet(src)
-    out = ST.stream_upsert(spark, src, b.schema, root, ["channel_id"], ["v"], buckets=4)
+    out = ST.stream_upsert(spark, src, b.schema, root, ["channel_id"], ["v"])
     assert rows(out) == [("c1", 2, "a2"), ("c2", 1, "b"), ("c3", 1, "c")]
-    ST.upsert_into(root, b, ["channel_id"], ["v"], buckets=4)      # replay: same table
+    ST.upsert_into(root, b, ["channel_id"], ["v"])      # replay: same table
     assert rows(ST.read_upserted(spark, root)) == [("c1", 2, "a2"), ("c2", 1, "b"), ("c3", 1, "c")]
 
 
+def test_upsert_survives_a_failed_write_and_a_replay(spark):
+    schema = "channel_id string, v long, t string"
+    root = scratch_path(spark, "u-crash")
+    ST.upsert_into(root, spark.createDataFrame([("c1", 1, "a"), ("c2", 1, "b")], schema), ["channel_id"], ["v"])
+    sink = ST.upsert_sink(root, ["channel_id"], ["v"])
+    batch = spark.createDataFrame([("c1", 2, "a2"), ("c3", 1, "c"), (None, 5, "n")], schema).repartition(3, "channel_id")
+    broken = batch.withColumn("t", F.when(F.col("channel_id") == "c3", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="lost"):
+        sink(broken, 0)
+    assert rows(ST.read_upserted(spark, root)) == [("c1", 1, "a"), ("c2", 1, "b")]
+    sink(batch, 0)
+    sink(spark.createDataFrame([("c1", 0, "a3")], schema), 1)      # the later batch wins over a greater v
+    sink(batch, 0)                                                 # replayed late: keeps its place
+    want = {("c1", 0, "a3"), ("c2", 1, "b"), ("c3", 1, "c"), (None, 5, "n")}
+    assert {tuple(r) for r in ST.read_upserted(spark, root).collect()} == want
+    small = ST.compact_upserted(spark, root, scratch_path(spark, "u-small"), ["channel_id"])
+    assert {tuple(r) for r in small.collect()} == want
+
+
 def test_hourly_stream_equals_batch(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts", "value")
     src, root = scratch_path(spark, "h-src"), scratch_path(spark, "h-root")

@@ -135,11 +135,10 @@ def kpi_overview(spark, sf):
     n_videos = li.agg(F.count_distinct("l_orderkey")).scalar()
     n_channels = table(spark, sf, "orders").agg(F.count_distinct("o_custkey")).scalar()
     n_comments = table(spark, sf, "events").agg(F.count(F.lit(1))).scalar()
-    rate = first.agg(r6(F.avg(trend()) * 100)).scalar()
-    # a one-row frame holding four scalar subqueries over the whole tables
-    return first.agg(F.count(F.lit(1)).alias("_n")).select(
-        n_videos.alias("n_videos"), n_channels.alias("n_channels"), n_comments.alias("n_comments"),
-        rate.alias("trending_rate_pct"))
+    # the rate is the one row; the counts are scalar subqueries over their own tables
+    rate = first.agg(r6(F.avg(trend()) * 100).alias("trending_rate_pct"))
+    return rate.select(n_videos.alias("n_videos"), n_channels.alias("n_channels"), n_comments.alias("n_comments"),
+                       "trending_rate_pct")
 
 
 TOPN = 30

@@ -50,10 +50,9 @@ def stream_insert_ignore(spark, sf):
 def stream_latest(spark, sf):
     old, new = merge_parts(spark, sf)
     tbl, src = scratch_path(spark, "sink-channels"), scratch_path(spark, "land-channels")
-    ST.upsert_into(tbl, old.withColumn("o_orderpriority", F.lit(None).cast("string")), ["o_custkey"], ["o_orderdate"],
-                   buckets=8)
+    ST.upsert_into(tbl, old.withColumn("o_orderpriority", F.lit(None).cast("string")), ["o_custkey"], ["o_orderdate"])
     per = ST.land_in_slices(new, src, time_slices(new, "o_orderdate", 3), 3)
-    out = ST.stream_upsert(spark, src, new.schema, tbl, ["o_custkey"], ["o_orderdate"], files_per_trigger=per, buckets=8)
+    out = ST.stream_upsert(spark, src, new.schema, tbl, ["o_custkey"], ["o_orderdate"], files_per_trigger=per)
     return out.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
 
 

@@ -14,8 +14,8 @@ from ..functions.numeric import to_count
 from ..functions.timefn import ntz_to_instant, parse_timestamp
 from ..operators.dedup import dedup
 from .features import clean_snapshots, engagement_rates, region_column, time_features, valid_engagement
-from .warehouse import (build_dim_channel, build_dim_time, build_dim_topic, build_dim_video,
-                        build_fact_video_metrics, flat_dataset)
+from .warehouse import (build_dim_channel, build_dim_time, build_dim_topic, build_dim_video, build_fact_comment,
+                        build_fact_video_metrics, comment_metrics, flat_dataset)
 
 # text columns filled with "Unknown", and the channel counts a row must have
 TEXT_COLS = ["description", "tags", "default_language", "default_audio_language", "channel_title", "custom_url",
@@ -31,13 +31,16 @@ def iso_utc(col: str):
 
 
 def refresh_warehouse(raw_video: DataFrame, raw_video_stats: DataFrame, raw_channel: DataFrame,
-                      channel_order: Sequence[str] = ()) -> dict[str, DataFrame]:
+                      channel_order: Sequence[str] = (), raw_comment: DataFrame | None = None,
+                      comment_order: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Star schema + flat dataset from the landing tables.
 
     * videos: first discovery wins (``discover_time``);
     * snapshots: counts coerced to whole numbers, one row per
       (video_id, snapshot_time);
-    * channels: last version in ``channel_order`` wins."""
+    * channels: last version in ``channel_order`` wins;
+    * comments, if given: first in ``comment_order`` wins; fact, metrics by video and
+      the comment analysis table."""
     video = dedup(raw_video, ["video_id"], ["discover_time"], keep="first") \
         .withColumn("publish_time", iso_utc("publish_time"))
     stats = raw_video_stats
@@ -50,8 +53,20 @@ def refresh_warehouse(raw_video: DataFrame, raw_video_stats: DataFrame, raw_chan
     dim_video = build_dim_video(video, stats, topics=dim_topic)
     fact = build_fact_video_metrics(stats, dim_video)
     flat = flat_dataset(fact, dim_video, dim_channel, dim_time)
-    return {"dim_topic": dim_topic, "dim_time": dim_time, "dim_channel": dim_channel, "dim_video": dim_video,
-            "fact_video_metrics": fact, "final_dataset": flat}
+    out = {"dim_topic": dim_topic, "dim_time": dim_time, "dim_channel": dim_channel, "dim_video": dim_video,
+           "fact_video_metrics": fact, "final_dataset": flat}
+    return out if raw_comment is None else out | refresh_comments(raw_comment, comment_order)
+
+
+def refresh_comments(raw_comment: DataFrame, order: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Typed comment fact, its metrics by video and the comment analysis table. Sentiment counts
+    and score are there if ``raw_comment`` has a ``sentiment_label``, else NULL."""
+    fact = build_fact_comment(raw_comment, order)
+    labels = raw_comment.select("comment_id", "sentiment_label") if "sentiment_label" in raw_comment.columns else None
+    labelled = fact if labels is None else \
+        fact.join(dedup(labels.where("sentiment_label is not null"), ["comment_id"], keep="first"), "comment_id", "left")
+    return {"fact_comment": fact, "fact_comment_metrics": comment_metrics(labelled),
+            "comment_dataset": fact.select("comment_id", "video_id", "comment_text", "like_count", "published_at")}
 
 
 def cleaned_video(flat: DataFrame) -> DataFrame:

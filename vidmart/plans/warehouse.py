@@ -17,6 +17,7 @@ from ..functions.numeric import round_ratio_half_even, to_count
 from ..functions.text import clean_label
 from ..functions.timefn import time_parts
 from ..operators.dedup import dedup, distinct_rows, surrogate_key
+from ..schemas import FACT_COMMENT
 from ..sources.io import select_present
 
 SENTIMENTS = ("positive", "negative", "neutral")
@@ -46,9 +47,11 @@ def build_fact_comment(comments: DataFrame, order: Sequence[str] = ()) -> DataFr
     d = comments.where(F.col("comment_id").isNotNull() & F.col("video_id").isNotNull())
     d = dedup(d, ["comment_id"], order, keep="first")
     d = d.withColumn("like_count", to_count("like_count").cast("int"))
-    d = select_present(d, ["comment_id", "video_id", "author_name", "comment_text", "like_count",
-                           "published_at", "updated_at"])
-    return d.withColumn("loaded_at", F.current_timestamp())
+    types = {f.name: f.dataType for f in FACT_COMMENT}
+    d = select_present(d.withColumn("loaded_at", F.current_timestamp()), list(types))
+    # a zone-less time stays as it came: giving it a zone is the reader's decision
+    zoneless = {c for c, t in d.dtypes if t == "timestamp_ntz"}
+    return d.select(*[F.col(c) if c in zoneless else F.col(c).cast(types[c]) for c in d.columns])
 
 
 def build_dim_time(df: DataFrame, ts_col: str = "snapshot_time") -> DataFrame:

@@ -8,9 +8,9 @@ resumes where it stopped and re-delivered batches change nothing:
 
 * insert-or-ignore sink: each micro-batch is deduplicated and anti-joined
   against the sink table as committed so far, so replaying a batch adds 0 rows;
-* upsert sink: the table is partitioned by a hash bucket of the key; each
-  micro-batch rewrites only the buckets it touches (dynamic partition
-  overwrite of the merged rows); a replayed batch gives the same table;
+* upsert sink: each micro-batch is appended as a version of its own and the
+  newest version of a key is taken on read; no batch reads or rewrites an
+  older one, and a replayed batch replaces its own version;
 * windowed counts: each micro-batch appends its own counts by hour under its
   batch id, and the hours are summed on read; exact for events in any order,
   however late, and a replayed batch replaces its own rows.
@@ -18,6 +18,7 @@ resumes where it stopped and re-delivered batches change nothing:
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Sequence
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.timefn import instant_to_ntz, ntz_to_instant
-from ..operators.dedup import dedup, insert_ignore, merge_keep_last
+from ..operators.dedup import dedup, insert_ignore
 from ..session import scratch_path
 
 
@@ -105,44 +106,54 @@ def insert_ignore_sink(target_path: str, keys: Sequence[str], order: Sequence[st
     return run
 
 
-BUCKET = "_bucket"
+KEY, VERSION = "_key", "_version"
+
+
+def _versions(spark: SparkSession, table_path: str) -> list[str]:
+    """Names of the versions of an upsert table, oldest first (as many as batches since it was last compacted)."""
+    if not _exists(spark, table_path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    names = [st.getPath().getName() for st in found]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{VERSION}="))
 
 
 def upsert_into(table_path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = (),
-                buckets: int = 64) -> None:
-    """Keep-last upsert of ``batch`` into a table partitioned by a hash bucket
-    of the key. Only the buckets the batch touches are read
-    (``in_partitions_of``), merged (batch rows
-    win, then the latest in ``order``) and written back with dynamic partition
-    overwrite — the rest of the table is never rewritten. Replaying a batch
-    gives the same table."""
+                writer: str | None = None) -> None:
+    """Keep-last upsert: the batch, one row per key (the latest in ``order``), becomes the newest
+    version of the table. Nothing older is read or rewritten, so a crash at any point leaves
+    every earlier version whole. ``writer`` names the batch: written again under the same name it
+    replaces its own version and keeps its place; without a name it is always a new version.
+    All batches have the same columns. One writer at a time."""
     spark = batch.sparkSession
-    b = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    if _exists(spark, table_path):
-        cur = spark.read.schema(b.schema).parquet(table_path)
-        cur = in_partitions_of(cur, b, BUCKET)
-        merged = merge_keep_last(cur, b, keys, order)
-    else:
-        merged = dedup(b, keys, order, keep="last")
-    # dynamic overwrite stages the new bucket files and swaps them in at job
-    # commit, after every read of the old buckets has finished
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BUCKET).parquet(table_path))
+    known = _versions(spark, table_path)
+    tag = writer or "once"
+    mine = [v for v in known if v.split("-", 1)[1] == tag] if writer else []
+    version = mine[0] if mine else f"v{int(known[-1][1:13]) + 1 if known else 0:012d}-{tag}"
+    rows = dedup(batch, keys, order, keep="last").withColumns({KEY: F.struct(*keys), VERSION: F.lit(version)})
+    # staged, then one folder is moved into place when the job commits
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(VERSION).parquet(table_path))
 
 
 def read_upserted(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.parquet(table_path).drop(BUCKET)
+    """For each key the row of its newest version."""
+    return dedup(spark.read.parquet(table_path), [KEY], [VERSION], keep="last").drop(KEY, VERSION)
+
+
+def compact_upserted(spark: SparkSession, table_path: str, to_path: str, keys: Sequence[str]) -> DataFrame:
+    """The current rows as the only version of a new table; the old one stays as it is."""
+    upsert_into(to_path, read_upserted(spark, table_path), keys)
+    return read_upserted(spark, to_path)
 
 
-def upsert_sink(table_path: str, keys: Sequence[str], order: Sequence[str] = (), buckets: int = 64):
-    """foreachBatch function: keep-last upsert (see ``upsert_into``)."""
+def upsert_sink(table_path: str, keys: Sequence[str], order: Sequence[str] = (), stream: str = "stream"):
+    """foreachBatch function: keep-last upsert (see ``upsert_into``). ``stream`` tells the
+    batches of one checkpoint from those of another that writes to the same table."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()      # read several times: keep one computation
-        try:
-            if not batch.isEmpty():
-                upsert_into(table_path, batch, keys, order, buckets)
-        finally:
-            batch.unpersist()
+        if not batch.isEmpty():
+            upsert_into(table_path, batch, keys, order, f"{stream}.{batch_id}")
     return run
 
 
@@ -169,12 +180,12 @@ def stream_insert_ignore(spark: SparkSession, source: str, schema: StructType, t
 
 
 def stream_upsert(spark: SparkSession, source: str, schema: StructType, table_path: str, keys: Sequence[str],
-                  order: Sequence[str] = (), checkpoint: str | None = None, files_per_trigger: int | None = None,
-                  buckets: int = 64) -> DataFrame:
-    """Last-wins upsert of landed files into a bucketed table."""
+                  order: Sequence[str] = (), checkpoint: str | None = None,
+                  files_per_trigger: int | None = None) -> DataFrame:
+    """Last-wins upsert of landed files into a versioned table."""
     ck = checkpoint or scratch_path(spark, "ckpt-upsert")
-    run_available(file_stream(spark, source, schema, files_per_trigger),
-                  upsert_sink(table_path, keys, order, buckets), ck)
+    sink = upsert_sink(table_path, keys, order, hashlib.md5(ck.encode()).hexdigest()[:12])
+    run_available(file_stream(spark, source, schema, files_per_trigger), sink, ck)
     return read_upserted(spark, table_path)
 
 
