@@ -172,6 +172,42 @@ def test_block_max_neighbours_are_exact():
         assert found.tolist() == np.lexsort((np.arange(300), -s))[:7].tolist() and np.allclose(cosines, s[found])
 
 
+def test_toxicity_by_words_of_few_examples(spark, make):
+    """Words of two toxic examples are too rare to be chosen; a text that holds them is still found."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices([f"w{chr(97 + k)}" for k in range(26)], k=12))) for i in range(120)]
+    labels = spark.createDataFrame([(i, 0) for i in range(120)] + [(i, 1) for i in range(200, 212)], "doc_id long, toxic int")
+    rows += [(i, f"rarest scarcest {'abcdef'[j % 6] * 9}") for j, i in enumerate(range(200, 212))]
+    asked = [(1000, "rarest scarcest abc"), (1001, "wa wb wc wd"), (1002, "?")]
+    d = make(rows + asked)
+    some = [r["doc_id"] for r in toxicity.training_rows(d, labels, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, 1000).where("y = 1").orderBy("doc_id").collect()][:3]
+    few = labels.where(F.col("toxic") == 0).unionByName(labels.where(F.col("doc_id").isin(some)))
+    got = {r["doc_id"]: r for r in toxicity.classify(d.where(F.col("doc_id").isin(some) | ~F.col("doc_id").between(200, 299)), few).collect()}
+    assert not toxicity.fit(d, few).vocabulary.terms
+    assert got[1000]["score"] > 10 * got[1001]["score"] and {e["doc_id"] for e in got[1000]["evidence"]} == set(some)
+    assert got[1002]["evidence"] == []
+
+
+def test_whole_text_neighbours_are_exact():
+    rng = random.Random(9)
+    rows = [tuple(np.array(x) for x in zip(*sorted(collections.Counter(min(rng.randrange(40), rng.randrange(40)) for _ in range(9)).items()))) for _ in range(200)]
+    whole = toxicity.WholeTexts([f"w{i}" for i in range(40)], np.linspace(1, 3, 40), rows)
+    full = np.zeros((200, 40))
+    for i, (t, w) in enumerate(whole.vectors):
+        full[i, t] = w
+    got = whole.cosines(whole.vectors[:50])
+    for i in range(50):
+        s = np.round(full @ full[i], 12)
+        found, cosines = toxicity.best(got[i], 7)
+        assert found.tolist() == np.lexsort((np.arange(200), -s))[:7].tolist() and np.allclose(cosines, s[found])
+
+
+def test_copies_are_told_by_the_whole_text():
+    rng = random.Random(10)
+    texts = ["of the " + long_text(rng, 80) for _ in range(400)]
+    assert len({toxicity.copy_key(t) for t in texts}) == 400 and toxicity.copy_key(texts[0].upper()) == toxicity.copy_key(texts[0])
+
+
 # ---- 5
 
 @pytest.mark.parametrize("size", [2, 5])

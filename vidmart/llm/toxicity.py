@@ -2,9 +2,10 @@
 
 Terms are lower-cased words of letters and, marked by a star, their first 4, 5 and 6
 letters; "term@3" stands for texts that have the term three times or more (a cosine
-does not tell one use from five). Of the terms of the examples those are kept that tell the classes apart
-(chi-square over examples, copies of one text counted once). Document frequencies are
-counted over every document; a text is the unit vector of (1 + log tf) * idf.
+does not tell one use from five). All terms of the examples that tell the classes apart are chosen
+(chi-square over examples, copies of one text counted once: texts that agree in ``HASHES``
+minhashes of their word pairs). Document frequencies are counted over every document; a
+text is the unit vector of (1 + log tf) * idf.
 
 The examples are held as an inverted index in blocks of ``BLOCK`` examples, with each
 term's greatest weight in each block. A block is scored only while the bound made of
@@ -13,12 +14,16 @@ neighbour votes with a weight that falls with its distance; the votes become a
 probability through a curve fitted to the examples, each left out of its own vote.
 The neighbours are the evidence.
 
-Bounds: at most ``MAX_EXAMPLES`` labelled rows (least hash of the doc_id first) and
-``MAX_TERMS`` terms reach the driver and the tasks; every document is counted and scored.
+A text without a chosen term is compared with every example on all words of the examples,
+also exactly; the curve of these votes is fitted to the examples without a chosen term.
+
+Bounds: at most ``MAX_EXAMPLES`` labelled rows (least hash of the doc_id first) and their
+words reach the driver and the tasks; every document is counted and scored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -34,13 +39,16 @@ from vidmart.llm.common import documents, saved
 from vidmart.llm.quality import fit_curve, fold, training_rows
 
 MAX_EXAMPLES = 8_000
-MAX_TERMS = 1_024
 LEAST_EXAMPLES = 4
 LEAST_CHI = 25.0
 PREFIXES = (4, 5, 6)
 LEVELS = (1, 2, 3, 5)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Minhashes that copies of one text agree in: word pairs of which a share s is common to two texts agree with a chance of s**HASHES.
+HASHES = 8
+#: Words that more than one in so many examples hold are multiplied as a matrix; texts that are compared at a time.
+COMMON, TEXTS = 16, 64
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 EVIDENCE = T.StructType().add("doc_id", "long").add("cosine", "double").add("label", "integer")
@@ -58,10 +66,17 @@ def terms(text: str) -> set[str]:
     return {t if level == 1 else f"{t}@{level}" for t, n in uses.items() for level in LEVELS if n >= level}
 
 
-def copy_key(text: str) -> int:
-    """Least hash of a text's word pairs: copies and near copies mostly share it."""
+_draw = np.random.default_rng(20240301).integers(1, 2**31 - 1, (2, HASHES, 1), dtype=np.uint64)
+
+
+def copy_key(text: str) -> str:
+    """Digest of the minhashes of a text's word pairs: copies and most near copies share it, other texts don't."""
     words = text.lower().split()
-    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(text.encode()))
+    pairs = {zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)}
+    if not pairs:
+        return hashlib.md5(" ".join(words).encode()).hexdigest()
+    h = np.fromiter(pairs, np.uint64, len(pairs)) % np.uint64(2**31 - 1)
+    return hashlib.md5(((_draw[0] * h + _draw[1]) % np.uint64(2**31 - 1)).min(1).tobytes()).hexdigest()
 
 
 class Vocabulary:
@@ -103,17 +118,86 @@ def letter(c: str) -> bool:
     return WORD.match(c) is not None
 
 
+def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of the unit vector of n uses of the terms t."""
+    w = (1 + np.log(n)) * idf[t] if len(t) else np.zeros(0)
+    norm = np.sqrt((w * w).sum())
+    return (t, w / norm) if norm > 0 else (t[:0], w[:0])
+
+
+class WholeTexts:
+    """Examples as unit vectors of all their words; rows: the words' numbers and uses of each."""
+
+    def __init__(self, words: list[str], idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.at = {w: i for i, w in enumerate(words)}
+        self.idf, self.n = idf, len(rows)
+        self.vectors = [unit(t, n, idf) for t, n in rows]  # for the fit; not sent to the tasks
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in self.vectors])
+        held = np.bincount(term, minlength=len(words))
+        common = np.flatnonzero(held > max(1, self.n // COMMON))
+        self.row = np.full(len(words), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n))
+        of = self.row[term]
+        self.matrix[of[of >= 0], doc[of >= 0]] = weight[of >= 0]
+        order = np.flatnonzero(of < 0)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.doc, self.weight = doc[order], weight[order]
+        self.start = np.searchsorted(term[order], np.arange(len(words) + 1))
+
+    def __getstate__(self):
+        return self.__dict__ | {"vectors": []}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        uses = Counter(WORD.findall(text.lower()))
+        t = np.fromiter((self.at.get(w, -1) for w in uses), np.int64, len(uses))
+        n = np.fromiter(uses.values(), np.int64, len(uses))
+        order = np.argsort(t)
+        order = order[t[order] >= 0]
+        return t[order], n[order]
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return unit(*self.counts(text), self.idf)
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosine of each vector with each example, to 12 digits."""
+        shared = np.zeros((len(vectors), len(self.matrix)))
+        out = np.zeros((len(vectors), self.n))
+        for i, (t, w) in enumerate(vectors):
+            row = self.row[t]
+            shared[i, row[row >= 0]] = w[row >= 0]
+            t, w = t[row < 0], w[row < 0]
+            lo, size = self.start[t], self.start[t + 1] - self.start[t]
+            at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+            out[i] = np.bincount(self.doc[at], self.weight[at] * np.repeat(w, size), minlength=self.n)
+        return np.round(out + shared @ self.matrix, 12)
+
+
+def best(cosines: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest cosines above 0 and their places; ties go to the earlier example."""
+    at = np.flatnonzero(cosines > 0)
+    at = at[at != leave]
+    if len(at) > k:
+        at = at[cosines[at] >= np.partition(cosines[at], len(at) - k)[len(at) - k]]
+    at = at[np.lexsort((at, -cosines[at]))[:k]]
+    return at, cosines[at]
+
+
 class Neighbours:
     """Labelled unit vectors as block-max postings."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: list[int], labels: np.ndarray, rows: list[Counter], k: int = NEIGHBOURS):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: list[int], labels: np.ndarray, rows: list[Counter], k: int = NEIGHBOURS,
+                 whole: WholeTexts | None = None):
         self.vocabulary, self.idf, self.k = vocabulary, idf, k
         self.base = float(labels.mean()) if len(labels) else 0.0
         vectors = [self.vector(r) for r in rows]
         some = [i for i, (t, _) in enumerate(vectors) if len(t)]
         silent = [i for i, (t, _) in enumerate(vectors) if not len(t)]
-        # without any chosen term a text is as likely as such examples are
+        # without any word of the examples a text is as likely as the examples without a chosen term are
         self.silent = float((labels[silent].sum() + self.base) / (len(silent) + 1))
+        self.all_ids, self.all_labels = np.array(ids, np.int64), labels
         self.ids = np.array([ids[i] for i in some], np.int64)
         self.labels = labels[some] if some else np.zeros(0)
         n, m = len(some), len(vocabulary.terms)
@@ -132,12 +216,17 @@ class Neighbours:
         votes = np.array([self.vote(*self.nearest(vectors[i], leave=j)) for j, i in enumerate(some)])
         if len(votes) and 0 < self.labels.mean() < 1:
             self.curve = fit_curve(votes - 0.5, self.labels)
+        self.whole, self.whole_curve = whole, None
+        if whole is not None and len(silent) and 0 < labels[silent].mean() < 1:
+            near = [(best(c, k, leave=i), i) for lo in range(0, len(silent), TEXTS)
+                    for i, c in zip(silent[lo:lo + TEXTS], whole.cosines([whole.vectors[i] for i in silent[lo:lo + TEXTS]]), strict=True)]
+            votes = np.array([self.vote(*x, labels) for x, _ in near if len(x[0])])
+            if len(votes):
+                self.whole_curve = fit_curve(votes - 0.5, labels[[i for x, i in near if len(x[0])]])
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts), np.int64)
-        w = np.array([1 + np.log(counts[i]) for i in t.tolist()]) * self.idf[t] if len(t) else np.zeros(0)
-        norm = np.sqrt((w * w).sum())
-        return (t, w / norm) if norm > 0 else (t[:0], w[:0])
+        return unit(t, np.array([counts[i] for i in t.tolist()]), self.idf)
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines; ties go to the earlier example."""
@@ -168,20 +257,33 @@ class Neighbours:
         order = np.lexsort((found, -np.round(cosines, 12)))[:self.k]
         return found[order], cosines[order]
 
-    def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
+    def vote(self, found: np.ndarray, cosines: np.ndarray, labels: np.ndarray | None = None) -> float:
         """Share of label 1 among the neighbours, each weighted by closeness."""
         w = cosines / (1.05 - np.minimum(cosines, 1))
-        return float(((w * self.labels[found]).sum() + 0.1 * self.base) / (w.sum() + 0.1))
-
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        vector = self.vector(self.vocabulary.counts(text))
-        found, cosines = self.nearest(vector)
-        if not len(found):
-            return self.silent, found, cosines
-        v = self.vote(found, cosines)
-        if self.curve is not None:
-            v = 1 / (1 + np.exp(-np.clip(self.curve[0] * (v - 0.5) + self.curve[1], -40, 40)))
-        return float(v), found, cosines
+        return float(((w * (self.labels if labels is None else labels)[found]).sum() + 0.1 * self.base) / (w.sum() + 0.1))
+
+    def scores(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """Score of each text, and its neighbours' doc_ids, cosines and labels."""
+        out, rest = [], []
+        for i, text in enumerate(texts):
+            found, cosines = self.nearest(self.vector(self.vocabulary.counts(text)))
+            if len(found):
+                out.append((curved(self.curve, self.vote(found, cosines)), self.ids[found], cosines, self.labels[found]))
+            else:
+                rest.append(i)
+                out.append((self.silent, found, cosines, cosines))
+        for lo in range(0, len(rest) if self.whole is not None else 0, TEXTS):
+            part = rest[lo:lo + TEXTS]
+            for i, c in zip(part, self.whole.cosines([self.whole.vector(texts[i]) for i in part]), strict=True):
+                found, cosines = best(c, self.k)
+                if len(found):
+                    v = self.vote(found, cosines, self.all_labels)
+                    out[i] = (curved(self.whole_curve, v), self.all_ids[found], cosines, self.all_labels[found])
+        return out
+
+
+def curved(curve: tuple[float, float] | None, vote: float) -> float:
+    return vote if curve is None else float(1 / (1 + np.exp(-np.clip(curve[0] * (vote - 0.5) + curve[1], -40, 40))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_EXAMPLES) -> Neighbours:
@@ -192,13 +294,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
         for batch in batches:
             for doc_id, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True):
                 own = sorted(terms(text or ""))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int32()), pa.array([copy_key(text or "")], pa.int64()),
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int32()), pa.array([copy_key(text or "")]),
                                                   pa.array([text or ""]), pa.array([own], pa.list_(pa.string()))], ["doc_id", "y", "copy", "text", "terms"])
 
     labelled = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    examples = saved(labelled.mapInArrow(read, "doc_id long, y int, copy long, text string, terms array<string>"), "examples")
-    once = examples.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    single = examples.join(once, ["copy", "doc_id"], "left_semi")
+    examples = saved(labelled.mapInArrow(read, "doc_id long, y int, copy string, text string, terms array<string>"), "examples")
+    single = examples.groupBy("copy").agg(F.min(F.struct("doc_id", "y", "terms")).alias("first")).select("first.*")
     total = single.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     n, p = float(total["n"]), float(total["p"] or 0)
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
@@ -207,31 +308,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     if 0 < p < n:
         counts = single.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("c"))
         kept = [r["term"] for r in counts.where((F.col("a") >= LEAST_EXAMPLES) & (a * n > c * p) & (c < n)).withColumn("chi", chi)
-                .where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).select("term").collect()]
+                .where(F.col("chi") >= LEAST_CHI).select("term").collect()]
     vocabulary = Vocabulary(sorted(kept))
+    spelt = examples.select(F.explode("terms").alias("term")).where(~F.col("term").rlike("[*@]")).distinct()
+    words = sorted(spelt.toArrow().column("term").to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, words))
 
     def frequencies(batches):
+        vocabulary, words = shared.value
+        at = {w: i for i, w in enumerate(words, len(vocabulary.terms))}
         seen: Counter = Counter()
         n = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 seen.update(vocabulary.counts(text or "").keys())
+                seen.update(at[w] for w in set(WORD.findall((text or "").lower())) if w in at)
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(kept))])
+    df = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(1 + len(kept) + len(words))
+    held[df.column("term").to_numpy() + 1] = df.column("n").to_numpy()
+    idf = np.log((1 + held[0]) / (1 + held[1:])) + 1
 
     def vectors(batches):
+        vocabulary, words = shared.value
+        at = {w: i for i, w in enumerate(words)}
         for batch in batches:
-            own = [vocabulary.counts(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([sorted(c) for c in own], pa.list_(pa.int32())),
-                                              pa.array([[c[t] for t in sorted(c)] for c in own], pa.list_(pa.int32()))], ["doc_id", "y", "t", "n"])
+            texts = batch.column("text").to_pylist()
+            own = [vocabulary.counts(x) for x in texts]
+            whole = [Counter(at[w] for w in WORD.findall(x.lower())) for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("y"), *(pa.array(x, pa.list_(pa.int32())) for c in (own, whole) for x in ([sorted(r) for r in c], [[r[t] for t in sorted(r)] for r in c]))],
+                ["doc_id", "y", "t", "n", "word", "uses"])
 
-    rows = (examples.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, n array<int>")
-            .orderBy("doc_id").toArrow().to_pylist())
-    return Neighbours(vocabulary, idf, [r["doc_id"] for r in rows], np.array([float(r["y"]) for r in rows]),
-                      [Counter(dict(zip(r["t"], r["n"], strict=True))) for r in rows])
+    rows = (examples.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, n array<int>, word array<int>, uses array<int>")
+            .orderBy("doc_id", "y", "word", "uses").toArrow())
+    lists = lambda name: [x.values.to_numpy().astype(np.int64) for x in rows.column(name)]
+    whole = WholeTexts(words, idf[len(kept):], list(zip(lists("word"), lists("uses"), strict=True)))
+    return Neighbours(vocabulary, idf[:len(kept)], rows.column("doc_id").to_pylist(), rows.column("y").to_numpy().astype(float),
+                      [Counter(dict(zip(t.tolist(), n.tolist(), strict=True))) for t, n in zip(lists("t"), lists("n"), strict=True)], whole=whole)
 
 
 def score_toxicity(docs: DataFrame, model: Neighbours, *keep: str, evidence: int = 3, name: str = "score") -> DataFrame:
@@ -245,11 +361,10 @@ def score_toxicity(docs: DataFrame, model: Neighbours, *keep: str, evidence: int
         model = shared.value
         for batch in batches:
             score, near = [], []
-            for text in batch.column("text").to_pylist():
-                s, found, cosines = model.score(text or "")
+            for s, ids, cosines, labels in model.scores([text or "" for text in batch.column("text").to_pylist()]):
                 score.append(s)
-                near.append([{"doc_id": int(model.ids[i]), "cosine": float(c), "label": int(model.labels[i])}
-                             for i, c in zip(found[:evidence].tolist(), cosines.tolist(), strict=False)])
+                near.append([{"doc_id": i, "cosine": c, "label": int(y)}
+                             for i, c, y in zip(ids[:evidence].tolist(), cosines.tolist(), labels.tolist(), strict=False)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score, pa.float64()), pa.array(near, kind)],
                                              [*keep, name, "evidence"])
 
@@ -259,8 +374,8 @@ def score_toxicity(docs: DataFrame, model: Neighbours, *keep: str, evidence: int
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of docs (doc_id, text).
 
-    Null and empty texts, and texts without a chosen term, get the share of label 1 among such
-    examples. Rows that repeat a doc_id are scored each; a doc_id labelled twice counts with its
+    Null and empty texts, and texts without a word of the examples, get the share of label 1 among
+    examples without a chosen term. Rows that repeat a doc_id are scored each; a doc_id labelled twice counts with its
     greatest label; other columns are not looked at. Without labelled rows the score is 0."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score_toxicity(docs, fit(docs, labels), "doc_id")
