@@ -131,6 +131,28 @@ def test_top_k(spark):
     assert knn.top_k(data.where("false"), data).count() == 0 and knn.top_k(data, data.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.01])
+def test_top_k_with_one_vec_id_on_a_third_of_the_rows(spark, spread):
+    rng = np.random.default_rng(1)
+    hot = spark.range(400).orderBy(F.xxhash64("id"), "id").first()["id"]  # the pivot, and longer than the others
+    vectors = [[float(x) * (4 if i == hot else 1) for x in rng.normal(size=5)] for i in range(400)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(hot, [x * (1 + spread * float(rng.normal())) for x in vectors[hot]]) for _ in range(200)]
+    data = knn.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).localCheckpoint()
+    held = [(r["vec_id"], r["v"]) for r in data.collect()]
+    near = sorted((r for r in held if r[0] != hot), key=lambda r: -sum(a * b for a, b in zip(r[1], held[hot][1])))[:64]
+    asked = data.where(F.col("vec_id").isin([i for i, _ in near]))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in knn.top_k(asked, data).collect()}
+    want = {}
+    for q, qv in near:
+        best = {}
+        for c, v in held:
+            if c != q:
+                best[c] = max(best.get(c, -10**18), sum(a * b for a, b in zip(qv, v)))
+        for rank, (c, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10], 1):
+            want[q, rank] = (c, s)
+    assert got == want
+
+
 # ---- 3, 4
 
 def labelled(spark):

@@ -3,7 +3,7 @@
 With one more component, sqrt(M**2 - |x|**2) for a candidate (M: the greatest norm) and
 0 for a query scaled to length M, the greatest inner products are the nearest points.
 Queries are grouped by their nearest pivot. Summaries of the groups (radius of each
-query group, the least pivot distances of the candidates) bound the distance within
+query group, the least pivot distances of candidates with distinct vec_ids) bound the distance within
 which a group's k nearest must lie; a candidate is sent to a group only if its distance
 to the group's pivot, less the radius, is within that bound. Groups are cut into blocks
 of bounded size, solved where they meet with whole-number products, and the blocks'
@@ -50,6 +50,13 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def distinct(ids: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n least distances of distinct ids, in order."""
+    order = np.argsort(d, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:n]
+    return ids[order][first], d[order][first]
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries against rows, both (vec_id, v).
 
@@ -87,13 +94,15 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, max_pivots: int = M
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g.astype(np.int32)), pa.array(d[np.arange(len(g)), g])], ["vec_id", "v", "g", "d"])
 
     def least(batches):
-        """For each pivot the k + 1 least distances in this part of the table."""
-        best = np.full((len(pivots), k + 1), np.inf)
+        """For each pivot the k + 1 least distances of distinct vec_ids in this part of the table."""
+        ids, best = np.zeros((len(pivots), 0), np.int64), np.zeros((len(pivots), 0))
         for batch in batches:
+            own = batch.column("vec_id").to_numpy()
             d = from_rows(matrix(batch.column("v").to_pylist(), dim)).T
-            best = np.sort(np.concatenate([best, d], 1), 1)[:, :k + 1]
+            near = [distinct(np.append(i, own), np.append(old, new), k + 1) for i, old, new in zip(ids, best, d, strict=True)]
+            ids, best = np.stack([i for i, _ in near]), np.stack([x for _, x in near])
         g, _ = np.indices(best.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(g.ravel().astype(np.int32)), pa.array(best.ravel())], ["g", "d"])
+        yield pa.RecordBatch.from_arrays([pa.array(g.ravel().astype(np.int32)), pa.array(ids.ravel()), pa.array(best.ravel())], ["g", "vec_id", "d"])
 
     if not len(pivots) or not asked["n"]:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -103,8 +112,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, max_pivots: int = M
     for r in placed.groupBy("g").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect():
         radius[r["g"]], size[r["g"]] = r["d"], r["n"]
     best = Window.partitionBy("g").orderBy("d")
-    near = rows.mapInArrow(least, "g int, d double").withColumn("r", F.row_number().over(best)).where(F.col("r") == k + 1)
-    bound = np.full(len(pivots), np.inf)  # d(q, s) <= d(q, pivot) + d(pivot, s) for k + 1 rows s
+    near = rows.mapInArrow(least, "g int, vec_id long, d double").groupBy("g", "vec_id").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(best)).where(F.col("r") == k + 1)
+    bound = np.full(len(pivots), np.inf)  # d(q, s) <= d(q, pivot) + d(pivot, s) for k + 1 vec_ids s
     for r in near.collect():
         bound[r["g"]] = radius[r["g"]] + r["d"]
     reach = radius + bound + slack  # a candidate farther from the pivot than this is nobody's neighbour
@@ -134,17 +143,18 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, max_pivots: int = M
         x = x.sort_values("vec_id", kind="stable")
         ids = x["vec_id"].to_numpy()
         data = matrix(x["v"].to_list(), dim)
+        start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of each vec_id's rows
+        ids = ids[start]
         out = []
         for lo in range(0, len(q), 256):
             own = q["vec_id"].to_numpy()[lo:lo + 256]
-            score = products(matrix(q["v"].to_list()[lo:lo + 256], dim), data)
+            score = np.maximum.reduceat(products(matrix(q["v"].to_list()[lo:lo + 256], dim), data), start, axis=1)
             for i, qid in enumerate(own):
                 at = np.flatnonzero(ids != qid)
-                if len(at) > 2 * k:
-                    cut = np.partition(score[i, at], len(at) - 2 * k)[len(at) - 2 * k]
+                if len(at) > k:
+                    cut = np.partition(score[i, at], len(at) - k)[len(at) - k]
                     at = at[score[i, at] >= cut]
-                order = at[np.argsort(-score[i, at], kind="stable")]
-                order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+                order = at[np.argsort(-score[i, at], kind="stable")][:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[order], "score": score[i, order]}))
         return pd.concat(out)
 
