@@ -6,9 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,9 +15,3 @@ def spark():
                          "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="vidmart-test-wh-")})
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collected rows as tuples, sorted (order-insensitive compare)."""
-    sel = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in sel.collect()), key=repr)

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from testkit import rows
 from vidmart.operators import dedup as D
 from vidmart.operators import insight as I
 from vidmart.operators import ml as ML

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from vidmart.plans.driver import catalogue
-from conftest import SF_SMALL
+from testkit import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from testkit import SF_SMALL, rows
 from vidmart.functions.numeric import round_ratio_half_even
 from vidmart.functions.timefn import iso_duration_seconds
 from vidmart.operators import dedup as D

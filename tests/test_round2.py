@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from testkit import SF_SMALL, rows
 from vidmart.functions import text as TX
 from vidmart.functions.timefn import iso_duration_seconds, parse_timestamp
 from vidmart.operators import ml as ML

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from testkit import SF_SMALL, rows
 from vidmart.operators.dedup import dedup
 from vidmart.session import scratch_path
 from vidmart.streaming import stream as ST
