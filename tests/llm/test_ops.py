@@ -366,3 +366,62 @@ def test_line_rules(spark, make):
 def test_native_plan_has_no_python(spark):
     plan = lines.op8_line_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def thue_morse(n, a, b):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out
+
+
+def test_hashes_have_no_known_pairs():
+    """Words that agree under every polynomial hash modulo 2**64, for strings of letters and of words."""
+    from vidmart.llm import arrays
+    for n in (128, 1024):
+        raw = np.frombuffer("".join(thue_morse(n, "a", "b") + thue_morse(n, "b", "a")).encode(), np.uint8)
+        for hashes in (arrays.byte_prefix(raw), arrays.prefix(raw.astype(np.uint64))):
+            a, b = arrays.span(hashes, np.array([0, n]), np.array([n, 2 * n]))
+            assert a != b
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    values[2000:2500] = values[100:600]
+    hashes = arrays.prefix(values)
+    lo = np.arange(100, 580)
+    assert (arrays.span(hashes, lo, lo + 20) == arrays.span(hashes, lo + 1900, lo + 1920)).all()
+    assert len(np.unique(arrays.span(hashes, lo, lo + 20))) == len(lo)
+
+
+def test_near_duplicates_are_not_joined_by_a_weak_hash(spark, make):
+    x, y = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make([(1, x), (2, y), (3, x.upper())]), size=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_equal_sets_in_another_order_are_linked(spark, make):
+    rows = [(1, "a b a c a b"), (2, "b a c a b a"), (3, "c a b a c a b"), (4, "a b a")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make(rows), size=2).collect()}
+    sets = {i: neardup.shingle_set(t, 2) for i, t in rows}
+    assert sets[1] == sets[2] == sets[3] != sets[4] and got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_word_windows_are_not_removed_by_a_weak_hash(spark, make):
+    x, y = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    head = " ".join(f"w{i}" for i in range(34))
+    docs = make([(1, f"{head} {x}"), (2, f"{head} {y}")])
+    rows = docs.select(F.col("doc_id").alias("rid"), F.col("doc_id").alias("ord"), "doc_id", "text")
+    got = recompress.removed_words(rows, recompress.digest, recompress.DIGEST).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_suffix_array_of_many_names():
+    rng = np.random.default_rng(3)
+    s = np.append(rng.integers(1, 258, 100_000), 0)
+    s[50_000:80_000] = s[10_000:40_000]
+    sa, raw = suffix.suffix_array(s, 258), (s + 0).astype(">u2").tobytes()
+    assert len(np.unique(sa)) == len(s)
+    assert all(raw[2 * a:2 * a + 400] <= raw[2 * b:2 * b + 400] for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True))
+    names = rng.integers(0, 5000, 100_000)
+    names[:30_000] = names[60_000:90_000]
+    order, held = suffix.doubled(names, None), names.astype(">u4").tobytes()
+    assert all(held[4 * a:4 * a + 400] <= held[4 * b:4 * b + 400] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vidmart.llm.common import saved
+from vidmart.llm.common import release, saved
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -61,35 +61,37 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     missing makes a root; messages that answer each other in a circle have no root and no path."""
     messages = saved(messages.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     own = messages.select(F.col("node").alias("up"))
-    first = messages.join(own, messages["parent"] == own["up"], "left").select("node", "up", "score", F.lit(1).cast("long").alias("size"))
-    # up: the message 2**k answers above; size and score: of the messages from node to just below it
-    state, jumps, rounds = saved(first, "jump"), [], 0
-    limit = messages.count().bit_length() + 1
-    while rounds <= limit and state.where("up is not null").limit(1).count():
-        jumps.append(state.where("up is not null").select("node", "up"))
-        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("size").alias("size2"))
-        state = saved(state.join(far, "up", "left").select("node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-                                                           (F.col("size") + F.coalesce("size2", F.lit(0))).alias("size"),
-                                                           F.coalesce("up", "node").alias("seen")).drop("seen"), "jump")
-        rounds += 1
-    return _unroll(messages, state, jumps, branches)
+    first = messages.join(own, messages["parent"] == own["up"], "left")
+    # up: the message 2**k answers above; top, score and size: of the messages from node to just below it
+    state, jumps = saved(first.select("node", "up", F.col("node").alias("top"), "score", F.lit(1).cast("long").alias("size")), "jump"), []
+    for _ in range(messages.count().bit_length() + 1):
+        open_ = state.where("up is not null")
+        if open_.isEmpty():
+            break
+        jumps.append(state)
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("top").alias("end"), F.col("score").alias("s"), F.col("size").alias("n"))
+        further = open_.join(far, "up").select("node", F.col("far").alias("up"), F.col("end").alias("top"), (F.col("score") + F.col("s")).alias("score"),
+                                               (F.col("size") + F.col("n")).alias("size"))
+        state = saved(further.unionByName(state.where("up is null")), "jump")
+    rows = _unroll(messages, state, jumps, branches)
+    release(messages, state, *jumps)
+    return rows
 
 
 def _unroll(messages: DataFrame, state: DataFrame, jumps: list[DataFrame], branches: int | None) -> DataFrame:
+    """Paths of the chosen leaves, by the steps of the doubling, the longest first."""
     answered = messages.where("parent is not null").select(F.col("parent").alias("node")).distinct()
     leaves = state.where("up is null").join(answered, "node", "left_anti")
-    # the root of a leaf: the last message that the doubled steps reach, longest first
-    top = leaves.select(F.col("node").alias("path"), F.col("node").alias("at"), "score", "size")
-    for jump in reversed(jumps):
-        top = top.join(jump.select(F.col("node").alias("at"), "up"), "at", "left").select("path", F.coalesce("up", "at").alias("at"), "score", "size")
-    best = Window.partitionBy("at").orderBy(F.desc(F.col("score") / F.col("size")), "path")
-    chosen = top.withColumn("rank", F.row_number().over(best))
+    best = Window.partitionBy("top").orderBy(F.desc(F.col("score") / F.col("size")), "node")
+    chosen = leaves.withColumn("rank", F.row_number().over(best))
     if branches is not None:
         chosen = chosen.where(F.col("rank") <= branches)
-    rows = saved(chosen.select("path", F.col("path").alias("node"), (F.col("size") - 1).alias("pos"), "rank"), "paths")
+    rows = saved(chosen.select(F.col("node").alias("path"), "node", (F.col("size") - 1).alias("pos"), "rank"), "paths")
     for k, jump in reversed(list(enumerate(jumps))):
-        above = rows.join(jump, "node").select("path", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"), "rank")
-        rows = saved(rows.unionByName(above), "paths")
+        steps = jump.where("up is not null").select("node", "up")
+        above = rows.join(steps, "node").select("path", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"), "rank")
+        done, rows = rows, saved(rows.unionByName(above), "paths")
+        release(done)
     return rows
 
 

@@ -15,8 +15,20 @@ from vidmart.session import scratch_path
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch with whole texts; Spark's own 10,000 would hold 30 MB of usual texts in every buffer.
+TEXT_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand whole texts to Python in batches of at most ``TEXT_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     """Chosen columns of the whole ``documents`` table."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cols)
 
 
@@ -48,10 +60,25 @@ def saved(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if bucket is None:
         writer.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    table = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
-    writer.format("parquet").option("path", path).bucketBy(_buckets(spark), bucket).saveAsTable(table)
-    return spark.table(table)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        table = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+        writer.format("parquet").option("path", path).bucketBy(_buckets(spark), bucket).saveAsTable(table)
+        out = spark.table(table)
+        out.held_as = table
+    out.held_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what saved() wrote for these frames, once no plan will read it again."""
+    for df in frames:
+        spark = df.sparkSession
+        if getattr(df, "held_as", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df.held_as}")
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.held_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

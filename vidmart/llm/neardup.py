@@ -6,7 +6,9 @@ minhashes serve tables**2 tables of 2 * rows minhashes. A pair with similarity s
 table when it shares a key of both collections: (1 - (1 - s**rows)**tables)**2, which is
 0.99996 at s = 0.8 with 15 tables of 3 rows.
 
-1. Documents with equal sets are one class, its smallest doc_id stands for it.
+1. Documents with the same words in the same order (told by a 128-bit digest of them) are
+   one class, its smallest doc_id stands for it. Equal sets of other documents are links as
+   any others: found through their tables and confirmed on the words.
 2. A table's key can only meet others if both its halves do; halves that occur once are
    dropped before the pairs are formed. A document's weight counts the documents that
    share its halves: the original of many copies has the greatest.
@@ -21,13 +23,15 @@ table when it shares a key of both collections: (1 - (1 - s**rows)**tables)**2,
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidmart.llm.arrays import LOWER, U, mix, prefix, runs, span, word_hashes
-from vidmart.llm.common import documents, in_buckets, saved, slices, text_arrays
+from vidmart.llm.common import documents, in_buckets, release, saved, slices, text_arrays
 from vidmart.llm.components import components
 
 TABLES = 15
@@ -65,7 +69,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def sketch(docs: DataFrame, size: int, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, fp1, fp2, a, b): set size, fingerprint of the set, keys of both collections."""
+    """(doc_id, n, fp1, fp2, a, b): set size, digest of the words in order, keys of both collections."""
     names = ["doc_id", "n", "fp1", "fp2", "a", "b"]
     salt, factor = _functions(2 * tables * rows)
 
@@ -76,11 +80,11 @@ def sketch(docs: DataFrame, size: int, tables: int = TABLES, rows: int = ROWS) -
             n = np.bincount(text, minlength=batch.num_rows)
             full = np.flatnonzero(n)
             at = runs(text)
-            fp = np.zeros((2, batch.num_rows), np.int64)
+            low, ends = LOWER[raw].tobytes(), offsets.tolist()
+            words = (b" ".join(low[ends[i]:ends[i + 1]].split()) for i in range(batch.num_rows))
+            fp = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words), "<i8").reshape(-1, 2).T
             keys = np.zeros((batch.num_rows, 2, tables), U)
             if len(at):
-                for i in range(2):
-                    fp[i, full] = np.add.reduceat(mix(value ^ U(0x5851F42D4C957F2D * i)), at).view(np.int64)
                 for i in range(2):
                     for k in range(tables):
                         key = np.full(len(full), i * tables + k + 1, U)
@@ -91,7 +95,7 @@ def sketch(docs: DataFrame, size: int, tables: int = TABLES, rows: int = ROWS) -
                         keys[full, i, k] = key
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * tables, tables, dtype=np.int32)),
                                               pa.array(np.ascontiguousarray(keys[:, i]).reshape(-1).view(np.int64))) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(fp[0]), pa.array(fp[1]), *lists], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in fp), *lists], names)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
             .mapInArrow(of, "doc_id long, n long, fp1 long, fp2 long, a array<long>, b array<long>"))
@@ -280,29 +284,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
         return keys.join(often, "key").groupBy("doc").agg(F.collect_list("key").alias(c), F.sum("c").alias("w" + c))
 
     sizes = reps.groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "doc")
-    lists = saved(shared("a").join(shared("b"), "doc").join(sizes, "doc").withColumn("weight", F.col("wa") + F.col("wb")).drop("wa", "wb"), "lists")
-    pairs = saved(leader_pairs(table_rows(lists, "weight")), "pairs")
+    held = []  # what is deleted once its last reader has been written
+
+    def hold(df: DataFrame, *name: str) -> DataFrame:
+        held.append(saved(df, *name))
+        return held[-1]
+
+    lists = hold(shared("a").join(shared("b"), "doc").join(sizes, "doc").withColumn("weight", F.col("wa") + F.col("wb")).drop("wa", "wb"), "lists")
+    pairs = hold(leader_pairs(table_rows(lists, "weight")), "pairs")
     involved = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    texts = saved(in_buckets(texts.join(involved, "doc_id", "left_semi"), "doc_id"), "texts", "doc_id")
+    texts = hold(in_buckets(texts.join(involved, "doc_id", "left_semi"), "doc_id"), "texts", "doc_id")
 
     def texts_of(pairs: DataFrame, *sides: str) -> DataFrame:
         ids = pairs.select(F.explode(F.array(*sides)).alias("doc_id")).distinct()
-        return saved(texts.join(ids, "doc_id", "left_semi"), "texts")
+        return hold(texts.join(ids, "doc_id", "left_semi"), "texts")
 
     best = Window.partitionBy("v").orderBy(F.desc("n"), "u")
-    chosen = saved(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS), "chosen")
-    links = saved(confirmed(chosen, texts_of(chosen, "u"), texts, size, similar), "confirmed")
+    chosen = hold(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS), "chosen")
+    release(pairs)
+    leaders = texts_of(chosen, "u")
+    links = hold(confirmed(chosen, leaders, texts, size, similar), "confirmed")
+    release(leaders)
     around = components(chosen.where((F.col("r") == 1) & (F.col("n") >= NEAR_TABLES)).select("u", "v"))
     labelled = (lists.join(components(links).withColumnRenamed("node", "doc"), "doc", "left")
                 .join(around.select(F.col("node").alias("doc"), F.col("component").alias("g")), "doc", "left")
                 .withColumn("component", F.coalesce("component", "doc")).withColumn("g", F.coalesce("g", "doc")))
-    labelled = saved(labelled, "labelled")
-    within = links_within(labelled.select("doc", "component", "g"), texts, size, similar)
-    apart = saved(open_pairs(table_rows(labelled, "component", "g", "n"), similar), "apart")
+    labelled = hold(labelled, "labelled")
+    within = hold(links_within(labelled.select("doc", "component", "g"), texts, size, similar), "within")
+    apart = hold(open_pairs(table_rows(labelled, "component", "g", "n"), similar), "apart")
     few = texts_of(apart, "u", "v")
-    across = confirmed(apart, few, few, size, similar)
-    found = saved(components(links.unionByName(saved(within, "within")).unionByName(saved(across, "across"))), "components")
+    across = hold(confirmed(apart, few, few, size, similar), "across")
+    found = saved(components(links.unionByName(within).unionByName(across)), "components")
+    release(*held)
 
     placed = (known.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
               .join(found.withColumnRenamed("node", "rep"), "rep", "left"))

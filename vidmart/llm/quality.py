@@ -125,8 +125,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of the chosen rows, one for each doc_id: of rows that repeat it the least text."""
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 class Discriminant:
-    """Two normal densities with cached factors, and the curve from their log ratio to a score."""
+    """Two normal densities with cached factors, and the curve from their log ratio to a score.
+
+    Statistics are centred, scaled and cut at 8 deviations, so that no single one decides."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, pooled: float = POOLED, diagonal: float = DIAGONAL):
         n, d = len(y), len(NAMES)
@@ -191,8 +198,7 @@ def fit_curve(r: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAINING) -> Discriminant:
     """Train on a bounded sample: its statistics, ``limit`` short rows, come to the driver."""
-    chosen = training_rows(docs, labels, label, FOLDS, HELD_OUT, limit)
-    rows = described(docs.join(F.broadcast(chosen), "doc_id"), "doc_id", "y").toArrow()
+    rows = described(labelled_texts(docs, training_rows(docs, labels, label, FOLDS, HELD_OUT, limit)), "doc_id", "y").orderBy("doc_id").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     return Discriminant(x, rows.column("y").to_numpy().astype(float))
 

@@ -2,15 +2,17 @@
 
 Suffixes are classified as smaller (S) or larger (L) than the one after them; a
 leftmost S suffix stands at a local minimum of the bytes. Of the leftmost S places
-inside a window, with the 32 bytes after them, the one with the least hash is the
-window's anchor: it depends on the window alone. Windows that share an anchor go to
+inside a window, with the 32 bytes after them, the one with the least hash of its first
+16 bytes is the window's anchor: it depends on the window alone. Windows that share an anchor go to
 the same shard (see repeats.py); a window without any (a run of one byte, say) is
 its own anchor.
 
 In a shard the suffix array of its segments is built by induced sorting: the
 leftmost S substrings are sorted by one induction and named, the string of names is
-sorted recursively, and a second induction from the sorted leftmost S suffixes
-places all others, bucket by bucket of first bytes, in linear time. The permuted
+sorted by the same procedure, recursively, as long as it has at most ``NAMES`` different
+names (beyond that an induction in numpy, one step for each symbol, is slower than ranks
+of doubled prefixes, which then sort it instead), and a second induction from the sorted
+leftmost S suffixes places all others, bucket by bucket of first bytes. The permuted
 common prefix (in text order, with the neighbour in the suffix array) tells which
 neighbours share a whole window.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vidmart.llm.arrays import TOP, U, byte_prefix, prefix, runs, sliding_min, span
+from vidmart.llm.arrays import TOP, U, byte_prefix, gram_hashes, prefix, runs, sliding_min, span
 from vidmart.llm.common import documents, text_arrays
 from vidmart.llm.repeats import cutter, repeated, segments, sharded, union, windows
 
@@ -38,6 +40,8 @@ PLACE_BITS = U(22)
 SHARD_BYTES = 1 << 21
 #: A key with more segments than this is dealt out window by window.
 HOT_SEGMENTS = 4096
+#: Alphabets up to this are sorted by induction, larger ones (of the recursion) by doubling; the order is the same.
+NAMES = 2048
 
 
 # ---- anchors
@@ -63,7 +67,7 @@ def window_anchors(width: int = WINDOW, gram: int = GRAM):
             best = np.full(len(part), TOP, U)
             at = local_minima(part, gram)
             at = at[at + gram <= len(part)]
-            rank = span(hashes, at + base, at + base + gram)
+            rank = gram_hashes(part, at, gram // 2)
             best[at] = (rank >> PLACE_BITS << PLACE_BITS) | at.astype(U)
             least = sliding_min(best[1:], width - gram)[:BLOCK]
             chosen = (least & ((U(1) << PLACE_BITS) - U(1))).astype(np.int64) + base
@@ -73,8 +77,9 @@ def window_anchors(width: int = WINDOW, gram: int = GRAM):
 
         def keys(place, lo):
             own = place < 0
-            at = np.where(own, lo, place)
-            return span(hashes, at, at + np.where(own, width, gram))
+            out = np.empty(len(lo), U)
+            out[own], out[~own] = span(hashes, lo[own], lo[own] + width), gram_hashes(raw, place[~own], gram)
+            return out
 
         text, key, seg, lo, hi = segments(choice[starts], lambda at: at, text, starts, hashes, width, keys)
         return text, key, seg, lo - offsets[text], hi - offsets[text]
@@ -100,7 +105,7 @@ def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, alphabet: int
     seeds = np.split(leftmost[order], np.cumsum(np.bincount(s[leftmost], minlength=alphabet))[:-1])
     n_large = np.bincount(s[~small], minlength=alphabet)
     present = np.flatnonzero(size)
-    sa = np.empty(n, s.dtype if s.dtype.itemsize >= 8 else np.int64)
+    sa = np.empty(n, np.int64)
 
     def deal(found: np.ndarray, at: np.ndarray, step: int) -> None:
         """Append ``found`` in order to the buckets of their symbols."""
@@ -138,7 +143,7 @@ def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, alphabet: int
     for c in present[::-1]:  # S suffixes, from the right
         own = closure(sa[at[c] + 1:end[c]][::-1], c, small)
         if c == 0 and not len(own):
-            own = np.array([n - 1], sa.dtype)
+            own = np.array([n - 1])
         sa[end[c] - len(own):end[c]] = own[::-1]
         at[c] = end[c] - len(own) - 1
         scan = np.concatenate([own, sa[head[c]:head[c] + n_large[c]][::-1]])
@@ -151,7 +156,7 @@ def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.n
     """Suffix array of s, integers below ``alphabet``, of which 0 stands at the end alone.
 
     depth: suffixes need only be in order by so many symbols."""
-    s = s.astype(np.int64)
+    s = s.astype(np.uint16 if alphabet <= 1 << 16 else np.int64)  # short symbols are sorted by digits
     small = classify(s)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(leftmost) < 2:
@@ -164,7 +169,7 @@ def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.n
     number = np.empty(len(s), np.int64)
     number[leftmost] = np.arange(len(leftmost))
     ends = np.concatenate([leftmost[1:], [len(s) - 1]]) + 1
-    hashes = prefix(s.astype(U) + U(1))
+    hashes = (byte_prefix if alphabet < 1024 else prefix)(s.astype(U))
     content = span(hashes, leftmost, ends)[number[order]]
     length = (ends - leftmost)[number[order]]
     new = np.concatenate([[0], ((content[1:] != content[:-1]) | (length[1:] != length[:-1])).astype(np.int64)])
@@ -172,10 +177,11 @@ def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.n
     names[number[order]] = np.cumsum(new)
     kinds = int(new.sum()) + 1
     if kinds < len(leftmost):
-        if kinds <= 2048:
-            sub = suffix_array(np.concatenate([names + 1, [0]]), kinds + 1, depth)[1:]
+        deep = None if depth is None else depth // 2 + 1  # a name is two symbols or more
+        if kinds <= NAMES:
+            sub = suffix_array(np.concatenate([names + 1, [0]]), kinds + 1, deep)[1:]
         else:
-            sub = doubled(names, depth)
+            sub = doubled(names, deep)
         sorted_left = leftmost[sub]
     else:
         sorted_left = order
@@ -230,6 +236,8 @@ def earlier_windows(parts: list[bytes], places: np.ndarray, n_windows: np.ndarra
     inner = np.arange(len(raw)) - begin[part]
     is_window = np.append(inner < n_windows[part], False)
     at, group = sa[is_window[sa]], group[is_window[sa]]
+    several = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
+    at, group = at[several], group[several]
     of, off = part[at], inner[at]
     order = np.lexsort((places[of, 2] + off, places[of, 1], places[of, 0], group))
     group, ord_, rid = group[order], places[of[order], 0], places[of[order], 1]

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vidmart.llm.common import documents, saved
-from vidmart.llm.quality import fit_curve, fold, training_rows
+from vidmart.llm.common import documents, release, saved, slices
+from vidmart.llm.quality import fit_curve, fold, labelled_texts, training_rows
 
 MAX_EXAMPLES = 8_000
 LEAST_EXAMPLES = 4
@@ -297,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int32()), pa.array([copy_key(text or "")]),
                                                   pa.array([text or ""]), pa.array([own], pa.list_(pa.string()))], ["doc_id", "y", "copy", "text", "terms"])
 
-    labelled = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    labelled = labelled_texts(docs, chosen)
     examples = saved(labelled.mapInArrow(read, "doc_id long, y int, copy string, text string, terms array<string>"), "examples")
     single = examples.groupBy("copy").agg(F.min(F.struct("doc_id", "y", "terms")).alias("first")).select("first.*")
     total = single.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
@@ -344,6 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
 
     rows = (examples.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, n array<int>, word array<int>, uses array<int>")
             .orderBy("doc_id", "y", "word", "uses").toArrow())
+    release(examples)
+    shared.unpersist()
     lists = lambda name: [x.values.to_numpy().astype(np.int64) for x in rows.column(name)]
     whole = WholeTexts(words, idf[len(kept):], list(zip(lists("word"), lists("uses"), strict=True)))
     return Neighbours(vocabulary, idf[:len(kept)], rows.column("doc_id").to_pylist(), rows.column("y").to_numpy().astype(float),
@@ -359,7 +361,7 @@ def score_toxicity(docs: DataFrame, model: Neighbours, *keep: str, evidence: int
 
     def of(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             score, near = [], []
             for s, ids, cosines, labels in model.scores([text or "" for text in batch.column("text").to_pylist()]):
                 score.append(s)
