@@ -8,14 +8,15 @@ operator; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidmart.llm import neardup, packing, quality, suffix, toxicity
-from vidmart.llm.common import saved
+from vidmart.llm.common import saved, small_batches
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
@@ -34,13 +35,16 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: the smallest doc_id, once."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), size=5)
-    stay = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_llm_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("_llm_id").orderBy("text"))
-    kept = (docs.join(stay, docs["doc_id"].cast("long") == stay["_llm_id"]).withColumn("_llm_first", first)
-            .where("_llm_first = 1").select(*docs.columns))
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Keep one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows are told apart by their place, so rows that repeat a doc_id go only if they are near
+    copies; among them, and among rows without a doc_id (which come last), the first row stays."""
+    rows = docs.withColumn("_llm_row", F.monotonically_increasing_id())
+    found = neardup.near_duplicates(rows.select(F.col("_llm_row").alias("doc_id"), "text"), size=5)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_llm_row").alias("row"))
+    groups = found.select(F.col("doc_id").alias("_llm_row"), "component_id").join(rows.select("_llm_row", order.alias("place")), "_llm_row")
+    stay = groups.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.row").alias("_llm_row"))
+    return rows.join(stay, "_llm_row", "left_semi").select(*docs.columns)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality classifier", good_quality), ("toxicity", not_toxic), ("MinHash near-dedup", one_of_each),
           ("suffix-array dedup", no_repeats), ("best-fit packing", packed)]
 
-#: Learned scores and hashing are beyond SQL; tests compare the stages with brute force.
+#: Learned scores and hashing are beyond SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
