@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import quantile_columns
+from .ranking import quantile_columns, quantiles_with
 
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True, name: str = "count") -> DataFrame:
@@ -64,16 +64,31 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "sort") -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "select") -> DataFrame:
     """pandas ``describe()`` per column (and per group): count, mean, sample
-    std, min, quartiles (linear), max, plus missing and zero counts."""
-    long = _long(df, cols, by)
+    std, min, quartiles (linear), max, plus missing and zero counts.
+
+    ``method="select"``: moments and quantile sketches of all columns come from one wide
+    aggregate, the quartiles from exact counts in narrow brackets; no value is moved but those
+    in a bracket. ``method="sort"`` unpivots and sorts all values."""
     keys = [*by, "column"]
-    moments = long.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"), F.count_if(F.col("value") == 0).alias("n_zero"))
-    qs = quantile_columns(long, "value", QUARTILES, keys, method=method)
+    names = ("count", "mean", "std", "min", "max", "n_missing", "n_zero")
+
+    def moments_of(c: str) -> list[Column]:
+        v = F.col(c).cast("double")
+        return [F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v), F.count_if(v.isNull()), F.count_if(v == 0)]
+
+    if method == "sort":
+        long = _long(df, cols, by)
+        moments = long.groupBy(*keys).agg(*[x.alias(k) for k, x in zip(names, moments_of("value"), strict=True)])
+        qs = quantile_columns(long, "value", QUARTILES, keys, method=method)
+    else:
+        aggs = [x.alias(f"{k}__{i}") for i, c in enumerate(cols) for k, x in zip(names, moments_of(c), strict=True)]
+        wide, long = quantiles_with(df, {c: F.col(c) for c in cols}, list(QUARTILES.values()), by, aggs)
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}__{i}").alias(k) for k in names]) for i, c in enumerate(cols)])
+        moments = wide.select(*by, F.explode(rows).alias("_vm_x")).select(*by, "_vm_x.*")
+        qs = long.groupBy(*by, F.col("_vm_c").alias("column")).agg(
+            *[F.max(F.when(F.col("_vm_p") == F.lit(p), F.col("value"))).alias(k) for k, p in QUARTILES.items()])
     return moments.join(qs, [moments[k].eqNullSafe(qs[k]) for k in keys], "left") \
         .select(*[moments[k] for k in keys], "count", "mean", "std", "min", *QUARTILES, "max", "n_missing", "n_zero")
 
@@ -134,11 +149,11 @@ def histogram(df: DataFrame, col: str | Column, bins: int = 50, log10: bool = Fa
 
 
 def box_stats(df: DataFrame, col: str | Column, by: Sequence[str] = (), whisker: float = 1.5,
-              method: str = "sort") -> DataFrame:
+              method: str = "select") -> DataFrame:
     """Box-plot numbers per group: n, q1, median, q3, whiskers at
     ``whisker``*IQR clipped to the data, and the outlier count.
-    Pass 1: exact quartiles (distributed sort). Pass 2: join the per-group
-    bounds back (one small row per group) and take conditional min/max."""
+    First exact quartiles, then the per-group bounds are joined back (one
+    small row per group) for conditional min/max."""
     v = F.col(col) if isinstance(col, str) else col
     d = df.select(*by, v.cast("double").alias("_vm_v")).where(F.col("_vm_v").isNotNull())
     q = quantile_columns(d, "_vm_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, method=method)
