@@ -54,8 +54,8 @@ def segments(choice: np.ndarray, place: Callable[[np.ndarray], np.ndarray], text
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none.astype(U), none.astype(U), none, none
-    new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (choice[1:] < 0) | (starts[1:] != starts[:-1] + 1)
-                          | (text[1:] != text[:-1])])
+    new = np.ones(len(starts), bool)  # where a text ends, the next start is ``width`` further on
+    new[1:] = (choice[1:] != choice[:-1]) | (choice[1:] < 0) | (starts[1:] - starts[:-1] != 1) | (width == 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     lo, hi, anchor = starts[first], starts[last], choice[first]

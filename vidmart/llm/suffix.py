@@ -70,7 +70,8 @@ def window_anchors(width: int = WINDOW, gram: int = GRAM):
             rank = gram_hashes(part, at, gram // 2)
             best[at] = (rank >> PLACE_BITS << PLACE_BITS) | at.astype(U)
             least = sliding_min(best[1:], width - gram)[:BLOCK]
-            chosen = (least & ((U(1) << PLACE_BITS) - U(1))).astype(np.int64) + base
+            chosen = (least & ((U(1) << PLACE_BITS) - U(1))).view(np.int64)
+            chosen += base
             chosen[least == TOP] = -1
             choice[base:base + len(chosen)] = chosen
         text, starts = windows(offsets[:-1], size, width)
@@ -190,32 +191,36 @@ def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.n
 
 def doubled(names: np.ndarray, depth: int | None) -> np.ndarray:
     """Order of the suffixes of a string over a large alphabet, by ranks of doubled prefixes."""
-    rank, k = names, 1
+    half = (1 << 16) - 1
+    rank, k = names + 1, 1
     while True:
         nxt = np.zeros(len(rank), np.int64)
-        nxt[:-k] = rank[k:] + 1
-        both = rank * (len(rank) + 2) + nxt
-        kinds, rank = np.unique(both, return_inverse=True)
+        nxt[:-k] = rank[k:]
+        # by digits of 16 bits, which are sorted in linear time
+        order = np.lexsort([(x >> shift & half).astype(np.uint16) for x in (nxt, rank) for shift in range(0, max(1, len(rank).bit_length()), 16)])
+        new = np.concatenate([[True], (rank[order[1:]] != rank[order[:-1]]) | (nxt[order[1:]] != nxt[order[:-1]])])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
         k *= 2
-        if len(kinds) == len(rank) or k >= len(rank) or (depth and k >= depth):
-            return np.argsort(rank, kind="stable")
+        if rank[order[-1]] == len(rank) or k >= len(rank) or (depth and k >= depth):
+            return order
 
 
 def common_windows(raw: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
-    """For each place of the suffix array, whether it shares ``width`` bytes with the one before.
+    """For each of these places, in order of their suffixes, whether it shares ``width`` bytes with the one before.
 
     The comparison runs in text order (permuted common prefixes, as far as the window)."""
-    phi = np.full(len(sa), -1, np.int64)
+    phi = np.full(len(raw), -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     padded = np.concatenate([raw, np.zeros(width + 16, np.uint8)])
-    same = np.flatnonzero((phi >= 0) & (np.arange(len(sa)) < len(raw)) & (phi < len(raw)))
+    same = np.flatnonzero(phi >= 0)
     done = 0
     while done < width and len(same):
         step = 8 if width - done >= 8 else 1
         view = np.ndarray((len(padded) - 8,), f"<u{step}", padded, strides=(1,))
         same = same[view[same + done] == view[phi[same] + done]]
         done += step
-    out = np.zeros(len(sa), bool)
+    out = np.zeros(len(raw), bool)
     out[same] = True
     return out[sa]
 
@@ -231,11 +236,11 @@ def earlier_windows(parts: list[bytes], places: np.ndarray, n_windows: np.ndarra
     s = np.append(raw.astype(np.int64) + 2, 0)
     s[begin + sizes - 1] = 1
     sa = suffix_array(s, 258, width)
-    group = np.cumsum(~common_windows(raw, sa, width))
     part = np.repeat(np.arange(len(parts)), sizes)
     inner = np.arange(len(raw)) - begin[part]
     is_window = np.append(inner < n_windows[part], False)
-    at, group = sa[is_window[sa]], group[is_window[sa]]
+    at = sa[is_window[sa]]
+    group = np.cumsum(~common_windows(raw, at, width))
     several = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
     at, group = at[several], group[several]
     of, off = part[at], inner[at]
