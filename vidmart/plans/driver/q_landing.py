@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ... import schemas as S
 from ...functions.timefn import instant_to_ntz
+from ...session import scratch_path
 from ...sources import ingest as IN
+from ...sources.io import land_csv, read_table
 from .registry import query, table
 
 PAGE_ITEMS = 50
@@ -140,3 +142,18 @@ def json_all_fields(spark, sf):
     ev = table(spark, sf, "events").withColumn("j", F.to_json(F.struct(
         F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.col("event_type").alias("m"))))
     return IN.json_fields(ev, "j", "k BIGINT, m STRING", {"k": 0}, keep=("event_id",))
+
+
+@query("landed_csv", """
+SELECT doc_id, lang, md5(text) AS text_md5, length(text) - length(replace(text, chr(10), '')) AS line_breaks, n_chars FROM documents
+""")
+def landed_csv(spark, sf):
+    """One quoted CSV file with line breaks in its texts, landed in splits (S1, S3, K1), read back as a table."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars")
+    src, dst = scratch_path(spark, "land-csv"), scratch_path(spark, "landed-csv")
+    (docs.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(src))
+    land_csv(spark, src, dst, docs.schema)
+    back = read_table(spark, dst)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return back.select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("text_md5"), breaks.cast("bigint").alias("line_breaks"), "n_chars")

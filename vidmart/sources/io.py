@@ -12,6 +12,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from .csv_splits import read_csv_splits
+
 
 class MissingColumnsError(ValueError):
     pass
@@ -25,14 +27,17 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: Str
                cols: Iterable[str] | None = None, where: Column | str | None = None) -> DataFrame:
     """Read one landed table.
 
-    CSV text may hold quoted newlines, so it is read with ``multiLine`` and
-    ``escape='"'``; such files are not splittable, which is why landed CSV is
-    converted to parquet once (``land_csv``) and everything else reads parquet.
+    CSV text may hold quoted newlines. With a schema it is read in splits that meet at true
+    record ends (``csv_splits``); without one Spark has to infer it, with ``multiLine`` and a
+    file in one task. Landed CSV is converted to parquet once (``land_csv``) and everything
+    else reads parquet.
     """
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    if fmt == "csv":
+    if fmt == "csv" and schema is not None:
+        df = read_csv_splits(spark, path, schema)
+    elif fmt == "csv":
         df = (r.option("header", True).option("multiLine", True).option("escape", '"')
               .option("mode", "PERMISSIVE").csv(path))
     elif fmt == "json":
