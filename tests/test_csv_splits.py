@@ -38,7 +38,9 @@ def test_many_splits_equal_the_whole(spark, small_splits, tmp_path, header):
     assert len(quote_states(_lines(spark, f"{tmp_path}/c"))) > 50
     whole = spark.read.schema(df.schema).option("header", header).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/c")
     got = rows(read_csv_splits(spark, f"{tmp_path}/c", df.schema, header))
-    assert got == rows(whole) and {r[:2] for r in got} == {(i, t or None) for i, t, _ in data}
+    assert got == sorted(((i, t or None, v) for i, t, v in data), key=repr)
+    if header:  # without one Spark's reader may take the first field's \r\n for the line end of the file
+        assert got == rows(whole)
 
 
 def test_odd_files(spark, small_splits, tmp_path):
