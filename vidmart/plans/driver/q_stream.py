@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...session import scratch_path
+from ...streaming import parts as PT
 from ...streaming import stream as ST
 from .q_ingest import INSERT_IGNORE_SQL, MERGE_SQL, insert_ignore_parts, merge_parts
 from .registry import query, r6, table
@@ -34,28 +35,48 @@ def stream_snapshot_dedup(spark, sf):
 
 @query("stream_insert_ignore", INSERT_IGNORE_SQL)
 def stream_insert_ignore(spark, sf):
+    """The target is the first commit; each batch asks the key filters of the parts before it reads any."""
     target, batch = insert_ignore_parts(spark, sf)
-    tgt, src = scratch_path(spark, "sink-orders"), scratch_path(spark, "land-orders")
-    target.withColumn("src", F.lit("target")).write.parquet(tgt)
+    root, src = scratch_path(spark, "sink-orders"), scratch_path(spark, "land-orders")
+    PT.insert_new_sink(root, ["o_orderkey"], stream="load")(target.withColumn("src", F.lit("target")), 0)
     b = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate") \
         .where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
     b = b.withColumn("src", F.lit("batch"))
     per = ST.land_in_slices(b, src, time_slices(b, "o_orderdate", 3), 3, drop=["o_orderdate"])
-    out = ST.stream_insert_ignore(spark, src, b.drop("o_orderdate").schema, tgt, ["o_orderkey"],
-                                  files_per_trigger=per)
-    return out.select("o_orderkey", "o_custkey", "o_totalprice", "src")
+    schema = b.drop("o_orderdate").schema
+    ST.run_available(ST.file_stream(spark, src, schema, per), PT.insert_new_sink(root, ["o_orderkey"]), scratch_path(spark, "ckpt-insert"))
+    return PT.read_parts(spark, root, PT.ROWS, schema).select("o_orderkey", "o_custkey", "o_totalprice", "src")
 
 
 @query("stream_latest", MERGE_SQL)
 def stream_latest(spark, sf):
     old, new = merge_parts(spark, sf)
-    tbl, src = scratch_path(spark, "sink-channels"), scratch_path(spark, "land-channels")
-    ST.upsert_into(tbl, old.withColumn("o_orderpriority", F.lit(None).cast("string")), ["o_custkey"], ["o_orderdate"])
+    root, src = scratch_path(spark, "sink-channels"), scratch_path(spark, "land-channels")
+    old = old.withColumn("o_orderpriority", F.lit(None).cast("string")).select(*new.columns)
+    PT.upsert_levels_sink(root, ["o_custkey"], ["o_orderdate"], stream="load")(old, 0)
     per = ST.land_in_slices(new, src, time_slices(new, "o_orderdate", 3), 3)
-    out = ST.stream_upsert(spark, src, new.schema, tbl, ["o_custkey"], ["o_orderdate"], files_per_trigger=per)
+    ST.run_available(ST.file_stream(spark, src, new.schema, per), PT.upsert_levels_sink(root, ["o_custkey"], ["o_orderdate"]), scratch_path(spark, "ckpt-upsert"))
+    out = PT.read_levels(spark, root, new.schema, ["o_custkey"])
     return out.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
 
 
+@query("stream_quarantine", """
+SELECT event_id, CASE WHEN value IS NULL OR NOT value > 5 THEN 'low_value' END AS low_value,
+       CASE WHEN event_type IS NULL OR event_type NOT IN ('click', 'view', 'purchase') THEN 'other_type' END AS other_type
+FROM events
+""")
+def stream_quarantine(spark, sf):
+    """K6 on a stream: events that fail a rule are set aside with the rules' names, in the commit of the good ones."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    src, root = scratch_path(spark, "land-events"), scratch_path(spark, "quarantine")
+    per = ST.land_in_slices(ev, src, time_slices(ev, "ts", 3), 3)
+    rules = {"low_value": F.col("value") > 5, "other_type": F.col("event_type").isin("click", "view", "purchase")}
+    ST.run_available(ST.file_stream(spark, src, ev.schema, per), PT.quarantine_sink(root, rules), scratch_path(spark, "ckpt-quarantine"))
+    good = PT.read_parts(spark, root, PT.GOOD, ev.schema).select("event_id", F.array().cast("array<string>").alias(PT.FAILED))
+    both = good.unionByName(PT.read_rejects(spark, root, ev.schema).select("event_id", PT.FAILED))
+    return both.select("event_id", *[F.when(F.array_contains(PT.FAILED, r), r).alias(r) for r in rules])
+
+
 HOURLY_SQL = """
 SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n_events, round(sum(value), 6) AS total_value
 FROM events WHERE ts IS NOT NULL GROUP BY 1
