@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ...functions.text import RECOMMENDATION_DEFAULT, RECOMMENDATIONS
 from ...operators import ml as ML
+from ...operators import shap as SHAP
 from ...operators.ranking import quantile_columns
 from .registry import query, r6, sql_case, sql_lit, table
 
@@ -158,6 +160,7 @@ def encode_served(spark, sf):
 
 FEATURES_NUM = ["log_chars", "n_words", "n_lines", "word_chars", "digit_rate", "upper_rate", "symbol_rate"]
 FEATURES_CAT = ["lang", "source"]
+FEATURES = [*FEATURES_NUM, *[c + "_idx" for c in FEATURES_CAT]]
 #: Trees of the registered fit; ``build_pipeline`` itself defaults to 300, one Spark job per tree level.
 TREES = 20
 
@@ -193,19 +196,14 @@ UNION ALL SELECT 'better_than_chance', 1
 """)
 def train_eval(spark, sf):
     """Fit the GBT pipeline on the train split (class-weighted), score the test split; what does
-    not depend on the trees has a twin."""
-    d = ML.stratified_split(_model_input(spark, sf), "quality", "doc_id")
-    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    w = ML.class_weight(train, "quality").select("weight").scalar()
-    weighted = train.withColumn("w", F.when(F.col("quality") == 1, w).otherwise(F.lit(1.0)))
-    model = ML.build_pipeline(FEATURES_CAT, FEATURES_NUM, "quality", weight_col="w", max_iter=TREES).fit(weighted)
-    scored = ML.score(model, test)
+    not depend on the trees has a twin (``train_report`` gives what does)."""
+    train, model, scored = _fitted(spark, sf)
 
     def metric(df, name, value):
         return df.select((F.lit(name) if isinstance(name, str) else name).alias("metric"), value.cast("double").alias("value"))
 
     support = ML.classification_report(scored, "quality", "prediction").where(F.col("class").isin("0", "1", "accuracy"))
-    imp = ML.feature_importance(model, [*FEATURES_NUM, *[c + "_idx" for c in FEATURES_CAT]], spark)
+    imp = ML.feature_importance(model, FEATURES, spark)
     return (metric(train.agg(F.count("*").alias("n")), "n_train", F.col("n"))
             .unionByName(metric(support, F.concat(F.lit("support_"), F.col("class")), F.col("support")))
             .unionByName(metric(imp.agg(F.count("*").alias("n")), "n_features", F.col("n")))
@@ -213,6 +211,39 @@ def train_eval(spark, sf):
             .unionByName(metric(ML.roc_auc(scored, "quality", "score"), "better_than_chance", F.col("auc") > 0.5)))
 
 
+@query("train_report")
+def train_report(spark, sf):
+    """Precision, recall and F1 by class, accuracy, AUC, average precision and the importance of
+    each feature of the fit on the test split (L6, L7, L10; rows only: they depend on the trees)."""
+    _, model, scored = _fitted(spark, sf)
+    rep = ML.classification_report(scored, "quality", "prediction")
+    cells = F.explode(F.array(*[F.struct(F.concat(F.lit(m + "_"), F.col("class")).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("precision", "recall", "f1")]))
+    auc = ML.roc_auc(scored, "quality", "score").select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("auc", "average_precision")])).alias("c"))
+    imp = ML.feature_importance(model, FEATURES, spark).select(F.concat(F.lit("importance_"), "feature").alias("metric"), F.col("importance").alias("value"))
+    return rep.select(cells.alias("c")).select("c.*").where("value is not null").unionByName(auc.select("c.*")).unionByName(imp)
+
+
+@query("tree_contributions", f"SELECT doc_id, true AS adds_up, {len(FEATURES_NUM) + len(FEATURES_CAT)} AS n_features FROM {LABELLED_SQL}")
+def tree_contributions(spark, sf):
+    """Shapley values of the fitted trees for every labelled document: with the base value they
+    add up to the margin that the model itself gives."""
+    d = _model_input(spark, sf)
+    model = ML.build_pipeline(FEATURES_CAT, FEATURES_NUM, "quality", max_iter=5).fit(d)
+    c = SHAP.tree_contributions(model, model.transform(d).withColumn("margin", vector_to_array("rawPrediction")[1]), FEATURES)
+    total = F.aggregate("all_contributions", F.col("base_value"), lambda a, x: a + x["value"])
+    return c.select("doc_id", (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"), F.size("all_contributions").alias("n_features"))
+
+
+def _fitted(spark, sf):
+    """Train rows, the model fitted on them, and the scored test rows."""
+    d = ML.stratified_split(_model_input(spark, sf), "quality", "doc_id")
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    w = ML.class_weight(train, "quality").select("weight").scalar()
+    weighted = train.withColumn("w", F.when(F.col("quality") == 1, w).otherwise(F.lit(1.0)))
+    model = ML.build_pipeline(FEATURES_CAT, FEATURES_NUM, "quality", weight_col="w", max_iter=TREES).fit(weighted)
+    return train, model, ML.score(model, test)
+
+
 #: Snapshot columns in the roles of the served features, with coefficients and means of a linear model.
 ROLES = {"like_rate": "l_discount", "comment_rate": "l_tax", "duration_seconds": "l_extendedprice",
          "video_count": "l_quantity", "publish_hour": "l_linenumber"}
