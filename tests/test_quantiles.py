@@ -74,3 +74,17 @@ def test_describe_of_many_columns_and_nothing(spark):
     none = P.describe_numeric(df.where("false"), ["c0", "c1"]).collect()
     assert [(r["column"], r["count"], r["p50"]) for r in none] == [("c0", 0, None), ("c1", 0, None)]
     assert P.describe_numeric(df.where("false"), ["c0"], ["g"]).collect() == []
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_split_without_a_sort_equals_the_ranked_one(spark, monkeypatch, limit):
+    from vidmart.operators import ml as ML
+    monkeypatch.setattr(ML, "SPLIT_ROWS", limit)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 7 == 0, 1).when(F.col("id") == 1, 2).otherwise(0).alias("y"))
+    for data in (df, df.unionByName(df.where("id < 40")), df.where("false"), df.where("id < 2")):
+        h = F.md5(F.concat(F.col("id").cast("string"), F.lit("42")))
+        want = ML._ranked_split(data.where("y is not null").withColumn("_vm_h", h), "y", "id", 0.2, "split")
+        got = ML.stratified_split(data, "y", "id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.columns == ["id", "y", "split"]
+    assert "Exchange" not in ML.stratified_split(df, "y", "id")._jdf.queryExecution().executedPlan().toString()

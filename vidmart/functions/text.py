@@ -99,6 +99,11 @@ def thousands(x: Column | str) -> Column:
     return F.format_number(_c(x).cast("double"), 0)
 
 
+def percent_text(x: Column | str) -> Column:
+    """A percentage with one decimal: "12.3%"; NULL stays NULL."""
+    return F.concat(_one_decimal(_c(x).cast("double")), F.lit("%"))
+
+
 def duration_label(seconds: Column | str) -> Column:
     """Seconds -> "H hour M mins" / "M mins S sec" / "S sec"."""
     s = F.coalesce(_c(seconds).try_cast("bigint"), F.lit(0))
@@ -158,15 +163,18 @@ def reason_text(like_rate: Column | str, comment_rate: Column | str, views: Colu
 _HIGH = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
 CP1252_CHARS = "".join(c for _, c in _HIGH)
 CP1252_BYTES = "".join(b for b, c in _HIGH if c)
+#: How the first two bytes of a UTF-8 character beyond ASCII look when they were read as Windows-1252.
+GARBLED = f"[\\xC2-\\xF4][\\xA0-\\xBF{CP1252_CHARS}]"
 
 
 def repair_text(text: Column | str) -> Column:
     """Mojibake repair: UTF-8 that was read as Windows-1252 is read again; text that does not
-    go into that code page, or whose bytes are not UTF-8, stays; NULL gives ""."""
+    go into that code page, or whose bytes are not UTF-8, stays; NULL gives "". Text without
+    two characters that could be one garbled one is only searched for them."""
     t = _c(text)
     again = F.encode(F.translate(t, CP1252_CHARS, CP1252_BYTES), "ISO-8859-1").cast("string")
     fits = t.rlike(f"^[\\x00-\\x7F\\xA0-\\xFF{CP1252_CHARS}]*$")
-    return F.when(t.isNull(), F.lit("")).when(~fits, t).when(F.is_valid_utf8(again), again).otherwise(t)
+    return F.when(t.isNull(), F.lit("")).when(~t.rlike(GARBLED), t).when(~fits, t).when(F.is_valid_utf8(again), again).otherwise(t)
 
 
 def score_text(df, col: str, scorer_factory, label: str = "sentiment_label", score: str = "sentiment_score"):

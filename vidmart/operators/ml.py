@@ -65,20 +65,74 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
                         .otherwise(F.col("n_neg") / F.col("n_pos")))
 
 
+#: Hex digits of the hash that one pass of the split counts, and the candidates that end the search.
+SPLIT_DIGITS, SPLIT_ROWS = 4, 100_000
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, test_frac: float = 0.2,
                      name: str = "split") -> DataFrame:
     """Exact per-class split: inside each class, rows ordered by
-    md5(id || seed); the last ceil(n_class * test_frac) are 'test'.
-    The order is a distributed range sort, so a dominant class is not a
-    single task."""
+    md5(id || seed), then id; the last ceil(n_class * test_frac) are 'test'.
+
+    No row is moved: each class's last train row is found by counting the rows by the first
+    digits of the hash, then by the next ones inside the bucket that holds it, until few rows
+    are left; the input is read once or twice for that, and once for the result. A class of
+    equal ids on both sides of the cut is ranked by a distributed sort instead. Rows without a
+    class are left out."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
-    d = df.withColumn("_vm_h", h)
+    d = df.withColumn("_vm_h", h).where(F.col(label).isNotNull())
+    # per class: how many rows, and the rank wanted inside the bucket of hashes that begin with _vm_b
+    counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("_vm_n"))
+    n_train = F.col("_vm_n") - F.ceil(F.col("_vm_n") * F.lit(test_frac))
+    want = {r[0]: (r["w"], "", r["n"]) for r in counts.select(label, n_train.cast("bigint").alias("w"), F.col("_vm_n").alias("n")).collect()}
+    digits = 0
+    while any(w > 0 and size > SPLIT_ROWS for w, _, size in want.values()) and digits < 32:
+        digits += SPLIT_DIGITS
+        begin = F.substring("_vm_h", 1, digits)
+        open_ = _any_of([(F.col(label) == F.lit(c)) & F.col("_vm_h").startswith(b) for c, (w, b, _) in want.items() if w > 0])
+        buckets: dict = {}
+        for r in d.where(open_).groupBy(label, begin.alias("b")).count().collect():
+            buckets.setdefault(r[0], []).append((r["b"], r["count"]))
+        for c, found in buckets.items():
+            w, at = want[c][0], 0
+            for b, n in sorted(found):
+                if at + n >= w:
+                    want[c] = (w - at, b, n)
+                    break
+                at += n
+    cuts, tied = {}, False
+    left = _any_of([(F.col(label) == F.lit(c)) & F.col("_vm_h").startswith(b) for c, (w, b, _) in want.items() if w > 0])
+    rows: dict = {}
+    for r in d.where(left).groupBy(label, "_vm_h", id_col).count().collect():
+        rows.setdefault(r[0], []).append((r["_vm_h"], r[id_col], r["count"]))
+    for c, found in rows.items():
+        w, at = want[c][0], 0
+        for key, i, n in sorted(found, key=lambda x: (x[0], x[1])):
+            at += n
+            if at >= w:
+                cuts[c], tied = (key, i), tied or at > w
+                break
+    if tied:
+        return _ranked_split(d, label, id_col, test_frac, name)
+    train = _any_of([(F.col(label) == F.lit(c)) & ((F.col("_vm_h") < key) | ((F.col("_vm_h") == key) & (F.col(id_col) <= F.lit(i)))) for c, (key, i) in cuts.items()])
+    return d.withColumn(name, F.when(train, "train").otherwise("test")).drop("_vm_h")
+
+
+def _any_of(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _ranked_split(d: DataFrame, label: str, id_col: str, test_frac: float, name: str) -> DataFrame:
+    """The same by a distributed range sort, which also tells equal ids apart."""
     ranked = global_rank(d, [label, "_vm_h", id_col], name="_vm_r")
     stats = ranked.groupBy(label).agg(F.min("_vm_r").alias("_vm_start"), F.count(F.lit(1)).alias("_vm_n"))
     j = ranked.join(stats, label)
     n_train = F.col("_vm_n") - F.ceil(F.col("_vm_n") * F.lit(test_frac))
     return j.withColumn(name, F.when(F.col("_vm_r") - F.col("_vm_start") + 1 <= n_train, "train").otherwise("test")) \
-        .drop("_vm_h", "_vm_r", "_vm_start", "_vm_n")
+        .select(*[c for c in d.columns if c != "_vm_h"], name)
 
 
 # --------------------------------------------------------------------------- model

@@ -185,6 +185,27 @@ def thousands_label(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", TX.thousands(F.col("o_custkey") * 9973).alias("label"))
 
 
+@query("percent_label", """
+SELECT o_orderkey, format('{:.1f}%', o_custkey * 100.0::DOUBLE / 7) AS label FROM orders
+""")
+def percent_label(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", TX.percent_text(F.col("o_custkey") * F.lit(100.0) / 7).alias("label"))
+
+
+@query("first_present", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'h' || c_custkey
+                       WHEN c_custkey % 5 <> 0 THEN 'm' || c_custkey ELSE '' END AS thumbnail FROM customer
+""")
+def first_present(spark, sf):
+    """The first picture in the preferred order that has an address; some are missing or empty."""
+    k = F.col("c_custkey")
+    url = lambda c: F.struct(c.alias("url"))
+    high = F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("h"), k.cast("string")))
+    medium = F.when(k % 5 != 0, F.concat(F.lit("m"), k.cast("string")))
+    pictures = F.when(k % 3 == 0, F.create_map(F.lit("high"), url(high), F.lit("medium"), url(medium))).otherwise(F.create_map(F.lit("medium"), url(medium)))
+    return table(spark, sf, "customer").select("c_custkey", TX.first_present(pictures).alias("thumbnail"))
+
+
 _CODES = [*COUNTRY_TO_REGION_SERVING][:20]
 
 
