@@ -67,7 +67,7 @@ class _Words(dict):
 class WordBpe:
     """One vocabulary file: exact ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str | None = None, cache: int = 400_000, piece: int = 2048):
+    def __init__(self, path: str | None = None, cache: int = 100_000, piece: int = 2048):
         from tokenizers import Tokenizer
         if path is None:
             import public_tokenizers

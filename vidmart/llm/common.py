@@ -16,7 +16,7 @@ SLICE_BYTES = 1 << 20
 
 
 #: Rows of an Arrow batch with whole texts; Spark's own 10,000 would hold 30 MB of usual texts in every buffer.
-TEXT_ROWS = 2_000
+TEXT_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:

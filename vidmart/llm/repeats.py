@@ -37,6 +37,7 @@ from vidmart.llm.arrays import U, merged, span
 from vidmart.llm.common import saved, slices, text_arrays
 
 ANCHORS = "rid long, ord long, key long, seg long, lo int, hi int, again boolean"
+COUNTED = "ord long, key long, seg long"
 SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 REPS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()),
                                  T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
@@ -82,21 +83,20 @@ def repeats_in_text(text: np.ndarray, key: np.ndarray, seg: np.ndarray, lo: np.n
     return out
 
 
-def anchor_rows(docs: DataFrame, find: Callable) -> DataFrame:
+def anchor_rows(docs: DataFrame, find: Callable, columns: str = ANCHORS) -> DataFrame:
     """Segments of every text of docs (rid, doc_id, text); find works on (bytes, offsets)."""
-    names = ["rid", "ord", "key", "seg", "lo", "hi", "again"]
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def rows(batches):
         for batch in slices(batches, "text"):
             raw, offsets = text_arrays(batch.column("text"))
             text, key, seg, lo, hi = find(raw, offsets)
-            rid = batch.column("rid").to_numpy()
-            ord_ = batch.column("ord").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(rid[text]), pa.array(ord_[text]), pa.array(key.view(np.int64)),
-                                              pa.array(seg.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
-                                              pa.array(repeats_in_text(text, key, seg, lo))], names)
+            make = {"rid": lambda: batch.column("rid").to_numpy()[text], "ord": lambda: batch.column("ord").to_numpy()[text],
+                    "key": lambda: key.view(np.int64), "seg": lambda: seg.view(np.int64), "lo": lambda: lo.astype(np.int32),
+                    "hi": lambda: hi.astype(np.int32), "again": lambda: repeats_in_text(text, key, seg, lo)}
+            yield pa.RecordBatch.from_arrays([pa.array(make[c]()) for c in names], names)
 
-    return docs.select("rid", "ord", "text").mapInArrow(rows, ANCHORS)
+    return docs.select("rid", "ord", "text").mapInArrow(rows, columns)
 
 
 def repeated(docs: DataFrame, find: Callable, width: int, keep_first: bool, cut: Callable, solve: Callable,
@@ -107,12 +107,14 @@ def repeated(docs: DataFrame, find: Callable, width: int, keep_first: bool, cut:
     segments of step 4 as an Arrow batch of solve's input rows; solve(rows) gives (rid, lo, hi)
     spans; finish(batch, spans) makes the result columns."""
     found = anchor_rows(docs, find)
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("least"), F.min("seg").alias("seg_a"),
+    counted = anchor_rows(docs, find, COUNTED)
+    keys = counted.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("least"), F.min("seg").alias("seg_a"),
                                     F.max("seg").alias("seg_b")).where("n > 1")
     mixed = F.col("seg_a") != F.col("seg_b")
     later = F.col("again") | (F.col("ord") > F.col("least"))
     gone = later if keep_first else F.lit(True)
-    known = saved(found.join(keys, "key").where(mixed | gone)
+    # hashed, not sorted: the keys of a partition that occur twice are few beside its segments
+    known = saved(found.join(keys.hint("shuffle_hash"), "key").where(mixed | gone)
                   .select("rid", "ord", "key", "seg", "lo", "hi", "again", "n", mixed.alias("mixed")), "segments")
     plain = known.where(~F.col("mixed")).select("rid", "lo", "hi", "key", "n", F.lit(True).alias("gone"), F.lit(False).alias("rep"))
     several = known.where("mixed")
