@@ -135,7 +135,7 @@ def quantiles_with(df: DataFrame, values: Mapping[str, Column], probs: Sequence[
     Ranks are read off the exact counts; a bracket that turns out not to hold its ranks is widened
     and counted again, so the result never depends on the sketch. Equal values are one row of the
     counts, so a value on most rows is no burden."""
-    names = list(values)
+    names, probs = list(values), list(dict.fromkeys(map(float, probs)))
     step = max(1, MAX_TARGETS // len(probs))
     if len(names) > step:
         first, out = quantiles_with(df, {c: values[c] for c in names[:step]}, probs, by, aggs)
