@@ -75,6 +75,15 @@ def surrogate_key(values: DataFrame, col: str, key_name: str) -> DataFrame:
     return global_rank(d, [col], name=key_name).select(F.col(key_name).cast("int"), col)
 
 
+def extend_keys(known: DataFrame, values: DataFrame, col: str, key_name: str) -> DataFrame:
+    """Keys for the values that ``known`` (key_name, col) does not hold yet (W6): numbered in sorted
+    order above the greatest key given so far, so no key that was given out ever changes. Only the
+    distinct unseen values are ranked; the greatest key is a scalar subquery."""
+    new = new_only(values.select(col).where(F.col(col).isNotNull()).distinct(), known, [col])
+    top = F.coalesce(known.agg(F.max(key_name).cast("bigint")).scalar(), F.lit(0))
+    return global_rank(new, [col], name="_vm_rank").select((F.col("_vm_rank") + top).alias(key_name), col)
+
+
 def pack_batches(df: DataFrame, key: str, size: int = 50) -> DataFrame:
     """Distinct sorted ids packed into request batches of ``size`` (W9, U3):
     batch_no, batch_size, ids (comma-joined in id order). Each batch holds at

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...session import scratch_path
+from ...streaming import late as LT
 from ...streaming import parts as PT
 from ...streaming import stream as ST
 from .q_ingest import INSERT_IGNORE_SQL, MERGE_SQL, insert_ignore_parts, merge_parts
@@ -77,6 +78,54 @@ def stream_quarantine(spark, sf):
     return both.select("event_id", *[F.when(F.array_contains(PT.FAILED, r), r).alias(r) for r in rules])
 
 
+# Events arrive in three batches by event_id mod 3, every seventh once more in the last; Spark holds late what lies
+# at or before the watermark of the previous batch: the greatest time (in milliseconds) before that one, less the delay.
+LATE_SQL = """
+WITH a AS (SELECT event_id, ts, event_id % 3 AS b FROM events WHERE ts IS NOT NULL
+           UNION ALL SELECT event_id, ts, 2 FROM events WHERE ts IS NOT NULL AND event_id % 7 = 0),
+top AS (SELECT b, date_trunc('millisecond', max(ts)) AS mx FROM a GROUP BY b),
+w AS (SELECT b.b, (SELECT max(mx) FROM top t WHERE t.b < b.b - 1) - INTERVAL 5 DAY AS mark FROM (SELECT DISTINCT b FROM a) b),
+r AS (SELECT a.b, event_id, coalesce(ts <= mark, FALSE) AS late FROM a JOIN w ON w.b = a.b),
+k AS (SELECT event_id, min(b) AS b FROM r WHERE NOT late GROUP BY 1)
+SELECT r.b AS batch_id, count(*) AS n_arrived, count(*) FILTER (WHERE late) AS n_late,
+       (SELECT count(*) FROM k WHERE k.b = r.b) AS n_kept,
+       count(*) FILTER (WHERE NOT late) - (SELECT count(*) FROM k WHERE k.b = r.b) AS n_duplicates
+FROM r GROUP BY r.b
+"""
+
+
+@query("stream_late_audit", LATE_SQL)
+def stream_late_audit(spark, sf):
+    """R1 with bounded state: rows that the watermark discards are counted, batch by batch."""
+    ev = table(spark, sf, "events").where(F.col("ts").isNotNull()).select("event_id", "ts")
+    first, last = (F.col("event_id") % 3).cast("int"), F.lit(2)
+    src, root = scratch_path(spark, "land-events"), scratch_path(spark, "sink-late")
+    landed = ev.withColumn("_b", F.explode(F.when(F.col("event_id") % 7 == 0, F.array(first, last)).otherwise(F.array(first))))
+    per = ST.land_in_slices(landed, src, F.col("_b"), 3, drop=["_b"])
+    _, audit = LT.stream_within_watermark(spark, src, landed.drop("_b").schema, root, ["event_id"], "ts", "5 days",
+                                          files_per_trigger=per)
+    return audit.select("batch_id", "n_arrived", "n_late", "n_duplicates", "n_kept")
+
+
+@query("stream_stable_keys", """
+WITH first AS (SELECT o_custkey, min(CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 0
+                                          WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 1 ELSE 2 END) AS b
+               FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1)
+SELECT o_custkey, row_number() OVER (ORDER BY b, o_custkey) AS channel_key FROM first
+""")
+def stream_stable_keys(spark, sf):
+    """W6 kept current: a batch's unseen values get the next keys, those of earlier ones stay as they are."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate")
+    root = scratch_path(spark, "channel-keys")
+    sink = PT.key_sink(root, "o_custkey", "channel_key")
+    d = F.col("o_orderdate")
+    first, second = (F.lit(x).cast("timestamp_ntz") for x in ("1995-01-01", "1997-01-01"))
+    batch = F.when(d < first, 0).when(d < second, 1).otherwise(2)
+    for i in range(3):
+        sink(o.where(batch == i), i)
+    return PT.read_keys(spark, root, "o_custkey", o.schema["o_custkey"].dataType, "channel_key")
+
+
 HOURLY_SQL = """
 SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n_events, round(sum(value), 6) AS total_value
 FROM events WHERE ts IS NOT NULL GROUP BY 1

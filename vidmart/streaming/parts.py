@@ -15,6 +15,7 @@ batch of each stream: one that is delivered again is skipped. One writer at a ti
   level become one of the next in the commit that completes them, so a read of n batches merges
   at most (fan - 1) * (levels) parts, levels being 1 + log(n) / log(fan), and each row is
   rewritten once a level.
+* ``key_sink`` (W6): a dictionary that gives unseen values the next keys; given keys stay.
 
 Parts that no manifest lists any more stay for readers that still use them; ``vacuum`` deletes them.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from ..operators.dedup import dedup, insert_ignore
+from ..operators.dedup import dedup, extend_keys, insert_ignore
 from ..sources.ingest import failed_rules
 
 #: A key sets so many bits of one 64-bit word; there is a word for every two keys.
@@ -227,3 +228,29 @@ def read_levels(spark: SparkSession, root: str, schema: StructType, keys: Sequen
     """For each key the row of the newest batch."""
     rows = read_parts(spark, root, VERSIONS, StructType([*schema.fields]).add(ORDER, "long"))
     return dedup(rows, keys, [ORDER], keep="last").drop(ORDER)
+
+
+# --------------------------------------------------------------------------- W6
+
+KEYS = "keys"
+
+
+def _key_schema(col: str, kind, key_name: str) -> StructType:
+    return StructType().add(key_name, "long").add(col, kind)
+
+
+def key_sink(root: str, col: str, key_name: str, stream: str = "stream"):
+    """foreachBatch function: values of ``col`` that the dictionary below ``root`` does not hold get
+    the keys above its greatest. A batch writes its new values alone; a replayed one changes nothing."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        state = Parts(batch.sparkSession, root)
+        if state.has(stream, batch_id):
+            return
+        known = state.read(state.of(KEYS), _key_schema(col, batch.schema[col].dataType, key_name))
+        state.commit([*state.parts, state.write(extend_keys(known, batch, col, key_name), KEYS)], stream, batch_id)
+    return run
+
+
+def read_keys(spark: SparkSession, root: str, col: str, kind, key_name: str) -> DataFrame:
+    """The dictionary (key_name, col)."""
+    return read_parts(spark, root, KEYS, _key_schema(col, kind, key_name))
