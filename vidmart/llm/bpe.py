@@ -18,12 +18,10 @@ import hashlib
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +31,8 @@ LONG_CHARS = 1 << 16
 PART_CHARS = 1 << 14
 #: White space of the vocabulary's own patterns; unlike str.split() it leaves U+001C to U+001F alone.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
+#: Pre-tokens of an ASCII word, as the vocabulary file's pattern gives them there.
+PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 SPACE = re.compile(f"[{BLANK}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -85,12 +84,13 @@ class WordBpe:
 
     # text -> words
     def sections(self, text: str) -> Iterator[tuple[int | None, str]]:
-        """Control strings of the vocabulary and the normalised text between them."""
+        """Control strings of the vocabulary and the text between them. Normal form, lower case and
+        pre-tokens depend on nothing beyond a word, so they are taken word by word (``pretokens``)."""
         for i, part in enumerate(self.cut.split(text) if "<|" in text else [text]):
             if i % 2:
                 yield self.special[part], part
             elif part:
-                yield None, unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                yield None, part.lower() if part.isascii() else part
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -105,13 +105,16 @@ class WordBpe:
 
     def _word(self, word: str) -> bytes:
         out = []
-        for pre in PRETOKEN.findall(word):
-            symbols = self.symbols(pre)
+        for symbols in self.pretokens(word):
             out.extend(self.tree(symbols) if len(symbols) > self.piece else self.run(symbols))
         return struct.pack(f"<{len(out)}I", *out)
 
-    def symbols(self, pre: str) -> str:
-        return pre.encode().decode("latin-1").translate(self.map)
+    def pretokens(self, word: str) -> list[str]:
+        """Runs of byte symbols that merges never cross. Beyond ASCII the file's own normaliser and
+        pre-tokenizer decide, as letters and lower case differ between versions of Unicode."""
+        if word.isascii():
+            return [pre.translate(self.map) for pre in PRETOKEN.findall(word.lower())]
+        return [pre for pre, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))]
 
     # one unsplit run of symbols
     def run(self, symbols: str, final: bool = True) -> list[int]:
@@ -177,8 +180,7 @@ class WordBpe:
                         run += 1
                         yield run, 0, " ".join(held)
                         held, n = [], 0
-                    for pre in PRETOKEN.findall(word):
-                        symbols = self.symbols(pre)
+                    for symbols in self.pretokens(word):
                         run += 1
                         for c in range(0, len(symbols), size):
                             yield run, 2 if c + size >= len(symbols) else 1, symbols[c:c + size]
