@@ -14,14 +14,17 @@ Shorter texts are encoded where they are read, without a shuffle.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,30 @@ LONG_CHARS = 1 << 16
 PART_CHARS = 1 << 14
 #: White space of the vocabulary's own patterns; unlike str.split() it leaves U+001C to U+001F alone.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pre-tokens of an ASCII word, as the vocabulary file's pattern gives them there.
-PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
 SPACE = re.compile(f"[{BLANK}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+@functools.cache
+def newer() -> re.Pattern:
+    """A character that Unicode 3.2 did not have, or whose lower case it did not have. All others keep
+    their normal form, lower case and class in every later version, so Python's tables serve for them."""
+    old = unicodedata.ucd_3_2_0.category
+    runs: list[list[int]] = []
+    for c in range(128, 0x110000):
+        if old(chr(c)) == "Cn" or any(old(x) == "Cn" for x in chr(c).lower()):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in runs) + "]")
+
+
+def normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def byte_chars() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,7 +87,7 @@ class _Words(dict):
 class WordBpe:
     """One vocabulary file: exact ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str | None = None, cache: int = 100_000, piece: int = 2048):
+    def __init__(self, path: str | None = None, cache: int = 200_000, piece: int = 2048):
         from tokenizers import Tokenizer
         if path is None:
             import public_tokenizers
@@ -84,13 +105,13 @@ class WordBpe:
 
     # text -> words
     def sections(self, text: str) -> Iterator[tuple[int | None, str]]:
-        """Control strings of the vocabulary and the text between them. Normal form, lower case and
-        pre-tokens depend on nothing beyond a word, so they are taken word by word (``pretokens``)."""
+        """Control strings of the vocabulary and the normalised text between them; words with a
+        ``newer`` character are left as they are, for ``pretokens``."""
         for i, part in enumerate(self.cut.split(text) if "<|" in text else [text]):
             if i % 2:
                 yield self.special[part], part
             elif part:
-                yield None, part.lower() if part.isascii() else part
+                yield None, part.lower() if part.isascii() else self.lowered(part)
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -109,12 +130,19 @@ class WordBpe:
             out.extend(self.tree(symbols) if len(symbols) > self.piece else self.run(symbols))
         return struct.pack(f"<{len(out)}I", *out)
 
+    def lowered(self, part: str) -> str:
+        new = newer().search
+        if not new(part):
+            return normal(part)
+        # normal form and lower case depend on nothing beyond a word
+        return " ".join([w if new(w) else normal(w) for w in self.split(part)])
+
     def pretokens(self, word: str) -> list[str]:
-        """Runs of byte symbols that merges never cross. Beyond ASCII the file's own normaliser and
-        pre-tokenizer decide, as letters and lower case differ between versions of Unicode."""
-        if word.isascii():
-            return [pre.translate(self.map) for pre in PRETOKEN.findall(word.lower())]
-        return [pre for pre, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))]
+        """Runs of byte symbols that merges never cross. For newer characters the file's own normaliser
+        and pre-tokenizer decide, as letters and lower case differ between versions of Unicode."""
+        if not word.isascii() and newer().search(word):
+            return [pre for pre, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))]
+        return [pre.encode().decode("latin-1").translate(self.map) for pre in PRETOKEN.findall(word)]
 
     # one unsplit run of symbols
     def run(self, symbols: str, final: bool = True) -> list[int]:
