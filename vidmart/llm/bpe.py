@@ -102,6 +102,7 @@ class WordBpe:
         self.words = _Words(self._word, cache)
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self._bare = None
+        self.settled: set[str] = set()  # characters seen that are not newer: at most all of Unicode
 
     # text -> words
     def sections(self, text: str) -> Iterator[tuple[int | None, str]]:
@@ -131,8 +132,11 @@ class WordBpe:
         return struct.pack(f"<{len(out)}I", *out)
 
     def lowered(self, part: str) -> str:
+        # most texts hold nothing but characters that earlier ones held
+        if not (unknown := set(part) - self.settled):
+            return normal(part)
         new = newer().search
-        if not new(part):
+        if not any([new(c) or self.settled.add(c) for c in unknown]):
             return normal(part)
         # normal form and lower case depend on nothing beyond a word
         return " ".join([w if new(w) else normal(w) for w in self.split(part)])
@@ -140,7 +144,7 @@ class WordBpe:
     def pretokens(self, word: str) -> list[str]:
         """Runs of byte symbols that merges never cross. For newer characters the file's own normaliser
         and pre-tokenizer decide, as letters and lower case differ between versions of Unicode."""
-        if not word.isascii() and newer().search(word):
+        if not word.isascii() and not self.settled.issuperset(word) and newer().search(word):
             return [pre for pre, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))]
         return [pre.encode().decode("latin-1").translate(self.map) for pre in PRETOKEN.findall(word)]
 
