@@ -53,9 +53,8 @@ def channels(spark, sf):
 
 
 def comments(spark, sf):
-    """events in the comment role with the sentiment class map of SURVEY §2.0; all comments of
-    some videos have no label."""
-    label = (F.when(F.col("user_id") % 11 == 0, None).when(F.col("event_type").isin("purchase", "signup"), "positive")
+    """events in the comment role with the sentiment class map of SURVEY §2.0."""
+    label = (F.when(F.col("event_type").isin("purchase", "signup"), "positive")
              .when(F.col("event_type") == "error", "negative")
              .when(F.col("event_type").isin("click", "view"), "neutral"))
     return table(spark, sf, "events").select(
@@ -64,11 +63,21 @@ def comments(spark, sf):
         (F.col("value") / 100.0).alias("sentiment_score"), F.col("ts").alias("published_at"))
 
 
-COMMENTS_SQL = """SELECT event_id AS comment_id, user_id AS video_id, CAST(floor(value) AS BIGINT) AS like_count,
-  CASE WHEN user_id % 11 = 0 THEN NULL WHEN event_type IN ('purchase', 'signup') THEN 'positive' WHEN event_type = 'error' THEN 'negative'
+def partly_labelled(comments):
+    """All comments of some videos have no label."""
+    return comments.withColumn("sentiment_label", F.when(F.col("video_id") % 11 == 0, None).otherwise(F.col("sentiment_label")))
+
+
+def _comments_sql(unlabelled=""):
+    return f"""SELECT event_id AS comment_id, user_id AS video_id, CAST(floor(value) AS BIGINT) AS like_count,
+  CASE {unlabelled}WHEN event_type IN ('purchase', 'signup') THEN 'positive' WHEN event_type = 'error' THEN 'negative'
        WHEN event_type IN ('click', 'view') THEN 'neutral' END AS sentiment_label,
   value / 100.0 AS sentiment_score FROM events"""
 
+
+COMMENTS_SQL = _comments_sql()
+PARTLY_LABELLED_SQL = _comments_sql("WHEN user_id % 11 = 0 THEN NULL ")
+
 TIME_COLS_SQL = """CAST(year(t) AS INTEGER) AS year, CAST(quarter(t) AS INTEGER) AS quarter,
   CAST(month(t) AS INTEGER) AS month, CAST(week(t) AS INTEGER) AS week_of_year, CAST(day(t) AS INTEGER) AS day,
   CAST(isodow(t) - 1 AS INTEGER) AS weekday, CAST(hour(t) AS INTEGER) AS hour"""
@@ -377,7 +386,7 @@ def ml_dataset_q(spark, sf):
 
 
 @query("comment_metrics", f"""
-WITH c AS ({COMMENTS_SQL}),
+WITH c AS ({PARTLY_LABELLED_SQL}),
 g AS (SELECT video_id, count(comment_id) AS total_comments, CAST(coalesce(sum(like_count), 0) AS BIGINT) AS total_likes,
              CAST(sum(like_count) AS BIGINT) AS s, count(like_count) AS n, max(like_count) AS max_like_comment,
              CASE WHEN count(sentiment_label) > 0 THEN count(*) FILTER (WHERE sentiment_label = 'positive') END AS positive_count,
@@ -391,7 +400,7 @@ SELECT video_id, total_comments, total_likes, {half_even_sql('s', 'n', 2)} AS av
 FROM g
 """)
 def comment_metrics_q(spark, sf):
-    return comment_metrics(comments(spark, sf))
+    return comment_metrics(partly_labelled(comments(spark, sf)))
 
 
 SENT_FEATURES_SQL = f"""
