@@ -23,6 +23,11 @@ def test_every_labelled_video_has_features(spark, tables):
     assert (got[11]["total"], got[11]["positive_ratio"], got[11]["neutral_ratio"], got[11]["mean_score"]) == (2, 0.5, 0.0, 0.61)
 
 
+def test_every_labelled_video_counts_by_trending(spark, tables):
+    got = {r["is_trending"]: r["n_videos"] for r in catalogue.QUERIES["sentiment_by_trending"](spark, tables).collect()}
+    assert got == {0: 11, 1: 22}
+
+
 def test_comment_metrics_keeps_its_unlabelled_videos(spark, tables):
     got = {r["video_id"]: r["positive_count"] for r in catalogue.QUERIES["comment_metrics"](spark, tables).collect()}
     assert len(got) == 33 and sorted(u for u in got if got[u] is None) == [11, 22, 33]
