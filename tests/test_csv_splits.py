@@ -60,3 +60,20 @@ def test_other_splits_than_counted_are_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="was no split") as e:
         _lines(spark, f"{tmp_path}/c").mapInArrow(_pieces({}, True), "file string, block long, kind int, record string").collect()
     assert ChangedSplitsError.__name__ in str(e.value)
+
+
+def test_no_task_writes_all_the_landing_files(spark, small_splits, tmp_path):
+    """landed_csv makes its CSV where the table is read, and gives every row, with null and empty texts."""
+    from pathlib import Path
+
+    from vidmart.plans.driver import catalogue
+    from vidmart.session import checkpoint_root
+    data = [(i, "en", None if i % 7 == 0 else f'line {i}\n"two", {i}\n' * (1 + i % 3), i) for i in range(80)]
+    (spark.createDataFrame(data, "doc_id long, lang string, text string, n_chars long").repartition(4, "doc_id")
+     .write.parquet(f"{tmp_path}/documents.parquet"))
+    landed = lambda: set(Path(checkpoint_root(spark)).glob("land-csv-*"))
+    before = landed()
+    got = rows(catalogue.QUERIES["landed_csv"](spark, str(tmp_path)), "doc_id", "line_breaks")
+    assert got == sorted(((i, t and t.count("\n")) for i, _, t, _ in data), key=repr)
+    files = list((landed() - before).pop().glob("*.csv"))
+    assert len(files) == 4 and all(f.stat().st_size for f in files)

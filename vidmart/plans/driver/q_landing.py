@@ -148,10 +148,10 @@ def json_all_fields(spark, sf):
 SELECT doc_id, lang, md5(text) AS text_md5, length(text) - length(replace(text, chr(10), '')) AS line_breaks, n_chars FROM documents
 """)
 def landed_csv(spark, sf):
-    """One quoted CSV file with line breaks in its texts, landed in splits (S1, S3, K1), read back as a table."""
+    """Quoted CSV files with line breaks in their texts, landed in splits (S1, S3, K1), read back as a table."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars")
     src, dst = scratch_path(spark, "land-csv"), scratch_path(spark, "landed-csv")
-    (docs.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"')
+    (docs.write.option("header", True).option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(src))
     land_csv(spark, src, dst, docs.schema)
     back = read_table(spark, dst)
