@@ -9,7 +9,7 @@ import struct
 import pytest
 
 from vidmart.llm import packing
-from vidmart.llm.bpe import word_bpe
+from vidmart.llm.bpe import WordBpe, word_bpe
 
 
 def best_fit(lengths, capacity):
@@ -87,3 +87,19 @@ def test_every_code_point_has_the_librarys_ids(library, plane):
         text = "".join(f"a{chr(c)}B {chr(c)}̣'s " for c in points[lo:lo + 500])
         ids = bpe.encode(text)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_pretoken_is_looked_up_once_for_all_words_that_hold_it():
+    """Words of printable ASCII are made of pretokens that are words too; the ids are the library's."""
+    bpe = WordBpe()
+    model, seen = bpe.model, []
+
+    class Counted:
+        def tokenize(self, symbols):
+            seen.append(symbols)
+            return model.tokenize(symbols)
+
+    bpe.model = Counted()
+    for text in ("hereafter", "hereafter, (hereafter) hereafter's 'sere re's ''s !'ll x'd'd don't", "hereafter9 99 \x7f~ \x01a'b Ünder, ünder", "a'" * 60):
+        assert list(memoryview(bpe.encode(text)).cast("I")) == bpe.tok.encode(text, add_special_tokens=False).ids
+    assert seen.count("hereafter") == 1

@@ -35,6 +35,10 @@ PART_CHARS = 1 << 14
 #: White space of the vocabulary's own patterns; unlike str.split() it leaves U+001C to U+001F alone.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
+#: PRETOKEN for words of printable ASCII.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+#: How so many ids are written.
+IDS = [struct.Struct(f"<{n}I").pack for n in range(33)]
 SPACE = re.compile(f"[{BLANK}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -84,6 +88,18 @@ class _Words(dict):
         return found
 
 
+class _Symbols(dict):
+    """Printable characters of the UTF-8 bytes by character: at most all of Unicode."""
+
+    def __init__(self):
+        super().__init__()
+        self.bytes = byte_chars()
+
+    def __missing__(self, char: str) -> str:
+        self[char] = found = "".join(map(self.bytes.__getitem__, char.encode()))
+        return found
+
+
 class WordBpe:
     """One vocabulary file: exact ids of a text as little-endian unsigned 32-bit integers."""
 
@@ -96,7 +112,7 @@ class WordBpe:
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.suffix = self.model.end_of_word_suffix or ""
-        self.map = byte_chars()
+        self.symbols = _Symbols()
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = _Words(self._word, cache)
@@ -126,10 +142,17 @@ class WordBpe:
                          for special, part in self.sections(text)])
 
     def _word(self, word: str) -> bytes:
-        out = []
-        for symbols in self.pretokens(word):
-            out.extend(self.tree(symbols) if len(symbols) > self.piece else self.run(symbols))
-        return struct.pack(f"<{len(out)}I", *out)
+        if len(word) <= 64 and word.isascii() and word.isprintable():
+            # its symbols are its characters, and each of its pretokens is a word of its own
+            if word.isalpha():
+                return self.ids_of(word)
+            pres = PLAIN.findall(word)
+            return b"".join(map(self.words.__getitem__, pres)) if len(pres) > 1 else self.ids_of(word)
+        return b"".join([self.ids_of(symbols) for symbols in self.pretokens(word)])
+
+    def ids_of(self, symbols: str) -> bytes:
+        out = self.tree(symbols) if len(symbols) > self.piece else [t.id for t in self.model.tokenize(symbols)]
+        return IDS[len(out)](*out) if len(out) < len(IDS) else struct.pack(f"<{len(out)}I", *out)
 
     def lowered(self, part: str) -> str:
         # most texts hold nothing but characters that earlier ones held
@@ -146,7 +169,7 @@ class WordBpe:
         and pre-tokenizer decide, as letters and lower case differ between versions of Unicode."""
         if not word.isascii() and not self.settled.issuperset(word) and newer().search(word):
             return [pre for pre, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))]
-        return [pre.encode().decode("latin-1").translate(self.map) for pre in PRETOKEN.findall(word)]
+        return ["".join(map(self.symbols.__getitem__, pre)) for pre in PRETOKEN.findall(word)]
 
     # one unsplit run of symbols
     def run(self, symbols: str, final: bool = True) -> list[int]:
