@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from vidmart.session import scratch_path
 
+#: Bits of a bitmap of keys.
+KEY_BITS = 1 << 26
 #: Bytes of text that the array kernels work on at a time.
 SLICE_BYTES = 1 << 20
 
@@ -70,6 +72,19 @@ def saved(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     return out
 
 
+def mostly_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is in ``ids`` (key), and a few others, without a shuffle of ``df``.
+
+    A bitmap of ``KEY_BITS`` hashes of the keys is broadcast, 8 MB however many they are; the
+    more there are, the more other rows pass. A join with the distinct ids afterwards makes it exact."""
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BITS))
+    maps = ids.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = df.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket")
+    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what saved() wrote for these frames, once no plan will read it again."""
     for df in frames:

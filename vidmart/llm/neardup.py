@@ -23,6 +23,7 @@ table when it shares a key of both collections: (1 - (1 - s**rows)**tables)**2,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidmart.llm.arrays import LOWER, U, mix, prefix, runs, span, word_hashes
-from vidmart.llm.common import documents, in_buckets, release, saved, slices, text_arrays
+from vidmart.llm.common import documents, in_buckets, mostly_in, release, saved, slices, text_arrays
 from vidmart.llm.components import components
 
 TABLES = 15
@@ -69,7 +70,8 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def sketch(docs: DataFrame, size: int, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, fp1, fp2, a, b): set size, digest of the words in order, keys of both collections."""
+    """(doc_id, n, fp1, fp2, a, b): set size, digest of the words in order, keys of both collections;
+    a key's lowest bit names its collection."""
     names = ["doc_id", "n", "fp1", "fp2", "a", "b"]
     salt, factor = _functions(2 * tables * rows)
 
@@ -92,7 +94,7 @@ def sketch(docs: DataFrame, size: int, tables: int = TABLES, rows: int = ROWS) -
                             f = (i * tables + k) * rows + r
                             h = (value ^ salt[f]) * factor[f]
                             key = mix(key ^ np.minimum.reduceat(h ^ (h >> U(29)), at))
-                        keys[full, i, k] = key
+                        keys[full, i, k] = key & ~U(1) | U(i)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * tables, tables, dtype=np.int32)),
                                               pa.array(np.ascontiguousarray(keys[:, i]).reshape(-1).view(np.int64))) for i in range(2)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in fp), *lists], names)
@@ -240,6 +242,11 @@ def links_within(placed: DataFrame, texts: DataFrame, size: int, similar: int) -
     return rows.groupBy("g", "block", "chunk").applyInArrow(compare, "u long, v long").distinct()
 
 
+def docs_of(pairs: DataFrame, *sides: str) -> DataFrame:
+    """The distinct documents (doc_id) on these sides of the pairs."""
+    return functools.reduce(DataFrame.unionByName, (pairs.select(F.col(s).alias("doc_id")) for s in sides)).distinct()
+
+
 def confirmed(pairs: DataFrame, texts_u: DataFrame, texts_v: DataFrame, size: int, similar: int) -> DataFrame:
     """The pairs (u, v) whose sets of shingles, made of the words themselves, are similar enough.
 
@@ -278,11 +285,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
     stands = classes.withColumnRenamed("rep", "doc_id")
     reps = some.join(stands, ["doc_id", "fp1", "fp2", "n"], "left_semi")
 
-    def shared(c: str) -> DataFrame:
-        keys = reps.select(F.col("doc_id").alias("doc"), F.explode(c).alias("key"))
-        often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        return keys.join(often, "key").groupBy("doc").agg(F.collect_list("key").alias(c), F.sum("c").alias("w" + c))
-
+    keys = reps.select(F.col("doc_id").alias("doc"), F.explode(F.concat("a", "b")).alias("key"))
+    often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    side = lambda i: F.collect_list(F.when(F.col("key").bitwiseAND(1) == i, F.col("key")))
+    shared = keys.join(often, "key").groupBy("doc").agg(side(0).alias("a"), side(1).alias("b"), F.sum("c").alias("weight"))
     sizes = reps.groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "doc")
     held = []  # what is deleted once its last reader has been written
 
@@ -290,15 +296,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
         held.append(saved(df, *name))
         return held[-1]
 
-    lists = hold(shared("a").join(shared("b"), "doc").join(sizes, "doc").withColumn("weight", F.col("wa") + F.col("wb")).drop("wa", "wb"), "lists")
+    lists = hold(shared.where("size(a) > 0 and size(b) > 0").join(sizes, "doc"), "lists")
     pairs = hold(leader_pairs(table_rows(lists, "weight")), "pairs")
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    involved = hold(docs_of(pairs, "u", "v"), "involved")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    texts = hold(in_buckets(texts.join(involved, "doc_id", "left_semi"), "doc_id"), "texts", "doc_id")
+    # an inner join, as a semi-join would be pushed down to all texts, before the bitmap
+    texts = hold(in_buckets(mostly_in(texts, involved, "doc_id"), "doc_id").join(involved, "doc_id"), "texts", "doc_id")
 
     def texts_of(pairs: DataFrame, *sides: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array(*sides)).alias("doc_id")).distinct()
-        return hold(texts.join(ids, "doc_id", "left_semi"), "texts")
+        return hold(texts.join(docs_of(pairs, *sides), "doc_id", "left_semi"), "texts")
 
     best = Window.partitionBy("v").orderBy(F.desc("n"), "u")
     chosen = hold(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS), "chosen")
@@ -306,16 +312,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
     leaders = texts_of(chosen, "u")
     links = hold(confirmed(chosen, leaders, texts, size, similar), "confirmed")
     release(leaders)
-    around = components(chosen.where((F.col("r") == 1) & (F.col("n") >= NEAR_TABLES)).select("u", "v"))
-    labelled = (lists.join(components(links).withColumnRenamed("node", "doc"), "doc", "left")
-                .join(around.select(F.col("node").alias("doc"), F.col("component").alias("g")), "doc", "left")
+    around = chosen.where((F.col("r") == 1) & (F.col("n") >= NEAR_TABLES)).select(F.lit("g").alias("of"), "u", "v")
+    both = components(links.select(F.lit("component").alias("of"), "u", "v").unionByName(around), "of")
+    of = lambda name: F.max(F.when(F.col("of") == name, F.col("component"))).alias(name)
+    both = both.groupBy(F.col("node").alias("doc")).agg(of("component"), of("g"))
+    labelled = (lists.join(both, "doc", "left")
                 .withColumn("component", F.coalesce("component", "doc")).withColumn("g", F.coalesce("g", "doc")))
     labelled = hold(labelled, "labelled")
     within = hold(links_within(labelled.select("doc", "component", "g"), texts, size, similar), "within")
     apart = hold(open_pairs(table_rows(labelled, "component", "g", "n"), similar), "apart")
     few = texts_of(apart, "u", "v")
     across = hold(confirmed(apart, few, few, size, similar), "across")
-    found = saved(components(links.unionByName(within).unionByName(across)), "components")
+    linked = labelled.where("doc != component").select(F.col("component").alias("u"), F.col("doc").alias("v"))
+    found = saved(components(linked.unionByName(within).unionByName(across)), "components")
     release(*held)
 
     placed = (known.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
