@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidmart.llm import neardup, packing, quality, suffix, toxicity
-from vidmart.llm.common import saved, small_batches
+from vidmart.llm.common import WORK_ROWS, in_files, saved, small_batches
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_llm_row").alias("row"))
     groups = found.select(F.col("doc_id").alias("_llm_row"), "component_id").join(rows.select("_llm_row", order.alias("place")), "_llm_row")
     stay = groups.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.row").alias("_llm_row"))
-    return rows.join(stay, "_llm_row", "left_semi").select(*docs.columns)
+    return in_files(rows.join(stay, "_llm_row", "left_semi").select(*docs.columns), docs.count(), WORK_ROWS)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings that occurred before out of the texts; n_chars follows."""
-    out = suffix.without_repeats(docs)
+    out = in_files(suffix.without_repeats(docs), docs.count(), WORK_ROWS)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

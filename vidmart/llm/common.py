@@ -19,6 +19,8 @@ SLICE_BYTES = 1 << 20
 
 #: Rows of an Arrow batch with whole texts; Spark's own 10,000 would hold 30 MB of usual texts in every buffer.
 TEXT_ROWS = 1_000
+#: Rows of ids, and rows whose texts are joined or worked on, for which a partition of their own is worth it.
+ID_ROWS, WORK_ROWS = 250_000, 2_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -85,6 +87,14 @@ def mostly_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
 
 
+def in_files(df: DataFrame, rows: int, each: int = ID_ROWS) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in no more partitions than one for every ``each`` of them or one a core.
+
+    Where shuffles are dealt finer than that, the partitions beyond would be files of a few rows; on a local
+    path Hadoop starts two processes from the executor for each file, which for a moment hold its memory too."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what saved() wrote for these frames, once no plan will read it again."""
     for df in frames:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidmart.llm.common import release, saved
+from vidmart.llm.common import in_files, release, saved
 
 
 def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -27,17 +27,18 @@ def _are_stars(edges: DataFrame, by: list[str]) -> bool:
     return ends.groupBy(*by, "node").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or up = 1 and top = 1").isEmpty()
 
 
-def components(links: DataFrame, *by: str) -> DataFrame:
+def components(links: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
     """(by, node, component) for every node of links (by, u, v): the smallest node that it reaches.
     Links with other values of ``by`` are another graph; all graphs go through the same rounds.
 
     Each round joins the links with the least neighbour of each node, never gathering a
     node's neighbours, and is written to the shared folder. Self links and repeated links
-    are harmless; no links give no rows."""
+    are harmless; no links give no rows. rows: about how many links there are, if that is known."""
     by = list(by)
-    edges = saved(links.where("u != v").select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    held = lambda edges: saved(edges if rows is None else in_files(edges, rows), "links")
+    edges = held(links.where("u != v").select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _are_stars(edges, by):
-        done, edges = edges, saved(_small_star(_large_star(edges, by), by), "links")
+        done, edges = edges, held(_small_star(_large_star(edges, by), by))
         release(done)
     own = edges.select(*by, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(*by, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidmart.llm.arrays import LOWER, U, mix, prefix, runs, span, word_hashes
-from vidmart.llm.common import documents, in_buckets, mostly_in, release, saved, slices, text_arrays
+from vidmart.llm.common import WORK_ROWS, documents, in_buckets, in_files, mostly_in, release, saved, slices, text_arrays
 from vidmart.llm.components import components
 
 TABLES = 15
@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
     have no shingles and no links. Rows that repeat a doc_id share its component; a null doc_id
     has no component and is kept. Other columns are not looked at."""
     known = saved(sketch(docs, size, tables, rows), "sketch")
+    total = known.count()  # bounds the rows of most tables below
     some = known.where("n > 0 and doc_id is not null")
     classes = some.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
     stands = classes.withColumnRenamed("rep", "doc_id")
@@ -296,35 +297,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR, tabl
         held.append(saved(df, *name))
         return held[-1]
 
-    lists = hold(shared.where("size(a) > 0 and size(b) > 0").join(sizes, "doc"), "lists")
-    pairs = hold(leader_pairs(table_rows(lists, "weight")), "pairs")
-    involved = hold(docs_of(pairs, "u", "v"), "involved")
+    lists = hold(in_files(shared.where("size(a) > 0 and size(b) > 0").join(sizes, "doc"), total), "lists")
+    pairs = hold(in_files(leader_pairs(table_rows(lists, "weight")), tables * tables * total), "pairs")
+    involved = hold(in_files(docs_of(pairs, "u", "v"), total), "involved")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     # an inner join, as a semi-join would be pushed down to all texts, before the bitmap
     texts = hold(in_buckets(mostly_in(texts, involved, "doc_id"), "doc_id").join(involved, "doc_id"), "texts", "doc_id")
 
-    def texts_of(pairs: DataFrame, *sides: str) -> DataFrame:
-        return hold(texts.join(docs_of(pairs, *sides), "doc_id", "left_semi"), "texts")
+    def texts_of(pairs: DataFrame, count: int, *sides: str) -> DataFrame:
+        return hold(in_files(texts.join(docs_of(pairs, *sides), "doc_id", "left_semi"), min(total, count), WORK_ROWS), "texts")
 
     best = Window.partitionBy("v").orderBy(F.desc("n"), "u")
-    chosen = hold(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS), "chosen")
+    chosen = hold(in_files(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS), LEADERS * total), "chosen")
     release(pairs)
-    leaders = texts_of(chosen, "u")
-    links = hold(confirmed(chosen, leaders, texts, size, similar), "confirmed")
+    leaders = texts_of(chosen, LEADERS * total, "u")
+    links = hold(in_files(confirmed(chosen, leaders, texts, size, similar), LEADERS * total, WORK_ROWS), "confirmed")
     release(leaders)
     around = chosen.where((F.col("r") == 1) & (F.col("n") >= NEAR_TABLES)).select(F.lit("g").alias("of"), "u", "v")
-    both = components(links.select(F.lit("component").alias("of"), "u", "v").unionByName(around), "of")
+    both = components(links.select(F.lit("component").alias("of"), "u", "v").unionByName(around), "of", rows=(LEADERS + 1) * total)
     of = lambda name: F.max(F.when(F.col("of") == name, F.col("component"))).alias(name)
     both = both.groupBy(F.col("node").alias("doc")).agg(of("component"), of("g"))
     labelled = (lists.join(both, "doc", "left")
                 .withColumn("component", F.coalesce("component", "doc")).withColumn("g", F.coalesce("g", "doc")))
-    labelled = hold(labelled, "labelled")
+    labelled = hold(in_files(labelled, total), "labelled")
     within = hold(links_within(labelled.select("doc", "component", "g"), texts, size, similar), "within")
     apart = hold(open_pairs(table_rows(labelled, "component", "g", "n"), similar), "apart")
-    few = texts_of(apart, "u", "v")
-    across = hold(confirmed(apart, few, few, size, similar), "across")
+    count = apart.count()
+    few = texts_of(apart, 2 * count, "u", "v")
+    across = hold(in_files(confirmed(apart, few, few, size, similar), count, WORK_ROWS), "across")
     linked = labelled.where("doc != component").select(F.col("component").alias("u"), F.col("doc").alias("v"))
-    found = saved(components(linked.unionByName(within).unionByName(across)), "components")
+    every = linked.unionByName(within).unionByName(across)
+    found = saved(in_files(components(every, rows=every.count()), total), "components")
     release(*held)
 
     placed = (known.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")

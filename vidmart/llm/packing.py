@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidmart.llm.bpe import word_bpe
-from vidmart.llm.common import documents, saved
+from vidmart.llm.common import documents, in_files, saved
 
 CAPACITY = 4096
 END_ID = 1
@@ -328,7 +328,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = SEARCH_NODES,
                                              [*(c for c in batch.schema.names if c != "_rank"), "sequence_id", "offset"])
 
     fields = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, fields).withColumn("least_sequences", F.lit(lower_bound(histogram, capacity)).cast("bigint"))
+    placed = in_files(ranked, sum(histogram.values())).mapInArrow(place, fields)
+    return placed.withColumn("least_sequences", F.lit(lower_bound(histogram, capacity)).cast("bigint"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

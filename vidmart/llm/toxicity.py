@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vidmart.llm.common import documents, release, saved, slices
+from vidmart.llm.common import documents, in_files, release, saved, slices
 from vidmart.llm.quality import fit_curve, fold, labelled_texts, training_rows
 
 MAX_EXAMPLES = 8_000
+#: Examples for which a task of their own is worth it.
+EXAMPLE_ROWS = 400
 LEAST_EXAMPLES = 4
 LEAST_CHI = 25.0
 PREFIXES = (4, 5, 6)
@@ -298,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
                                                   pa.array([text or ""]), pa.array([own], pa.list_(pa.string()))], ["doc_id", "y", "copy", "text", "terms"])
 
     labelled = labelled_texts(docs, chosen)
-    examples = saved(labelled.mapInArrow(read, "doc_id long, y int, copy string, text string, terms array<string>"), "examples")
+    examples = saved(in_files(labelled, limit, EXAMPLE_ROWS).mapInArrow(read, "doc_id long, y int, copy string, text string, terms array<string>"), "examples")
     single = examples.groupBy("copy").agg(F.min(F.struct("doc_id", "y", "terms")).alias("first")).select("first.*")
     total = single.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     n, p = float(total["n"]), float(total["p"] or 0)
