@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,8 @@ def saved(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     so that a later join on it leaves these rows where they are."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    # no reader asks for the marker, and on a local path Hadoop starts a process from the driver for each of its two files
+    writer = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     if bucket is None:
         writer.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
@@ -71,9 +73,17 @@ def saved(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
         out = spark.table(table)
         out.held_as = table
     out.held_at = path
+    give_back()
     return out
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system; the C library (glibc) keeps much of it otherwise."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mostly_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose key is in ``ids`` (key), and a few others, without a shuffle of ``df``.
 

@@ -27,15 +27,17 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vidmart.llm.common import documents, in_files, release, saved, slices
+from vidmart.llm.common import documents, give_back, in_files, release, saved, slices
 from vidmart.llm.quality import fit_curve, fold, labelled_texts, training_rows
 
 MAX_EXAMPLES = 8_000
@@ -120,39 +122,61 @@ def letter(c: str) -> bool:
     return WORD.match(c) is not None
 
 
+def weights(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of n uses of the terms t."""
+    return (1 + np.log(n)) * idf[t] if len(t) else np.zeros(0)
+
+
 def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and weights of the unit vector of n uses of the terms t."""
-    w = (1 + np.log(n)) * idf[t] if len(t) else np.zeros(0)
+    w = weights(t, n, idf)
     norm = np.sqrt((w * w).sum())
     return (t, w / norm) if norm > 0 else (t[:0], w[:0])
 
 
 class WholeTexts:
-    """Examples as unit vectors of all their words; rows: the words' numbers and uses of each."""
+    """Examples as unit vectors of all their words; rows: the words' numbers and uses of each.
 
-    def __init__(self, words: list[str], idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.at = {w: i for i, w in enumerate(words)}
+    Held, and sent to the tasks, as the uses by word; the words stay an Arrow array. Weights, and the words' places, take
+    several times that room and are made where texts are first compared, which the driver seldom does."""
+
+    def __init__(self, words: pa.Array | list[str], idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
         self.idf, self.n = idf, len(rows)
-        self.vectors = [unit(t, n, idf) for t, n in rows]  # for the fit; not sent to the tasks
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
-        weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in self.vectors])
-        held = np.bincount(term, minlength=len(words))
+        self.rows = rows  # for the fit; not sent to the tasks
+        self.norm = np.array([np.sqrt((w * w).sum()) for w in (weights(t, n, idf) for t, n in rows)])
+        term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
+        order = np.argsort(term, kind="stable")
+        self.start = np.searchsorted(term, np.arange(len(self.words) + 1), sorter=order)
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in rows])[order]
+        uses = np.concatenate([np.zeros(0, np.int32), *(n for _, n in rows)])
+        self.uses = uses.astype(np.min_scalar_type(uses.max(initial=0)))[order]
+        self.at = self.matrix = None
+
+    def __getstate__(self):
+        return self.__dict__ | dict.fromkeys(("rows", "at", "matrix", "row", "rare"))
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [unit(t, n, self.idf) for t, n in self.rows]
+
+    def weigh(self) -> None:
+        """Weights of common words as a matrix (row: each word's, or -1), of the others by word (rare: documents, weights, starts)."""
+        held = np.diff(self.start)
+        term = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        weight = (1 + np.log(self.uses.astype(float))) * self.idf[term]
+        weight /= np.where(self.norm > 0, self.norm, np.inf)[self.doc]
         common = np.flatnonzero(held > max(1, self.n // COMMON))
-        self.row = np.full(len(words), -1, np.int32)
+        self.row = np.full(len(held), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), self.n))
         of = self.row[term]
-        self.matrix[of[of >= 0], doc[of >= 0]] = weight[of >= 0]
-        order = np.flatnonzero(of < 0)
-        order = order[np.argsort(term[order], kind="stable")]
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(words) + 1))
-
-    def __getstate__(self):
-        return self.__dict__ | {"vectors": []}
+        self.matrix[of[of >= 0], self.doc[of >= 0]] = weight[of >= 0]
+        self.rare = self.doc[of < 0], weight[of < 0], np.cumsum([0, *np.where(self.row < 0, held, 0)])
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if self.at is None:
+            self.at = {w: i for i, w in enumerate(self.words.to_pylist())}
         uses = Counter(WORD.findall(text.lower()))
         t = np.fromiter((self.at.get(w, -1) for w in uses), np.int64, len(uses))
         n = np.fromiter(uses.values(), np.int64, len(uses))
@@ -165,15 +189,18 @@ class WholeTexts:
 
     def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Cosine of each vector with each example, to 12 digits."""
+        if self.matrix is None:
+            self.weigh()
+        doc, weight, start = self.rare
         shared = np.zeros((len(vectors), len(self.matrix)))
         out = np.zeros((len(vectors), self.n))
         for i, (t, w) in enumerate(vectors):
             row = self.row[t]
             shared[i, row[row >= 0]] = w[row >= 0]
             t, w = t[row < 0], w[row < 0]
-            lo, size = self.start[t], self.start[t + 1] - self.start[t]
+            lo, size = start[t], start[t + 1] - start[t]
             at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-            out[i] = np.bincount(self.doc[at], self.weight[at] * np.repeat(w, size), minlength=self.n)
+            out[i] = np.bincount(doc[at], weight[at] * np.repeat(w, size), minlength=self.n)
         return np.round(out + shared @ self.matrix, 12)
 
 
@@ -190,7 +217,7 @@ def best(cosines: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.n
 class Neighbours:
     """Labelled unit vectors as block-max postings."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: list[int], labels: np.ndarray, rows: list[Counter], k: int = NEIGHBOURS,
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: list[int], labels: np.ndarray, rows: Iterable[Counter], k: int = NEIGHBOURS,
                  whole: WholeTexts | None = None):
         self.vocabulary, self.idf, self.k = vocabulary, idf, k
         self.base = float(labels.mean()) if len(labels) else 0.0
@@ -220,8 +247,8 @@ class Neighbours:
             self.curve = fit_curve(votes - 0.5, self.labels)
         self.whole, self.whole_curve = whole, None
         if whole is not None and len(silent) and 0 < labels[silent].mean() < 1:
-            near = [(best(c, k, leave=i), i) for lo in range(0, len(silent), TEXTS)
-                    for i, c in zip(silent[lo:lo + TEXTS], whole.cosines([whole.vectors[i] for i in silent[lo:lo + TEXTS]]), strict=True)]
+            near = [(best(c, k, leave=i), i) for lo in range(0, len(silent), TEXTS) for i, c in
+                    zip(silent[lo:lo + TEXTS], whole.cosines([unit(*whole.rows[i], whole.idf) for i in silent[lo:lo + TEXTS]]), strict=True)]
             votes = np.array([self.vote(*x, labels) for x, _ in near if len(x[0])])
             if len(votes):
                 self.whole_curve = fit_curve(votes - 0.5, labels[[i for x, i in near if len(x[0])]])
@@ -313,12 +340,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
                 .where(F.col("chi") >= LEAST_CHI).select("term").collect()]
     vocabulary = Vocabulary(sorted(kept))
     spelt = examples.select(F.explode("terms").alias("term")).where(~F.col("term").rlike("[*@]")).distinct()
-    words = sorted(spelt.toArrow().column("term").to_pylist())
+    words = spelt.toArrow().column("term").combine_chunks()
+    words = words.take(pc.sort_indices(words))
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, words))
 
     def frequencies(batches):
         vocabulary, words = shared.value
-        at = {w: i for i, w in enumerate(words, len(vocabulary.terms))}
+        at = {w: i for i, w in enumerate(words.to_pylist(), len(vocabulary.terms))}
         seen: Counter = Counter()
         n = 0
         for batch in batches:
@@ -335,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
 
     def vectors(batches):
         vocabulary, words = shared.value
-        at = {w: i for i, w in enumerate(words)}
+        at = {w: i for i, w in enumerate(words.to_pylist())}
         for batch in batches:
             texts = batch.column("text").to_pylist()
             own = [vocabulary.counts(x) for x in texts]
@@ -348,10 +376,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
             .orderBy("doc_id", "y", "word", "uses").toArrow())
     release(examples)
     shared.unpersist()
-    lists = lambda name: [x.values.to_numpy().astype(np.int64) for x in rows.column(name)]
+    lists = lambda name: (x.values.to_numpy() for x in rows.column(name))
     whole = WholeTexts(words, idf[len(kept):], list(zip(lists("word"), lists("uses"), strict=True)))
-    return Neighbours(vocabulary, idf[:len(kept)], rows.column("doc_id").to_pylist(), rows.column("y").to_numpy().astype(float),
-                      [Counter(dict(zip(t.tolist(), n.tolist(), strict=True))) for t, n in zip(lists("t"), lists("n"), strict=True)], whole=whole)
+    model = Neighbours(vocabulary, idf[:len(kept)], rows.column("doc_id").to_pylist(), rows.column("y").to_numpy().astype(float),
+                       (Counter(dict(zip(t.tolist(), n.tolist(), strict=True))) for t, n in zip(lists("t"), lists("n"), strict=True)), whole=whole)
+    whole.rows = []
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Neighbours, *keep: str, evidence: int = 3, name: str = "score") -> DataFrame:
