@@ -425,3 +425,32 @@ def test_suffix_array_of_many_names():
     names[:30_000] = names[60_000:90_000]
     order, held = suffix.doubled(names, None), names.astype(">u4").tobytes()
     assert all(held[4 * a:4 * a + 400] <= held[4 * b:4 * b + 400] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True))
+
+
+def test_words_are_those_of_the_expression():
+    """Texts are split at white space and ASCII marks; other marks, digits and case as the expression has it, one use as another."""
+    marks = ["", " ", ".", "_", "7", "-", "\n", "\x1c", " ", "’", "١", "²", "́", "中", "Σ", "İ", "Été", "ab", "AB", "x²"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    for x in texts:
+        assert toxicity.words_of(x) == collections.Counter(toxicity.WORD.findall(x.lower()))
+
+
+def test_neighbours_are_found_by_few_array_operations(monkeypatch):
+    """The blocks of a text are scored together, not one after the other term by term; the cosines stay sums in the terms' order."""
+    rng = random.Random(5)
+    rows = [collections.Counter({rng.randrange(30): rng.randint(1, 3) for _ in range(8)}) for _ in range(4000)]
+    vocabulary = toxicity.Vocabulary([f"t{i}" for i in range(30)])
+    model = toxicity.Neighbours(vocabulary, np.linspace(1, 3, 30), list(range(4000)), np.array([i % 2 for i in range(4000)], float), rows, k=9)
+    vectors = [model.vector(r) for r in rows[:60]]
+    calls = []
+    flatnonzero = np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: calls.append(1) or flatnonzero(x))
+    got = [model.nearest(v) for v in vectors]
+    assert model.blocks == 63 and len(calls) <= 60 * 4
+    for (t, w), (found, cosines) in zip(vectors, got, strict=True):
+        s = np.zeros(4000)
+        for i, x in zip(t.tolist(), w.tolist(), strict=True):
+            mine = slice(model.start[i * model.blocks], model.start[(i + 1) * model.blocks])
+            s[model.doc[mine]] += x * model.weight[mine]
+        assert found.tolist() == np.lexsort((np.arange(4000), -np.round(s, 12)))[:9].tolist() and cosines.tobytes() == s[found].tobytes()

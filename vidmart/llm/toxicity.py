@@ -28,6 +28,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -49,14 +50,20 @@ PREFIXES = (4, 5, 6)
 LEVELS = (1, 2, 3, 5)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are scored at once, before the bound is looked at again; twice as many each time.
+BLOCKS = 8
 #: Minhashes that copies of one text agree in: word pairs of which a share s is common to two texts agree with a chance of s**HASHES.
 HASHES = 8
 #: Words that more than one in so many examples hold are multiplied as a matrix; texts that are compared at a time.
-COMMON, TEXTS = 16, 64
+COMMON, TEXTS = 16, 128
+#: Bytes of text that are scored at a time, enough for some times TEXTS usual texts.
+TEXT_BYTES = 1 << 20
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 EVIDENCE = T.StructType().add("doc_id", "long").add("cosine", "double").add("label", "integer")
 WORD = re.compile(r"[^\W\d_]+")
+#: ASCII characters that are no part of a word, white space aside.
+BREAKS = [chr(i) for i in range(33, 127) if not chr(i).isalpha()]
 
 
 def terms(text: str) -> set[str]:
@@ -118,6 +125,36 @@ class Vocabulary:
         return Counter({i: n for key, n in seen.items() for i, level in which[key] if n >= level})
 
 
+def words_of(text: str) -> Counter:
+    """Uses of each word, as WORD finds them in the lower-cased text, in a part of its time: white space
+    and ``BREAKS`` end a word, so the text is split there, and only pieces that hold other marks are searched."""
+    text = text.lower()
+    for c in BREAKS:
+        text = text.replace(c, " ")
+    uses = Counter(text.split())
+    for piece in [x for x in uses if not x.isalpha()]:
+        n = uses.pop(piece)
+        for w in WORD.findall(piece):
+            uses[w] += n
+    return uses
+
+
+class Lexicon:
+    """Numbers of known words."""
+
+    def __init__(self, words: pa.Array):
+        self.at = {w: i for i, w in enumerate(words.to_pylist())}
+
+    def uses(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known words of a text, ascending, and how often each is used."""
+        uses = words_of(text)
+        t = np.fromiter(map(self.at.get, uses, repeat(-1)), np.int64, len(uses))
+        n = np.fromiter(uses.values(), np.int64, len(uses))
+        order = np.argsort(t)
+        order = order[t[order] >= 0]
+        return t[order], n[order]
+
+
 def letter(c: str) -> bool:
     return WORD.match(c) is not None
 
@@ -134,6 +171,12 @@ def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.
     return (t, w / norm) if norm > 0 else (t[:0], w[:0])
 
 
+def joined(lo: np.ndarray, hi: np.ndarray, *of: np.ndarray) -> list[np.ndarray]:
+    """The slices lo to hi of each array, one slice after the other."""
+    ends = list(zip(lo.tolist(), hi.tolist(), strict=True))
+    return [np.concatenate([x[:0], *(x[a:b] for a, b in ends)]) for x in of]
+
+
 class WholeTexts:
     """Examples as unit vectors of all their words; rows: the words' numbers and uses of each.
 
@@ -151,10 +194,10 @@ class WholeTexts:
         self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in rows])[order]
         uses = np.concatenate([np.zeros(0, np.int32), *(n for _, n in rows)])
         self.uses = uses.astype(np.min_scalar_type(uses.max(initial=0)))[order]
-        self.at = self.matrix = None
+        self.lexicon = self.matrix = None
 
     def __getstate__(self):
-        return self.__dict__ | dict.fromkeys(("rows", "at", "matrix", "row", "rare"))
+        return self.__dict__ | dict.fromkeys(("rows", "lexicon", "matrix", "row", "rare"))
 
     @property
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,14 +218,9 @@ class WholeTexts:
         self.rare = self.doc[of < 0], weight[of < 0], np.cumsum([0, *np.where(self.row < 0, held, 0)])
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if self.at is None:
-            self.at = {w: i for i, w in enumerate(self.words.to_pylist())}
-        uses = Counter(WORD.findall(text.lower()))
-        t = np.fromiter((self.at.get(w, -1) for w in uses), np.int64, len(uses))
-        n = np.fromiter(uses.values(), np.int64, len(uses))
-        order = np.argsort(t)
-        order = order[t[order] >= 0]
-        return t[order], n[order]
+        if self.lexicon is None:
+            self.lexicon = Lexicon(self.words)
+        return self.lexicon.uses(text)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return unit(*self.counts(text), self.idf)
@@ -198,10 +236,10 @@ class WholeTexts:
             row = self.row[t]
             shared[i, row[row >= 0]] = w[row >= 0]
             t, w = t[row < 0], w[row < 0]
-            lo, size = start[t], start[t + 1] - start[t]
-            at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-            out[i] = np.bincount(doc[at], weight[at] * np.repeat(w, size), minlength=self.n)
-        return np.round(out + shared @ self.matrix, 12)
+            docs, weights = joined(start[t], start[t + 1], doc, weight)
+            out[i] = np.bincount(docs, weights * np.repeat(w, start[t + 1] - start[t]), minlength=self.n)
+        out += shared @ self.matrix
+        return np.round(out, 12, out=out)
 
 
 def best(cosines: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -265,16 +303,21 @@ class Neighbours:
         reach = w @ self.bound[t]
         found, cosines, least = [], [], 0.0
         best = np.zeros(0)
-        for b in np.argsort(-reach, kind="stable").tolist():
-            if reach[b] <= 0 or reach[b] < least - 1e-12:
+        rest = np.argsort(-reach, kind="stable")
+        rest, count = rest[reach[rest] > 0], BLOCKS
+        while len(rest):
+            part = rest[:count]
+            part = part[reach[part] >= least - 1e-12]
+            if not len(part):
                 break
-            score = np.zeros(BLOCK)
-            for i, x in zip(t.tolist(), w.tolist(), strict=True):
-                s = slice(self.start[i * self.blocks + b], self.start[i * self.blocks + b + 1])
-                score[self.doc[s] - b * BLOCK] += x * self.weight[s]
+            rest, count = rest[count:], 2 * count
+            slot = (t[:, None] * self.blocks + part).ravel()  # a term's blocks together: sums are made in the terms' order
+            lo, hi = self.start[slot], self.start[slot + 1]
+            docs, weights = joined(lo[hi > lo], hi[hi > lo], self.doc, self.weight)
+            score = np.bincount(docs, np.repeat(np.repeat(w, len(part)), hi - lo) * weights)
             at = np.flatnonzero(score)
-            at = at[at + b * BLOCK != leave]
-            found.append(at + b * BLOCK)
+            at = at[at != leave]
+            found.append(at)
             cosines.append(score[at])
             best = np.concatenate([best, score[at]])
             if len(best) >= self.k:
@@ -346,15 +389,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
 
     def frequencies(batches):
         vocabulary, words = shared.value
-        at = {w: i for i, w in enumerate(words.to_pylist(), len(vocabulary.terms))}
-        seen: Counter = Counter()
-        n = 0
+        lexicon = Lexicon(words)
+        seen = np.zeros(1 + len(vocabulary.terms) + len(words), np.int64)  # of all texts, the terms, the words
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(vocabulary.counts(text or "").keys())
-                seen.update(at[w] for w in set(WORD.findall((text or "").lower())) if w in at)
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
+                chosen = vocabulary.counts(text or "")
+                seen[0] += 1
+                seen[np.fromiter(chosen, np.int64, len(chosen)) + 1] += 1
+                seen[lexicon.uses(text or "")[0] + 1 + len(vocabulary.terms)] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 1), pa.array(seen[at])], ["term", "n"])
 
     df = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     held = np.zeros(1 + len(kept) + len(words))
@@ -363,14 +407,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
 
     def vectors(batches):
         vocabulary, words = shared.value
-        at = {w: i for i, w in enumerate(words.to_pylist())}
+        lexicon = Lexicon(words)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             own = [vocabulary.counts(x) for x in texts]
-            whole = [Counter(at[w] for w in WORD.findall(x.lower())) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), *(pa.array(x, pa.list_(pa.int32())) for c in (own, whole) for x in ([sorted(r) for r in c], [[r[t] for t in sorted(r)] for r in c]))],
-                ["doc_id", "y", "t", "n", "word", "uses"])
+            lists = [[sorted(r) for r in own], [[r[t] for t in sorted(r)] for r in own], *zip(*map(lexicon.uses, texts), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(pa.array(list(x), pa.list_(pa.int32())) for x in (lists if texts else [[]] * 4))],
+                                             ["doc_id", "y", "t", "n", "word", "uses"])
 
     rows = (examples.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, n array<int>, word array<int>, uses array<int>")
             .orderBy("doc_id", "y", "word", "uses").toArrow())
@@ -394,7 +437,7 @@ def score_toxicity(docs: DataFrame, model: Neighbours, *keep: str, evidence: int
 
     def of(batches):
         model = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             score, near = [], []
             for s, ids, cosines, labels in model.scores([text or "" for text in batch.column("text").to_pylist()]):
                 score.append(s)
